@@ -153,7 +153,7 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
 SPACE_WORDS = np.ones(256, bool)
 SPACE_WORDS[[0x20, 9, 10, 11, 12, 13]] = False
 ALNUM_WORDS = np.zeros(256, bool)
-ALNUM_WORDS[0x30:0x3A] = ALNUM_WORDS[0x61:0x7B] = ALNUM_WORDS[0x80:] = True
+ALNUM_WORDS[0x30:0x3A] = ALNUM_WORDS[0x41:0x5B] = ALNUM_WORDS[0x61:0x7B] = ALNUM_WORDS[0x80:] = True  # of raw bytes: upper case is folded later
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 

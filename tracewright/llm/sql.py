@@ -18,3 +18,27 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(4 + length({_ROLE.format('role')}) + 2 + length({_ESCAPED.format('text')}) + 8) AS BIGINT) AS formatted_chars
 FROM rows_ GROUP BY conv_id
 """
+
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op6_decontamination"] = f"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, {_ALNUM}) AS w FROM documents
+), bw AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_AZ.format("coalesce(text, '')")}, {_ALNUM}) AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i : i + 9], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM bw WHERE len(w) > 0)
+), ks AS (SELECT DISTINCT k FROM win
+), hits AS (
+  SELECT p.r, p.i, p.k, win.item
+  FROM (SELECT r, k, i, array_to_string(w[i : i + k - 1], ' ') AS win
+        FROM (SELECT r, w, k, unnest(range(1, greatest(len(w) - k, -1) + 2)) AS i FROM dw, ks)) p
+  JOIN win ON win.k = p.k AND win.win = p.win
+), hw AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hits) GROUP BY r
+), hi AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
+"""
