@@ -42,3 +42,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
+
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+
+SQL["op1_minhash_dedup"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, {_SPACED}) AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)
+), sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN sz p ON p.doc_id = x JOIN sz q ON q.doc_id = y WHERE 100 * both_ >= 70 * (p.n + q.n - both_)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+), comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM d LEFT JOIN sz USING (doc_id) JOIN comp ON comp.x = doc_id
+"""
