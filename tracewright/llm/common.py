@@ -192,3 +192,37 @@ def column(batch: pa.RecordBatch, name: str):
 
 def concat_ids(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+# ---------------------------------------------------------------- Bloom filters of bounded size
+BLOOM_BITS = 1 << 27
+
+
+def _positions(ids: np.ndarray) -> list[np.ndarray]:
+    x = ids.astype(np.uint64)
+    return [(mix(x * U64(0x9E3779B97F4A7C15) + U64(k * 77 + 1)) & U64(BLOOM_BITS - 1)).astype(np.int64) for k in range(3)]
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        pos = np.concatenate(_positions(column(b, "id").to_numpy(zero_copy_only=False).astype(np.int64)))
+        yield pa.record_batch({"word": pa.array(pos >> 6), "bits": pa.array((U64(1) << (pos & 63).astype(U64)).astype(np.int64))})
+
+
+def bloom(ids: DataFrame):
+    """A broadcast Bloom filter of the column id (long, not null).
+
+    16 MB whatever the input's size; past some 20 million ids it lets more and more
+    through, so what it passes is always joined exactly afterwards.
+    """
+    words = ids.select(F.col("id").cast("long").alias("id")).mapInArrow(_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BLOOM_BITS >> 6, U64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).astype(U64)
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def may_hold(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(ids), bool)
+    for pos in _positions(ids):
+        hit &= (table[pos >> 6] >> (pos & 63).astype(U64)) & U64(1) > 0
+    return hit

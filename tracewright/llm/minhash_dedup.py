@@ -31,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, column, mix, owner, powers, prefix_sums, slices, text_buffer, word_bounds, word_hashes, written
+from .common import SPACE_WORDS, bloom, column, may_hold, mix, powers, prefix_sums, slices, text_buffer, word_bounds, word_hashes, written
 from .components import connected_components
 
 SHINGLE, SLOTS, CHUNKS, WIDTH = 5, 64, 16, 4
 NUMERATOR, DENOMINATOR = 70, 100
 MIN_AGREE = 20
 BUCKET = 64
-BLOOM_BITS = 1 << 27
 
 _MULTIPLIERS = (mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
 
@@ -145,34 +144,12 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ confirmation on full sets
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        pos = np.concatenate(bloom_positions(column(b, "id").to_numpy(zero_copy_only=False).astype(np.int64), BLOOM_BITS))
-        yield pa.record_batch({"word": pa.array((pos >> 6).astype(np.int64)), "bits": pa.array((np.uint64(1) << (pos & 63).astype(np.uint64)).astype(np.int64))})
-
-
-def bloom_positions(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    x = ids.astype(np.uint64)
-    return [(mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 77 + 1)) % np.uint64(bits)).astype(np.int64) for k in range(3)]
-
-
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of a column of ids: 16 MB at every input size, built from aggregated words."""
-    words = ids.mapInArrow(_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.uint64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint64)
-    return out
-
-
 def _sets(filt):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filt.value
         for b in batches:
             ids = column(b, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = np.ones(len(ids), bool)
-            for pos in bloom_positions(ids, BLOOM_BITS):
-                hit &= (table[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1) > 0
-            part = b.filter(pa.array(hit))
+            part = b.filter(pa.array(may_hold(table, ids)))
             data, offsets = text_buffer(column(part, "text"))
             for i, j in slices(offsets):
                 h, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -186,7 +163,7 @@ def _sets(filt):
 
 def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, set) for the classes wanted (cls, rep, h1, h2): the texts are read again, and a filter of bounded size lets only likely ones through."""
-    filt = documents.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.col("rep").alias("id"))))
+    filt = bloom(wanted.select(F.col("rep").alias("id")))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     got = docs.mapInArrow(_sets(filt), "doc_id long, h1 long, h2 long, set binary")
     keys = wanted.select("cls", F.col("rep").alias("doc_id"), "h1", "h2")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, minhash_dedup, pii, quality_fm, sentencepiece_scan
+from . import chat_format, debruijn_dedup, decontaminate, minhash_dedup, pii, quality_fm, sentencepiece_scan
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -31,6 +31,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }

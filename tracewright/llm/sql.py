@@ -62,3 +62,19 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
 FROM d LEFT JOIN sz USING (doc_id) JOIN comp ON comp.x = doc_id
 """
+
+SQL["op8_substring_dedup"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents
+), win AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1
+), hit AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM win SEMI JOIN rep USING (h)
+), word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN hit USING (r, i) GROUP BY r
+), gone AS (SELECT r, count(*) AS n FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
