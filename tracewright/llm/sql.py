@@ -78,3 +78,23 @@ WITH d AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
 """
+
+SQL["op2_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT r, i, md5(substring(h, 2 * i + 1, 800)) AS m
+  FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)
+), rep AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1
+), hit AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 401) AS gap FROM win SEMI JOIN rep USING (m)
+), isle AS (SELECT r, i, count(*) FILTER (WHERE gap > 400) OVER (PARTITION BY r ORDER BY i) AS k FROM hit
+), span AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM isle GROUP BY r, k
+), piece AS (
+  SELECT r, a, substring(h, 2 * p + 1, 2 * (a - p)) AS t
+  FROM (SELECT r, a, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM span) JOIN d USING (r)
+  UNION ALL
+  SELECT r, 1000000000000, substring(h, 2 * p + 1) FROM (SELECT r, max(z) AS p FROM span GROUP BY r) JOIN d USING (r)
+), kept AS (SELECT r, string_agg(t, '' ORDER BY a) AS t FROM piece GROUP BY r
+), gone AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n, count(*) AS c FROM span GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
