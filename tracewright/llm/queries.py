@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn_dedup, decontaminate, minhash_dedup, pii, quality_fm, sentencepiece_scan, suffix_dedup
+from . import chat_format, debruijn_dedup, decontaminate, lcp_fingerprint, license_scan, minhash_dedup, pii, quality_fm, sentencepiece_scan, suffix_dedup
 from .common import table
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -31,10 +31,18 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp_fingerprint.against_next(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_fingerprint": op7_fingerprint,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
