@@ -1,32 +1,72 @@
-"""The corpus pipeline: quality, near duplicates, contamination, personal data, tokens."""
+"""The corpus pipeline: quality, near duplicates, contamination, personal data, tokens.
+
+Each stage takes what the one before kept. run() writes the stages' results to the shared
+folder in between, as a run by stages does.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import quality_fm
-from tracewright.llm.common import table
+from tracewright.llm import decontaminate, minhash_dedup, pii, quality_fm, sentencepiece_scan
+from tracewright.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality_fm.train(docs, table(spark, sf_dir, "labels"))
-    return quality_fm.score(docs.select(*COLUMNS), model, tuple(COLUMNS)).where("score >= 0.3").drop("score")
+    return quality_fm.score(docs.select(*COLUMNS), model, tuple(COLUMNS)).where("score >= 0.3").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    docs = docs.select(*COLUMNS)
+    gone = minhash_dedup.groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that benchmark windows cover are cut out of the texts."""
+    return _sized(decontaminate.remove_spans(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), tuple(COLUMNS)))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    return _sized(pii.redact(docs.select(*COLUMNS), tuple(COLUMNS)))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its number of tokens, the digest of its ids, and whether they decode to the text."""
+    return sentencepiece_scan.digest(docs.select(*COLUMNS), keep=("doc_id", "lang", "source", "n_chars"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("contamination", contamination),
+    ("personal_data", personal_data),
+    ("tokens", tokens),
+]
 
-#: No SQL: the classifier, the personal-data patterns and the tokenizer have none.
+#: No SQL: the classifier, the learned patterns and the tokenizer have none.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents."""
+    """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs
