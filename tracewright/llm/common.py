@@ -71,13 +71,19 @@ def drop_written(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+ARROW_ROWS = 2000
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows: texts are long, and each task holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with batches that stay small in bytes even where texts are long."""
-    return df.mapInArrow(fn, schema)
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---------------------------------------------------------------- text buffers
@@ -221,6 +227,17 @@ def bloom(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(out)
 
 
+def likely(filt, name: str):
+    """For mapInArrow: the rows whose column name may be in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = filt.value
+        for b in batches:
+            yield b.filter(pa.array(may_hold(held, column(b, name).to_numpy(zero_copy_only=False).astype(np.int64))))
+
+    return run
+
+
 def may_hold(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     hit = np.ones(len(ids), bool)
     for pos in _positions(ids):

@@ -2,9 +2,8 @@
 
 An edge of the graph is a window of WINDOW words, its nodes are the window without its
 last and without its first word. Edges that follow one another around one minimiser form
-a nonbranching path; a path is compacted to one row (its name, its multiplicity and the
-coordinate of its first occurrence) by Spark aggregations, and joins find the minimisers
-at which distinct paths meet. Only paths at such branching places are opened into their
+a nonbranching path; a path is compacted to one row (its name and its multiplicity) by
+Spark aggregations, and joins find the minimisers at which distinct paths meet. Only paths at such branching places are opened into their
 edges again; an edge is known by two independent 64-bit hashes taken at its source
 coordinates. An edge of multiplicity two or more repeats, and the source coordinates of
 all occurrences of repeated edges give the spans of words that go.
@@ -27,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, bloom, column, may_hold, mix, prefix_sums, slices, span_hash, text_buffer, word_bounds, word_hashes, written
-from .repeats import _ranges, covered, document_keys, find_paths, path_ids
+from .common import SPACE_WORDS, bloom, column, likely, may_hold, mix, prefix_sums, slices, span_hash, text_buffer, word_bounds, word_hashes, written
+from .repeats import _ranges, covered, document_keys, find_paths, repeated_paths
 
 WINDOW, GRAM = 35, 8
 
@@ -54,45 +53,30 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-PATHS = "doc_id long, key long, start int, n int, anchor int, name long"
+PATHS = "doc_id long, key long, start int, n int, anchor long, name long"
 
 
 def _edges(filt):
-    """The edges of the paths whose ids may be wanted."""
+    """The edges of the paths whose names may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filt.value
         for b in batches:
-            ids = column(b, "doc_id")
-            for i, j, h, _, _, _, first in _slices(b):
+            for _, _, h, _, _, _, first in _slices(b):
                 p = find_paths(h, first, WINDOW, GRAM)
-                keys = document_keys(p.sums, first)
-                rel = p.start - first[p.doc]
-                hit = np.flatnonzero(may_hold(table, path_ids(keys[p.doc], rel)))
+                hit = np.flatnonzero(may_hold(table, p.name))
                 if not len(hit):
                     continue
                 at = _ranges(p.start[hit], p.count[hit])
                 own = np.repeat(hit, p.count[hit])
                 other = prefix_sums(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), 5)
-                yield pa.record_batch(
-                    [
-                        ids.take(pa.array(p.doc[own] + i)),
-                        pa.array(keys[p.doc[own]]),
-                        pa.array(rel[own].astype(np.int32)),
-                        pa.array((at - p.start[own]).astype(np.int32)),
-                        pa.array(span_hash(p.sums, at, at + WINDOW, 3).astype(np.int64)),
-                        pa.array(span_hash(other, at, at + WINDOW, 5).astype(np.int64)),
-                    ],
-                    names=["doc_id", "key", "start", "off", "e1", "e2"],
-                )
+                cols = (p.name[own], (at - p.start[own]).astype(np.int32), span_hash(p.sums, at, at + WINDOW, 3).astype(np.int64), span_hash(other, at, at + WINDOW, 5).astype(np.int64))
+                yield pa.record_batch([pa.array(c) for c in cols], names=["name", "off", "e1", "e2"])
 
     return run
 
 
-def _path_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        k, s = (column(b, c).to_numpy(zero_copy_only=False) for c in ("key", "start"))
-        yield pa.record_batch([pa.array(path_ids(k, s))], names=["id"])
+EDGES = "name long, off int, e1 long, e2 long"
 
 
 def _same(a: str, b: str, *cols: str):
@@ -106,30 +90,21 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     """(doc_id, key, start, mask): for each path that holds repeated windows, the first word and a bit for each such window."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     paths = written(docs.mapInArrow(_paths, PATHS))
-    compact = paths.groupBy("anchor", "name").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("src"))
-    compact = written(compact)
-    meeting = compact.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    nodes = written(compact.join(meeting, "anchor").select("anchor", "name", "times", "n", "src", "kinds"))
-    whole = nodes.where("times > 1").select("anchor", "name", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    branching = nodes.where("kinds > 1").select("anchor", "name", "times", "src.doc_id", "src.key", "src.start")
-    filt = bloom(branching.select("key", "start").mapInArrow(_path_id, "id long"))
-    edges = docs.mapInArrow(_edges(filt), "doc_id long, key long, start int, off int, e1 long, e2 long").distinct()
-    edges = written(edges.alias("e").join(branching.alias("p"), _same("e", "p", "key", "start")).select("p.anchor", "p.name", "p.times", "e.off", "e.e1", "e.e2"))
-    twice = edges.groupBy("e1", "e2").agg(F.sum("times").alias("t")).where("t > 1")
-    opened = edges.join(twice, ["e1", "e2"]).groupBy("anchor", "name").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
+    nodes = repeated_paths(paths)
+    whole = nodes.where("times > 1").select("anchor", "name", F.lit(-1).cast("long").alias("mask"))
+    branching = nodes.where("kinds > 1").select(F.col("name").alias("id"))
+    # an edge of one path with several occurrences is covered by the path; any other repeats
+    # exactly if it lies on two paths of different names
+    edges = written(docs.mapInArrow(_edges(bloom(branching)), EDGES))
+    twice = written(edges.groupBy("e1", "e2").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("e1", "e2"))
+    open_edges = edges.mapInArrow(likely(bloom(twice.select(F.col("e1").alias("id"))), "e1"), EDGES)
+    opened = open_edges.join(twice, ["e1", "e2"]).groupBy("name").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
+    opened = opened.join(nodes.select("anchor", "name"), "name").select("anchor", "name", "mask")
     repeated = written(whole.unionAll(opened).groupBy("anchor", "name").agg(F.bit_or("mask").alias("mask")))
     near = bloom(repeated.select(F.col("name").alias("id")))
-    likely = paths.mapInArrow(_likely(near), PATHS)
-    return likely.join(repeated, ["anchor", "name"]).select("doc_id", "key", "start", "mask")
-
-
-def _likely(filt):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = filt.value
-        for b in batches:
-            yield b.filter(pa.array(may_hold(table, column(b, "name").to_numpy(zero_copy_only=False).astype(np.int64))))
-
-    return run
+    found = paths.mapInArrow(likely(near, "name"), PATHS).join(repeated, ["anchor", "name"])
+    # bits past the path's last window belong to no window
+    return found.select("doc_id", "key", "start", F.expr("mask & (shiftleft(1L, n) - 1)").alias("mask"))
 
 
 def _digest_one(words: list[bytes], hit: np.ndarray | None) -> tuple[int, int, str]:

@@ -16,8 +16,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import mix, prefix_sums, span_hash
+from .common import bloom, likely, mix, prefix_sums, span_hash, written
 
 _POS = np.uint64((1 << 31) - 1)
 
@@ -28,7 +30,7 @@ class Paths:
     start: np.ndarray  # first window's first unit, counted in the slice
     count: np.ndarray  # windows
     at: np.ndarray  # the minimiser's unit in the slice
-    anchor: np.ndarray  # int32: the minimiser's hash
+    anchor: np.ndarray  # int64: the minimiser's hash
     name: np.ndarray  # int64: the content's hash
     sums: np.ndarray
 
@@ -60,7 +62,7 @@ def find_paths(codes: np.ndarray, first: np.ndarray, k: int, q: int) -> Paths:
     windows = np.maximum(0, size - k + 1)
     if not windows.any():
         z = np.zeros(0, np.int64)
-        return Paths(z, z, z, z, z.astype(np.int32), z, sums)
+        return Paths(z, z, z, z, z, z, sums)
     grams = np.arange(len(codes) - q + 1)
     packed = (span_hash(sums, grams, grams + q, 3) & ~_POS) | grams.astype(np.uint64)
     least = sliding_min(packed, k - q + 1)
@@ -74,7 +76,7 @@ def find_paths(codes: np.ndarray, first: np.ndarray, k: int, q: int) -> Paths:
     a, b = span_hash(sums, start, end, 3), span_hash(more, start, end, 4)
     name = mix(a ^ (b * np.uint64(0x9E3779B97F4A7C15)))
     doc = np.repeat(np.arange(len(size)), windows)[cut]
-    anchor = (span_hash(sums, at, at + q, 3) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    anchor = span_hash(sums, at, at + q, 3).astype(np.int64)
     return Paths(doc, start, count, at, anchor, name.astype(np.int64), sums)
 
 
@@ -82,9 +84,17 @@ def document_keys(sums: np.ndarray, first: np.ndarray) -> np.ndarray:
     return span_hash(sums, first[:-1], first[1:], 3).astype(np.int64)
 
 
-def path_ids(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One number for a document's key and a path's first unit."""
-    return mix(keys.astype(np.uint64) ^ mix(starts.astype(np.uint64) + np.uint64(11))).astype(np.int64)
+def repeated_paths(paths: DataFrame) -> DataFrame:
+    """(anchor, name, times, kinds) of the paths whose minimiser occurs more than once.
+
+    Minimisers are counted first, with one number a row; only paths of repeated ones (as a
+    filter of bounded size lets them through, then exactly) are grouped by name.
+    """
+    anchors = written(paths.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"))
+    some = paths.select("anchor", "name").mapInArrow(likely(bloom(anchors.select(F.col("anchor").alias("id"))), "anchor"), "anchor long, name long")
+    compact = written(some.groupBy("anchor", "name").agg(F.count("*").alias("times")))
+    meeting = compact.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("times").alias("most")).where("kinds > 1 or most > 1").select("anchor", "kinds")
+    return written(compact.join(meeting, "anchor"))
 
 
 def covered(n: int, starts: np.ndarray, k: int) -> np.ndarray:
