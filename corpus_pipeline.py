@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, minhash_dedup, pii, quality_fm, sentencepiece_scan
-from tracewright.llm.common import table, written
+from tracewright.llm.common import small_batches, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     gone = minhash_dedup.groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -42,11 +43,13 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind."""
+    small_batches(spark)
     return _sized(pii.redact(docs.select(*COLUMNS), tuple(COLUMNS)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its number of tokens, the digest of its ids, and whether they decode to the text."""
+    small_batches(spark)
     return sentencepiece_scan.digest(docs.select(*COLUMNS), keep=("doc_id", "lang", "source", "n_chars"))
 
 

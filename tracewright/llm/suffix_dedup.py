@@ -32,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, byte_codes, column, may_hold, mix, prefix_sums, shared_dir, slices, span_hash, text_buffer, written
-from .repeats import _ranges, covered, document_keys, find_paths, path_ids
+from .common import bloom, byte_codes, column, likely, may_hold, mix, prefix_sums, shared_dir, slices, span_hash, text_buffer, written
+from .repeats import _ranges, covered, document_keys, find_paths, repeated_paths
 from .suffix_array import suffix_array
 
 WINDOW, GRAM, SPAN = 400, 100, 76
 HOT = 5_000
 SHARD_BYTES = 4 << 20
-PATHS = "doc_id long, key long, start int, n int, anchor int, name long"
+PATHS = "doc_id long, key long, start int, n int, anchor long, name long"
 
 
 def _slices(b: pa.RecordBatch):
@@ -62,28 +62,21 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-_CONTEXTS = "doc_id long, key long, start int, off int, m int, core long, context binary"
+_CONTEXTS = "name long, off int, m int, core long, context binary"
 
 
-def _contexts(filt, docs_filt):
-    """The ranges of the paths whose ids may be wanted: offset of the first window, number of windows, core, bytes."""
+def _contexts(filt):
+    """The ranges of the paths whose names may be wanted: offset of the first window, number of windows, core, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, docs = filt.value, docs_filt.value
+        table = filt.value
         for b in batches:
-            data, offsets = text_buffer(column(b, "text"))
-            keys = np.zeros(b.num_rows, np.int64)
-            for i, j, _, codes, first in _slices(b):
-                keys[i:j] = document_keys(prefix_sums(codes, 3), first)
-            part = b.filter(pa.array(may_hold(docs, keys)))
-            ids = column(part, "doc_id")
-            for i, j, raw, codes, first in _slices(part):
+            for _, _, raw, codes, first in _slices(b):
                 p = find_paths(codes, first, WINDOW, GRAM)
-                own_keys = document_keys(p.sums, first)
-                rel = p.start - first[p.doc]
-                hit = np.flatnonzero(may_hold(table, path_ids(own_keys[p.doc], rel))) if len(p.doc) else []
+                hit = np.flatnonzero(may_hold(table, p.name)) if len(p.doc) else []
                 if not len(hit):
                     continue
+                hit = hit[np.unique(p.name[hit], return_index=True)[1]]
                 text = raw.tobytes()
                 far = (p.at - p.start)[hit]  # distances of the first and the last window to the minimiser
                 close = far - p.count[hit] + 1
@@ -96,28 +89,12 @@ def _contexts(filt, docs_filt):
                 core_lo, core_hi = at - r * SPAN, at - np.minimum(r * SPAN + SPAN - 1, WINDOW - GRAM) + WINDOW
                 core = mix(span_hash(p.sums, core_lo, core_hi, 3) + r.astype(np.uint64))
                 a, z = at - big, at - small + WINDOW
-                yield pa.record_batch(
-                    [
-                        ids.take(pa.array(p.doc[path] + i)),
-                        pa.array(own_keys[p.doc[path]]),
-                        pa.array(rel[path].astype(np.int32)),
-                        pa.array((a - p.start[path]).astype(np.int32)),
-                        pa.array((big - small + 1).astype(np.int32)),
-                        pa.array(core.astype(np.int64)),
-                        pa.array([text[x:y] for x, y in zip(a.tolist(), z.tolist())], pa.binary()),
-                    ],
-                    names=["doc_id", "key", "start", "off", "m", "core", "context"],
-                )
+                cols = (p.name[path], (a - p.start[path]).astype(np.int32), (big - small + 1).astype(np.int32), core.astype(np.int64))
+                yield pa.record_batch([*[pa.array(c) for c in cols], pa.array([text[x:y] for x, y in zip(a.tolist(), z.tolist())], pa.binary())], names=["name", "off", "m", "core", "context"])
 
     return run
 
 
-def _path_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        k, s = (column(b, c).to_numpy(zero_copy_only=False) for c in ("key", "start"))
-        yield pa.record_batch([pa.array(path_ids(k, s))], names=["id"])
-
-
 def _same(a: str, b: str, *cols: str):
     cond = F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
     for c in cols:
@@ -161,13 +138,15 @@ def _sort(folder: str | None):
         held, last = 0, None
 
         def close() -> pa.RecordBatch:
-            found = sort_shard([r[4] for r in rows], [r[3] for r in rows], folder)
-            out = [(r[0], r[1], _runs(f + r[2])) for r, f in zip(rows, found) if len(f)]
+            found = sort_shard([r[3] for r in rows], [r[2] for r in rows], folder)
+            out = [(r[0], _runs(f + r[1])) for r, f in zip(rows, found) if len(f)]
             rows.clear()
-            return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], _RUNS)], names=["anchor", "name", "runs"])
+            return pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], _RUNS)], names=["name", "runs"])
 
         for b in batches:
-            for core, *row in zip(*(column(b, c).to_pylist() for c in ("core", "anchor", "name", "off", "m", "context"))):
+            for core, *row in zip(*(column(b, c).to_pylist() for c in ("core", "name", "off", "m", "context"))):
+                if rows and core == last and rows[-1][:2] == tuple(row[:2]):
+                    continue
                 if held >= SHARD_BYTES and core != last:
                     yield close()
                     held = 0
@@ -194,7 +173,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = [span_hash(prefix_sums(byte_codes(x)[data], 3 + x), at, at + WINDOW, 3 + x).astype(np.int64) for x in (0, 1)]
             off = column(part, "off").to_numpy(zero_copy_only=False)[own] + (at - (np.cumsum(size) - size)[own])
             take = pa.array(own)
-            yield pa.record_batch([column(part, "anchor").take(take), column(part, "name").take(take), pa.array(off.astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["anchor", "name", "off", "e1", "e2"])
+            yield pa.record_batch([column(part, "name").take(take), pa.array(off.astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["name", "off", "e1", "e2"])
 
 
 def _spill_folder(documents: DataFrame) -> str | None:
@@ -207,36 +186,27 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     """(doc_id, key, start, runs): for each path with repeated windows its first byte and the runs of such windows."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     paths = written(docs.mapInArrow(_paths, PATHS))
-    compact = written(paths.groupBy("anchor", "name").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("src")))
-    meeting = compact.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    nodes = written(compact.join(meeting, "anchor").select("anchor", "name", "times", "n", "src", "kinds"))
-    whole = nodes.where("times > 1").select("anchor", "name", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("z"))).alias("runs"))
-    branching = nodes.where("kinds > 1").select("anchor", "name", "src.doc_id", "src.key", "src.start")
-    filt = bloom(branching.select("key", "start").mapInArrow(_path_id, "id long"))
-    docs_filt = bloom(branching.select(F.col("key").alias("id")))
-    found = docs.mapInArrow(_contexts(filt, docs_filt), _CONTEXTS).dropDuplicates(["doc_id", "key", "start", "off"])
-    contexts = found.alias("c").join(branching.alias("p"), _same("c", "p", "key", "start")).select("p.anchor", "p.name", "c.off", "c.m", "c.core", "c.context")
-    contexts = written(contexts)
-    cores = contexts.groupBy("core").agg(F.count("*").alias("members")).where("members > 1")
-    shared = contexts.join(cores, "core")
-    cold = shared.where(F.col("members") <= HOT).select("core", "anchor", "name", "off", "m", "context")
-    sorted_ = cold.repartition("core").sortWithinPartitions("core").mapInArrow(_sort(_spill_folder(documents)), f"anchor int, name long, runs {RUNS}")
-    hot = shared.where(F.col("members") > HOT).select("anchor", "name", "off", "m", "context").mapInArrow(_open, "anchor int, name long, off int, e1 long, e2 long")
-    twice = hot.groupBy("e1", "e2").agg(F.count("*").alias("t")).where("t > 1")
-    opened = hot.join(twice, ["e1", "e2"]).select("anchor", "name", F.array(F.struct(F.col("off").alias("a"), (F.col("off") + 1).alias("z"))).alias("runs"))
-    repeated = whole.unionAll(sorted_).unionAll(opened).groupBy("anchor", "name").agg(F.flatten(F.collect_set("runs")).alias("runs"))
-    repeated = written(repeated)
+    nodes = repeated_paths(paths)
+    every = F.array(F.struct(F.lit(0).alias("a"), F.lit(WINDOW).alias("z")))
+    whole = nodes.where("times > 1").select("anchor", "name", every.alias("runs"))
+    branching = bloom(nodes.where("kinds > 1").select(F.col("name").alias("id")))
+    contexts = written(docs.mapInArrow(_contexts(branching), _CONTEXTS))
+    cores = written(contexts.groupBy("core").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("core", "members"))
+    shared = contexts.mapInArrow(likely(bloom(cores.select(F.col("core").alias("id"))), "core"), _CONTEXTS)
+    huge = cores.where(F.col("members") > HOT).select("core")
+    cold = shared.join(huge, "core", "left_anti").select("core", "name", "off", "m", "context")
+    # the same range of the same path may come from several texts
+    cold = cold.repartition("core").sortWithinPartitions("core", "name", "off")
+    sorted_ = cold.mapInArrow(_sort(_spill_folder(documents)), f"name long, runs {RUNS}")
+    hot = shared.join(huge, "core", "left_semi").select("name", "off", "m", "context").mapInArrow(_open, "name long, off int, e1 long, e2 long")
+    twice = hot.groupBy("e1", "e2").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("e1", "e2")
+    opened = hot.join(twice, ["e1", "e2"]).select("name", "off").distinct().select("name", F.array(F.struct(F.col("off").alias("a"), (F.col("off") + 1).alias("z"))).alias("runs"))
+    part = sorted_.unionAll(opened).join(nodes.select("anchor", "name"), "name").select("anchor", "name", "runs")
+    repeated = written(whole.unionAll(part).groupBy("anchor", "name").agg(F.flatten(F.collect_set("runs")).alias("runs")))
     near = bloom(repeated.select(F.col("name").alias("id")))
-    return paths.mapInArrow(_likely(near), PATHS).join(repeated, ["anchor", "name"]).select("doc_id", "key", "start", "runs")
-
-
-def _likely(filt):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = filt.value
-        for b in batches:
-            yield b.filter(pa.array(may_hold(table, column(b, "name").to_numpy(zero_copy_only=False).astype(np.int64))))
-
-    return run
+    found = paths.mapInArrow(likely(near, "name"), PATHS).join(repeated, ["anchor", "name"])
+    # runs that reach past the path's last window end there
+    return found.select("doc_id", "key", "start", F.transform("runs", lambda r: F.struct(r["a"].alias("a"), F.least(r["z"], F.col("n")).alias("z"))).alias("runs"))
 
 
 def _split(filt):
