@@ -340,8 +340,7 @@ def decode_(spark, sf):
 
 @query("step_rewards")
 def steps_(spark, sf):
-    t = bridge.traces(spark, sf).select("trace_id", F.slice("atoms", 1, 30).alias("atoms"))
-    return t.select("trace_id", F.posexplode(scoring.step_rewards(SPEC, F.col("atoms"))).alias("step", "reward"))
+    return bridge.traces(spark, sf).select("trace_id", F.posexplode(scoring.step_rewards(SPEC, F.col("atoms"))).alias("step", "reward"))
 
 
 @query("spec_from_winners")
@@ -482,7 +481,7 @@ def procedures_(spark, sf):
 
 @query("variance_decomposition")
 def variance_(spark, sf):
-    return summary.variance_decomposition(_fps(spark, sf), ["resolved", "instance_id"], sample=150)
+    return summary.variance_decomposition(_fps(spark, sf), ["resolved", "instance_id"])
 
 
 @query("report_agents")
@@ -492,7 +491,7 @@ def report_(spark, sf):
 
 @query("measure_floor")
 def floor_(spark, sf):
-    return floor.floor_points(bridge.traces(spark, sf), "agent", FIXED, n_draws=50)
+    return floor.floor_points(bridge.traces(spark, sf), "agent", FIXED)
 
 
 @query("cliffs")
@@ -511,3 +510,40 @@ SELECT trace_id, CAST(coalesce(m, 0) AS INTEGER) AS edit_run_max, regexp_matches
 def sequence_(spark, sf):
     a = F.col("atoms")
     return bridge.traces(spark, sf).select("trace_id", S.max_run(a, "edit").alias("edit_run_max"), S.contains_seq(a, ["edit", "run_test"]).alias("edit_then_test"), S.first_index(a, "submit").cast("int").alias("first_submit"), S.count_seq(a, ["error", "error"]).alias("double_errors"))
+
+
+# ---------------------------------------------------------------- adapters, learning, streams
+@query("adapter_action_list", f"WITH {TRACE_SQL} SELECT trace_id, spine FROM (SELECT trace_id, array_to_string(list_transform(atoms, lambda a: CASE a WHEN 'prompt_ai' THEN 'other' WHEN 'think' THEN 'other' WHEN 'error' THEN 'other' ELSE a END), ' ') AS spine FROM tr)")
+def adapter_(spark, sf):
+    """Trajectories written as raw action lists and read back through an adapter."""
+    from ..sources.adapters import canonicalize
+
+    names = {"edit": "str_replace", "run_test": "pytest", "read_file": "goto", "search_repo": "find_file", "submit": "exit", "think": "ponder", "prompt_ai": "wait", "error": "crash"}
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    raw = F.parse_json(F.to_json(F.struct("trace_id", "agent", F.transform("atoms", lambda a: F.struct(F.element_at(table, a).alias("action"))).alias("actions"))))
+    return canonicalize(bridge.traces(spark, sf).select(raw.alias("raw")), "swe-agent").select("trace_id", F.array_join("atoms", " ").alias("spine"))
+
+
+@query("cluster_embeddings")
+def cluster_(spark, sf):
+    from ..operators.learn import cluster_vectors
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return cluster_vectors(e, k=8).groupBy("cluster", "label").agg(F.count("*").alias("n"))
+
+
+@query("probe_agents")
+def probe_(spark, sf):
+    from ..operators.learn import leave_one_group_out
+
+    r = leave_one_group_out(_fps(spark, sf))
+    return spark.createDataFrame([(g, float(a)) for g, a in r["by_group"].items()], "fold string, accuracy double")
+
+
+@query("paired_bootstrap")
+def bootstrap_(spark, sf):
+    from ..operators.learn import paired_bootstrap
+
+    t = bridge.traces(spark, sf)
+    r = paired_bootstrap(t.where(F.col("agent") == A), t.where(F.col("agent") == B), scoring.Spec.from_winners(t, FIXED), FIXED)
+    return spark.createDataFrame([(r["n_instances"], r["behavior_move"], r["outcome_delta"])], "n_instances long, behavior_move double, outcome_delta double")

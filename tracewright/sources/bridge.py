@@ -45,7 +45,7 @@ def _gather(rows: DataFrame, *keys: str) -> DataFrame:
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _gather(event_atoms(spark, sf_dir), "trace_id", "agent", "group", "user_id")
-    meta = F.create_map(F.lit("resolved"), (F.col("last_value") > 100).cast("string"), F.lit("instance_id"), F.concat(F.lit("i"), F.col("user_id") % 20))
+    meta = F.create_map(F.lit("resolved"), (F.col("last_value") > 100).cast("string"), F.lit("instance_id"), F.concat(F.lit("i"), F.col("user_id") % 25))
     return g.select("trace_id", "agent", "group", F.col("x.atom").alias("atoms"), meta.alias("metadata"), F.col("user_id").alias("_ord"))
 
 
@@ -76,7 +76,7 @@ EVENT_SQL = """ev AS (
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
 TRACE_SQL = EVENT_SQL + """, tr AS (
   SELECT trace_id, agent, grp, user_id, list(atom ORDER BY ts, event_id) AS atoms,
-    arg_max(value, (ts, event_id)) > 100 AS resolved, 'i' || (user_id % 20) AS instance_id
+    arg_max(value, (ts, event_id)) > 100 AS resolved, 'i' || (user_id % 25) AS instance_id
   FROM ev GROUP BY ALL), sp AS (SELECT *, array_to_string(atoms, ' ') || ' ' AS spine, len(atoms) AS n FROM tr)"""
 SESSION_SQL = EVENT_SQL + """, ses AS (
   SELECT trace_id || '@' || CAST(CAST(ts AS DATE) AS VARCHAR) AS trace_id, agent, grp, user_id, CAST(ts AS DATE) AS day, list(atom ORDER BY ts, event_id) AS atoms
