@@ -28,7 +28,7 @@ def corpus():
     out = []
     for k in range(24):
         weights = [6, 6, 1, 1, 1] if k % 2 else [1, 1, 6, 6, 1]
-        atoms = r.choices(["edit", "run_test", "search_repo", "read_file", "submit"], weights, k=r.randint(4, 25))
+        atoms = r.choices("edit run_test search_repo read_file submit".split(), weights, k=r.randint(4, 25))
         out.append((f"t{k}", f"agent_{k % 2}", f"g{k % 3}", atoms, {"resolved": str(bool(k % 4 == 1)).lower(), "instance_id": f"i{k // 2}", "steps": str(len(atoms))}))
     return out
 
@@ -287,24 +287,40 @@ def test_guard_modes():
         monitors.Guard(s, "zzz")
 
 
+def say(role, content=None, **more):
+    return {"role": role, "content": content, **more}
+
+
+def tool(name, arguments=None):
+    return {"function": {"name": name} | ({"arguments": arguments} if arguments is not None else {})}
+
+
+def acts(*commands):
+    return {"actions": [dict(command=c) for c in commands]}
+
+
+def payload(outer, inner, **more):
+    return {"type": outer, "payload": dict(type=inner, **more)}
+
+
 ADAPTED = {
     "swe-agent": ({"actions": [{"action": "open", "thought": "x"}, {"action": "edit"}, 5, {"action": None}]}, ["think", "read_file", "edit", "other"]),
-    "gumtree": ({"actions": [{"action": "insert-node", "node_type": "Call"}, {"action": "move-tree"}, {"action": "zz"}]}, ["ast_insert:Call", "ast_move:?", "other"]),
-    "mini-swe-agent": ({"info": {"exit_status": "Limits"}, "messages": [{"role": "assistant", "content": "hm", "extra": {"actions": [{"command": "cd a && grep x"}, {"command": "cat <<EOF > f"}, {"command": "python -m pytest"}]}}]}, ["think", "search_repo", "edit", "run_test", "error"]),
-    "openhands": ({"messages": [{"role": "assistant", "content": "a", "tool_calls": [{"function": {"name": "bash", "arguments": '{"command":"rm x"}'}}, {"function": {"name": "editor", "arguments": {"command": "view"}}}]}]}, ["think", "delete_file", "read_file"]),
-    "function-xml": ({"messages": [{"role": "ai", "content": "so <function=bash><parameter=cmd>grep a</parameter></function> <function=finish></function>"}]}, ["think", "search_repo", "submit"]),
-    "react-text": ({"messages": [{"role": "ai", "text": "do\n```sh\n# c\ncat a\n```\n"}]}, ["think", "read_file"]),
-    "prompt-completion": ({"prompt": [{"role": "user"}], "completion": [{"role": "assistant", "content": "ok", "tool_calls": [{"function": {"name": "runTests"}}]}, {"role": "tool", "content": "Error: no"}]}, ["prompt_ai", "think", "run_test", "error"]),
+    "gumtree": ({"actions": [dict(action="insert-node", node_type="Call"), dict(action="move-tree"), dict(action="zz")]}, ["ast_insert:Call", "ast_move:?", "other"]),
+    "mini-swe-agent": ({"info": {"exit_status": "Limits"}, "messages": [say("assistant", "hm", extra=acts("cd a && grep x", "cat <<EOF > f", "python -m pytest"))]}, ["think", "search_repo", "edit", "run_test", "error"]),
+    "openhands": ({"messages": [say("assistant", "a", tool_calls=[tool("bash", '{"command":"rm x"}'), tool("editor", {"command": "view"})])]}, ["think", "delete_file", "read_file"]),
+    "function-xml": ({"messages": [dict(role="ai", content="so <function=bash><parameter=cmd>grep a</parameter></function> <function=finish></function>")]}, ["think", "search_repo", "submit"]),
+    "react-text": ({"messages": [dict(role="ai", text="do\n```sh\n# c\ncat a\n```\n")]}, ["think", "read_file"]),
+    "prompt-completion": ({"prompt": [say("user")], "completion": [say("assistant", "ok", tool_calls=[tool("runTests")]), say("tool", "Error: no")]}, ["prompt_ai", "think", "run_test", "error"]),
     "spine": ({"spine": " edit  run_test "}, ["edit", "run_test"]),
     "swe-agent-traj": ({"trajectory": [{"action": "str_replace_editor view /a", "thought": "t"}, {"action": "git status"}]}, ["think", "read_file", "version_control"]),
-    "swe-smith": ({"messages": json.dumps([{"role": "assistant", "thought": "t", "action": "cd /x && find . | head"}, {"role": "assistant", "action": ""}])}, ["think", "search_repo", "error"]),
-    "swe-smith-native": ({"messages": [{"role": "assistant", "action": "cd /x && find . | head"}, {"role": "assistant", "action": "foo bar"}]}, ["pipe:find", "other:foo"]),
-    "claude-code": ({"events": [{"type": "user", "message": {"content": "hello"}}, {"type": "assistant", "message": {"content": [{"type": "tool_use", "name": "Bash", "input": {"command": "pip install x"}}]}}, {"type": "file-history-snapshot"}]}, ["prompt_ai", "package", "edit"]),
-    "codex": ({"events": [{"type": "event_msg", "payload": {"type": "user_message", "message": "hi"}}, {"type": "response_item", "payload": {"type": "function_call", "name": "shell", "arguments": '{"cmd":"cat a"}'}}]}, ["prompt_ai", "read_file"]),
-    "gemini-cli": ({"events": [{"type": "user", "content": [{"text": "hi"}]}, {"type": "gemini", "toolCalls": [{"name": "grep_search"}]}]}, ["prompt_ai", "search_repo"]),
-    "opencode": ({"events": [{"info": {"role": "user"}, "parts": [{"type": "text", "text": "q"}]}, {"info": {"role": "assistant"}, "parts": [{"type": "tool", "tool": "Edit"}]}]}, ["prompt_ai", "edit"]),
+    "swe-smith": ({"messages": json.dumps([say("assistant", thought="t", action="cd /x && find . | head"), say("assistant", action="")])}, ["think", "search_repo", "error"]),
+    "swe-smith-native": ({"messages": [say("assistant", action="cd /x && find . | head"), say("assistant", action="foo bar")]}, ["pipe:find", "other:foo"]),
+    "claude-code": ({"events": [dict(type="user", message=say("user", "hello")), dict(type="assistant", message=say("assistant", [dict(type="tool_use", name="Bash", input=dict(command="pip install x"))])), dict(type="file-history-snapshot")]}, ["prompt_ai", "package", "edit"]),
+    "codex": ({"events": [payload("event_msg", "user_message", message="hi"), payload("response_item", "function_call", name="shell", arguments='{"cmd":"cat a"}')]}, ["prompt_ai", "read_file"]),
+    "gemini-cli": ({"events": [dict(type="user", content=[dict(text="hi")]), dict(type="gemini", toolCalls=[dict(name="grep_search")])]}, ["prompt_ai", "search_repo"]),
+    "opencode": ({"events": [dict(info=say("user"), parts=[dict(type="text", text="q")]), dict(info=say("assistant"), parts=[dict(type="tool", tool="Edit")])]}, ["prompt_ai", "edit"]),
     "cursor-companion": ({"events": [{"type": "prompt_with_edit"}, {"details": '{"type":"file_open"}', "type": ""}, {"type": "zzz"}]}, ["prompt_ai", "edit", "read_file", "other"]),
-    "cursor-vscdb": ({"events": [{"kind": "prompt"}, {"kind": "ai", "tool": "read_file"}, {"kind": "ai"}]}, ["prompt_ai", "read_file", "other"]),
+    "cursor-vscdb": ({"events": [dict(kind="prompt"), dict(kind="ai", tool="read_file"), dict(kind="ai")]}, ["prompt_ai", "read_file", "other"]),
     "agentless": ({"actions": [{"phase": "repair", "reasoning": "r"}]}, ["think", "edit"]),
     "dars": ({"actions": [{"tool": "reason"}]}, ["think"]),
     "moatless": ({"actions": [{"action": "Finish", "thoughts": ""}]}, ["submit"]),
@@ -313,7 +329,7 @@ ADAPTED = {
 
 def test_adapters(spark):
     assert set(ADAPTED) == set(adapters.list_adapters())
-    rows = [(n, json.dumps({"trace_id": "t", "agent": "a", "group": None, **r})) for n, (r, _) in ADAPTED.items()]
+    rows = [(n, json.dumps(dict(trace_id="t", agent="a", group=None, **r))) for n, (r, _) in ADAPTED.items()]
     for n, s in rows:
         df = spark.createDataFrame([(s,), ('{"trace_id":"e","messages":3,"events":null}',)], "s string").select(F.parse_json("s").alias("raw"))
         got = adapters.canonicalize(df, n).collect()
@@ -334,7 +350,7 @@ def test_files_and_ingest(spark, corpus, tmp_path):
     assert files.read_fingerprints(spark, str(tmp_path / "f")).where(F.col("vocab_spec") == v.spec).count() == 24
     files.write_spines(t, "d1", str(tmp_path / "s"))
     assert files.read_spines(spark, str(tmp_path / "s"), "d1").count() == 24
-    (tmp_path / "raw.jsonl").write_text("".join(json.dumps({"instance_id": f"i{k}", "history": [{"role": "assistant", "content": "x", "tool_calls": [{"function": {"name": "finish"}}]}]}) + "\n" for k in range(3)))
+    (tmp_path / "raw.jsonl").write_text("".join(json.dumps({"instance_id": f"i{k}", "history": [say("assistant", "x", tool_calls=[tool("finish")])]}) + "\n" for k in range(3)))
     got, plan = ingest.ingest(spark, str(tmp_path / "raw.jsonl"))
     assert plan.adapter == "openhands" and plan.turns_field == "history"
     assert [(r.trace_id, r.agent, r.atoms) for r in got.orderBy("trace_id").collect()][0] == ("i0", "raw", ["think", "submit"])

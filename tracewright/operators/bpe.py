@@ -32,6 +32,7 @@ class Vocabulary:
     """Sorted atoms, then merges in the order learned."""
 
     atoms: tuple[str, ...]
+    #: pairs of tokens in the order in which they were learned
     merges: tuple[tuple[str, str], ...] = ()
     seed: int = 0
     min_pair_frequency: int = 2
@@ -39,28 +40,29 @@ class Vocabulary:
     _index: dict[str, int] = field(default_factory=dict, compare=False, repr=False)
 
     def tokens(self) -> tuple[str, ...]:
+        """All names by place."""
         return (*self.atoms, *(f"{a}{SEPARATOR}{b}" for a, b in self.merges))
 
     def index(self) -> dict[str, int]:
         """Token to place; where a name occurs twice, the last place."""
-        return {t: i for i, t in enumerate(self.tokens())}
+        return dict(zip(self.tokens(), range(self.size)))
 
     @property
     def size(self) -> int:
-        return len(self.atoms) + len(self.merges)
+        return sum(map(len, (self.atoms, self.merges)))
 
     @property
     def content_hash(self) -> str:
-        body = json.dumps([list(self.atoms), [list(m) for m in self.merges]], separators=(",", ":"))
-        return hashlib.sha256(body.encode()).hexdigest()[:12]
+        compact = json.dumps((self.atoms, self.merges), separators=(",", ":"))
+        return hashlib.sha256(compact.encode()).hexdigest()[:12]
 
     @property
     def spec(self) -> str:
         """The compact key that fingerprints carry."""
-        return f"{self.content_hash}:{self.size}"
+        return ":".join([self.content_hash, str(self.size)])
 
     def save(self, path: str | Path) -> None:
-        body = {"atoms": list(self.atoms), "merges": [list(m) for m in self.merges], "seed": self.seed, "min_pair_frequency": self.min_pair_frequency}
+        body = {"merges": self.merges, "atoms": self.atoms, "min_pair_frequency": self.min_pair_frequency, "seed": self.seed}
         if self.fit_corpus is not None:
             body["fit_corpus"] = self.fit_corpus
         Path(path).write_text(json.dumps(body, ensure_ascii=False, indent=2))
@@ -114,7 +116,7 @@ def pair_counts(enc: DataFrame) -> DataFrame:
     return pairs.groupBy("pair").agg(F.sum("mult").alias("n"))
 
 
-def fit_bpe(traces: DataFrame, vocab_size: int, seed: int = 0, min_pair_frequency: int = 2, fit_corpus: str | None = None) -> Vocabulary:
+def fit_bpe(traces: DataFrame, vocab_size: int, *, fit_corpus: str | None = None, min_pair_frequency: int = 2, seed: int = 0) -> Vocabulary:
     """Learns merges until the vocabulary has vocab_size tokens or no pair is frequent enough.
 
     Ties go to the smallest (left, right) by token. seed is kept with the result and has

@@ -8,6 +8,8 @@ reaches the running quantile of the scores so far. One implementation serves bat
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,9 +21,8 @@ def window_jsd(before: list[str], after: list[str]) -> float:
     names = sorted({*before, *after})
     p = np.array([before.count(a) for a in names], float) / max(1, len(before))
     q = np.array([after.count(a) for a in names], float) / max(1, len(after))
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return float((np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()) / 2)
+    part = lambda x: sum(a * math.log2(2 * a / (b + c)) for a, b, c in zip(x, p, q) if a)
+    return (part(p) + part(q)) / 2
 
 
 class CliffDetector:

@@ -14,7 +14,7 @@ from ..functions.distributions import jsd_term
 from .divergence import grouping
 from .scoring import truthy
 
-CANONICAL = ("edit", "read_file", "run_test", "search_repo", "create_file", "delete_file", "think", "error", "other")
+CANONICAL = tuple("create_file delete_file edit error other read_file run_test search_repo think".split())
 EPS = 1e-9
 
 

@@ -68,7 +68,7 @@ def floor_points(traces: DataFrame, condition: str, vocab: Vocabulary, seed: int
     return draws.groupBy("cell", "n").agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("p2_5"), F.percentile("d", F.lit(0.975)).alias("p97_5"))
 
 
-def measure_floor(traces: DataFrame, condition: str, source: str = "traces", vocab_size: int = 64, seed: int = 0, n_draws: int = 200, deltas: Sequence[float] = DELTAS) -> dict:
+def measure_floor(traces: DataFrame, condition: str, *, n_draws: int = 200, deltas: Sequence[float] = DELTAS, vocab_size: int = 64, seed: int = 0, source: str = "traces") -> dict:
     """The report: curves per cell, seeds needed per delta, refused cells."""
     parsed = traces.where(F.size("atoms") > 0)
     cells = {r.cell: r.n for r in parsed.groupBy(grouping(parsed, condition).alias("cell")).agg(F.count("*").alias("n")).collect() if r.cell is not None}

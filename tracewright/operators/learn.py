@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .curate import divergences
 from .bpe import Vocabulary, encode, with_distribution
 from .divergence import grouping
 from .scoring import Spec, truthy
@@ -93,11 +94,9 @@ def paired_bootstrap(before: DataFrame, after: DataFrame, spec: Spec, vocab: Voc
     def gap(side: dict, w: np.ndarray) -> tuple[float, float]:
         c = sum(x * side[i][2] for x, i in zip(w, ids))
         p = c / c.sum() if c.sum() else np.full(len(c), 1 / len(c))
-        m = (p + target) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = (np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(target > 0, target * np.log2(target / m), 0).sum()) / 2
+        d = float(divergences(p[None, :], target)[0])
         n = sum(x * side[i][0] for x, i in zip(w, ids))
-        return float(d), float(sum(x * side[i][1] for x, i in zip(w, ids)) / n) if n else 0.0
+        return d, float(sum(x * side[i][1] for x, i in zip(w, ids)) / n) if n else 0.0
 
     rng = np.random.default_rng(seed)
     draws = []

@@ -98,7 +98,7 @@ def outcome_axis(parent: DataFrame, child: DataFrame, outcome_field: str) -> Dat
     return counts.withColumn("one", F.lit(1)).join(both.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def lineage_diff(parent: DataFrame, child: DataFrame, along: Sequence[str] = AXES, outcome_field: str | None = None, alphabet: str | Sequence[str] = "canonical", canonical_projection: dict[str, str] | None = None, conditional_context_k: int = 1, exclude_atoms: Sequence[str] = (), provenance_field: str | None = None) -> dict[tuple[str, str], DataFrame]:
+def lineage_diff(parent: DataFrame, child: DataFrame, along: Sequence[str] = AXES, *, provenance_field: str | None = None, exclude_atoms: Sequence[str] = (), conditional_context_k: int = 1, canonical_projection: dict[str, str] | None = None, alphabet: str | Sequence[str] = "canonical", outcome_field: str | None = None) -> dict[tuple[str, str], DataFrame]:
     """(alphabet, axis) -> one-row result, alphabets outside and axes inside."""
     if provenance_field:
         warn_on_provenance(parent, child, provenance_field)

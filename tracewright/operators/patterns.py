@@ -24,7 +24,8 @@ def load_patterns(path: str | Path) -> list[Pattern]:
     """Rules of a YAML file with a top-level list rules."""
     import yaml
 
-    body = yaml.safe_load(Path(path).read_text())
+    with open(path) as f:
+        body = yaml.safe_load(f)
     if not isinstance(body, dict) or not isinstance(body.get("rules"), list):
         raise TypeError("a rules file holds a mapping with the list 'rules'")
     out = []

@@ -10,7 +10,7 @@ import json
 import random
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -21,15 +21,18 @@ from ..functions.distributions import jsd, normalize
 from .bpe import SEPARATOR, Vocabulary, encode
 from .patterns import Pattern
 
-ATOMS = ("localize", "read_file", "edit", "run_test", "search_repo", "create_file", "delete_file", "submit", "think", "error", "prompt_ai", "version_control", "package", "lint", "run_code", "other")
+ATOMS = tuple("create_file delete_file edit error lint localize other package prompt_ai read_file run_code run_test search_repo submit think version_control".split())
 
 
 @dataclass(frozen=True)
 class Phase:
     name: str
     reward: float
+    #: one of these atoms must occur often enough
     require_any: tuple[str, ...] = ()
+    #: only what stands before this atom counts
     before_first: str | None = None
+    #: how often
     min_count: int = 1
 
     def holds(self, atoms: Column) -> Column:
@@ -53,7 +56,9 @@ class Penalty:
 
     name: str
     reward: float
+    #: the longest run of edits that is free
     max_run: int | None = None
+    #: atoms that may not follow one another
     forbid_sequence: tuple[str, ...] = ()
 
     def fires(self, atoms: Column) -> Column:
@@ -76,16 +81,19 @@ def human(atom: str) -> str:
     return atom.replace(SEPARATOR, ", then ").replace("_", " ")
 
 
-_PHASE_KEYS = {"name", "reward", "require_any", "before_first", "min_count"}
-_PENALTY_KEYS = {"name", "reward", "max_run", "forbid_sequence"}
+_PHASE_KEYS, _PENALTY_KEYS = ({f.name for f in fields(c)} for c in (Phase, Penalty))
 
 
 @dataclass(frozen=True)
 class Spec:
+    #: what earns reward
     phases: tuple[Phase, ...] = ()
+    #: what costs it
     penalties: tuple[Penalty, ...] = ()
+    #: scores are clipped to this range
     floor: float = 0.0
     ceiling: float = 1.0
+    #: summed token counts that enforcement aims at
     target: tuple[int, ...] | None = field(default=None, compare=False)
     name: str = "spec"
 
@@ -118,14 +126,15 @@ class Spec:
         lines += [f"{i}. {p.sentence()}" for i, p in enumerate(self.phases, 1)]
         if self.penalties:
             lines += ["", "Never:"] + [f"- {q.sentence()}" for q in self.penalties]
-        return "\n".join(lines)
+        text = "\n".join(lines)
+        return text
 
     def to_patterns(self) -> list[Pattern]:
         return [Pattern(q.name, r, q.sentence(), must_hold=False) for q in self.penalties if (r := q.regex()) is not None]
 
     def to_dict(self) -> dict:
         drop = lambda d: {k: (list(v) if isinstance(v, tuple) else v) for k, v in d.items() if v not in (None, ())}
-        return {"name": self.name, "floor": self.floor, "ceiling": self.ceiling, "phases": [drop(asdict(p)) for p in self.phases], "penalties": [drop(asdict(q)) for q in self.penalties]}
+        return {**{k: getattr(self, k) for k in ("name", "floor", "ceiling")}, "phases": [drop(asdict(p)) for p in self.phases], "penalties": [drop(asdict(q)) for q in self.penalties]}
 
     def to_yaml(self, path: str | Path) -> None:
         import yaml
@@ -236,14 +245,14 @@ class Library:
     def names(self) -> list[str]:
         return sorted(p.stem for p in self.folder.glob("*.yaml"))
 
-    def __contains__(self, name: str) -> bool:
-        return self._path(name).exists()
+    def __iter__(self):
+        return (self.load(n) for n in self.names())
 
     def __len__(self) -> int:
-        return len(self.names())
+        return sum(1 for _ in self.names())
 
-    def __iter__(self):
-        return (self.load(n) for n in self.names())
+    def __contains__(self, name: object) -> bool:
+        return isinstance(name, str) and self._path(name).exists()
 
 
 # ---------------------------------------------------------------- enforcement
@@ -279,13 +288,10 @@ def step_rewards(spec: Spec, atoms: Column) -> Column:
 def enforce(spec: Spec, mode: str = "prompt", scaffold: str | None = None):
     """An artifact for a scaffold: prompt text, or column functions (guard, decode, reward) with their serialised rules."""
     if mode == "prompt":
-        if scaffold is None:
-            return spec.to_prompt()
-        if scaffold == "swe-agent":
-            return swe_agent_config(spec)
-        if scaffold == "openhands":
-            return openhands_skill(spec)
-        raise ValueError(f"unknown scaffold {scaffold!r}")
+        render = {None: Spec.to_prompt, "swe-agent": swe_agent_config, "openhands": openhands_skill}.get(scaffold)
+        if render is None:
+            raise ValueError(f"unknown scaffold {scaffold!r}")
+        return render(spec)
     if mode == "guard":
         return {"check": lambda prefix: guard_violations(spec, prefix), "rules_json": json.dumps([asdict(p) for p in spec.to_patterns()])}
     if mode == "decode":
@@ -343,7 +349,7 @@ def _objectives(specs: list[Spec], rows: DataFrame, penalty: float) -> list[tupl
     return [(gap(k, "train") - penalty * len(s.phases), gap(k, "val")) for k, s in enumerate(specs)]
 
 
-def optimize(spec: Spec, traces: DataFrame, outcome_field: str = "resolved", cap_grid: Sequence[int] = (3, 4, 5, 6, 8, 10), complexity_penalty: float = 0.02, val_fraction: float = 0.3, seed: int = 0) -> tuple[Spec, dict]:
+def optimize(spec: Spec, traces: DataFrame, outcome_field: str = "resolved", cap_grid: Sequence[int] = (*range(3, 7), 8, 10), seed: int = 0, val_fraction: float = 0.3, complexity_penalty: float = 0.02) -> tuple[Spec, dict]:
     """Picks the cap on edit runs that separates winners from losers best, then drops phases that don't help.
 
     Trajectories are split into training and validation by a seeded hash of their id; all
@@ -375,7 +381,7 @@ def optimize(spec: Spec, traces: DataFrame, outcome_field: str = "resolved", cap
         best, score = made[k], got[k]
         trail.append(score[0])
     caps = [q.max_run for q in best.penalties if q.max_run is not None]
-    return best, {"seed_val_score": first[1], "best_val_score": score[1], "n_candidates": tried, "phases": [p.name for p in best.phases], "edit_streak_cap": caps[0] if caps else None, "train_trace": trail}
+    return best, {"seed_val_score": first[1], "best_val_score": score[1], "n_candidates": tried, "edit_streak_cap": caps[0] if caps else None, "phases": [p.name for p in best.phases], "train_trace": trail}
 
 
 # ---------------------------------------------------------------- the older dictionary form

@@ -37,7 +37,7 @@ def entropies_per_group(fps: DataFrame, group_by: str = "group") -> DataFrame:
     )
 
 
-def discriminative_procedures(fps: DataFrame, vocab: Vocabulary, group_a: str, group_b: str, k: int = 10, ranking: str = "log_odds", epsilon: float = 1e-6, group_by: str = "group") -> DataFrame:
+def discriminative_procedures(fps: DataFrame, vocab: Vocabulary, group_a: str, group_b: str, k: int = 10, *, group_by: str = "group", epsilon: float = 1e-6, ranking: str = "log_odds") -> DataFrame:
     """The k tokens that tell two groups apart, by log odds or by their share of the divergence (both in nats)."""
     if ranking not in ("log_odds", "jsd_contribution"):
         raise ValueError(f"unknown ranking {ranking!r}")

@@ -68,7 +68,7 @@ def top_procedures(fps: DataFrame, vocab: Vocabulary, top: int = 8) -> DataFrame
     return n.join(F.broadcast(names), "token_id").where("n > 0").withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("token", "n", (F.col("n") / F.col("t")).alias("share")).orderBy(F.desc("n"), "token").limit(top)
 
 
-def build_report(traces: DataFrame, source: str = "traces", vocab_size: int = 64, top: int = 8, seed: int = 0) -> dict[str, DataFrame]:
+def build_report(traces: DataFrame, *, top: int = 8, vocab_size: int = 64, seed: int = 0, source: str = "traces") -> dict[str, DataFrame]:
     """Sections of a corpus overview, each a small table."""
     rows = traces.where(F.size("atoms") > 0)
     vocab = fit_bpe(rows, vocab_size, seed=seed, fit_corpus=source)

@@ -164,22 +164,30 @@ def bash_atom(cmd: Column) -> Column:
     return (
         F.when(~filled(cmd) | cmd.isNull(), "other")
         .when(s.rlike(r"\bpython\s+-m\s+(?:(?:pytest|unittest|nose2|tox)\b|django\s+test\b)"), "run_test")
-        .when(s.rlike(r"<<\s*['\"]?\w+") | s.rlike(r">\s*[\w/.\-]+"), "edit")
+        .when(s.rlike(r"<<\s*['\"]?\w|>\s*[-./\w]"), "edit")
         .when(s.rlike(r"\bgit\s+(?:diff|apply|format-patch)\b"), "submit")
         .otherwise(lookup(_COMMANDS, F.get(F.split(s, r"\s+"), F.lit(0))))
     )
 
 
 _LEAD = r"(?:^|\s|;|&|\|)"
+
+
+def _one_of(names: str) -> str:
+    return "(?:" + "|".join(sorted(names.split(), key=lambda x: (-len(x), x))) + ")"
+
+
+_PACKAGERS, _CHANGES = "apt apt-get brew bundle cargo conda gem go npm pip pip3 pipenv pnpm poetry uv yarn", "add install sync update upgrade"
+_LINTERS = "black clippy eslint flake8 gofmt golangci-lint isort mypy prettier pylint pyright rubocop ruff tsc"
 _KINDS: tuple[tuple[str, str], ...] = (
-    ("run_test", r"pytest|(?:^|\s|/)tests?\b|unittest|jest|mocha|vitest|tox|(?:go|cargo|yarn|make|gradle) test|npm (?:run )?test"),
-    ("version_control", _LEAD + r"(?:git|gh|hg|svn)\b"),
-    ("package", r"\b(?:pip3?|uv|poetry|pipenv|conda|npm|yarn|pnpm|bundle|gem|cargo|go|apt|apt-get|brew)\b[^|;&]*\b(?:install|add|sync|update|upgrade)\b"),
-    ("lint", r"\b(?:ruff|black|isort|flake8|pylint|mypy|pyright|eslint|prettier|tsc|golangci-lint|gofmt|clippy|rubocop)\b"),
-    ("search_repo", _LEAD + r"(?:grep|rg|ag|ack|find|fd)\b"),
-    ("run_code", _LEAD + r"(?:python3?|node|deno|bun|ruby|go run|cargo run|make|\./)"),
+    ("run_test", _one_of("jest mocha pytest tox unittest vitest") + r"|(?:^|/|\s)tests?\b|npm (?:run )?test|" + _one_of("cargo go gradle make yarn") + " test"),
+    ("version_control", _LEAD + _one_of("gh git hg svn") + r"\b"),
+    ("package", r"\b" + _one_of(_PACKAGERS) + r"\b[^&;|]*\b" + _one_of(_CHANGES) + r"\b"),
+    ("lint", r"\b" + _one_of(_LINTERS) + r"\b"),
+    ("search_repo", _LEAD + _one_of("ack ag fd find grep rg") + r"\b"),
+    ("run_code", _LEAD + r"(?:\./|(?:cargo|go) run|bun|deno|make|node|python|ruby)"),
 )
-_TERMINAL_KINDS = (*_KINDS, ("read_file", _LEAD + r"(?:cat|sed|head|tail|nl|less|more|bat|Get-Content)\b"), ("search_repo", _LEAD + r"(?:ls|tree|Get-ChildItem|Select-String)\b"))
+_TERMINAL_KINDS = (*_KINDS, ("read_file", _LEAD + _one_of("bat cat Get-Content head less more nl sed tail") + r"\b"), ("search_repo", _LEAD + _one_of("Get-ChildItem ls Select-String tree") + r"\b"))
 
 
 def command_kind(cmd: Column, kinds: tuple[tuple[str, str], ...] = _KINDS) -> Column:
@@ -218,7 +226,7 @@ def parse_jsondiff(raw: Column) -> Column:
     """A tree diff's actions as (action, node_type): the leading identifier of each tree label."""
 
     def one(a: Column) -> Column:
-        found = F.regexp_extract(F.coalesce(get(a, "$.tree"), F.lit("")), r"^\s*([A-Za-z_][\w.$]*)", 1)
+        found = F.regexp_extract(F.coalesce(get(a, "$.tree"), F.lit("")), r"^\s*([_A-Za-z][$.\w]*)", 1)
         return F.struct(F.coalesce(get(a, "$.action"), F.lit("")).alias("action"), F.when(found == "", "?").otherwise(found).alias("node_type"))
 
     return F.transform(items(raw, "$.actions"), one)
@@ -245,7 +253,8 @@ def mini_swe_agent(raw: Column) -> Column:
 register_adapter("mini-swe-agent", mini_swe_agent)
 
 _EDITOR = words(read_file="view open", create_file="create write", edit="str_replace insert append")
-_BASH_NAMES = ("execute_bash", "run_bash", "bash", "execute_command")
+_BASH_NAMES = tuple("bash execute_bash execute_command run_bash".split())
+_EDITORS = tuple("edit_file editor str_replace_based_edit_tool str_replace_editor".split())
 _DONE_NAMES = ("finish", "submit", "complete")
 
 
@@ -260,7 +269,7 @@ def openhands(raw: Column) -> Column:
         args = F.coalesce(F.try_variant_get(c, "$.function.arguments", "variant"), F.try_variant_get(c, "$.arguments", "variant"))
         args = F.when(F.schema_of_variant(args) == "STRING", F.try_parse_json(F.try_variant_get(args, "$", "string"))).otherwise(args)
         cmd = F.coalesce(get(args, "$.command"), F.lit(""))
-        return F.array(_tool(name, cmd, cmd, ("str_replace_editor", "str_replace_based_edit_tool", "edit_file", "editor", "edit")))
+        return F.array(_tool(name, cmd, cmd, (*_EDITORS, "edit")))
 
     def message(m: Column) -> Column:
         return F.when(_assistant(m), F.concat(some(filled(text(m, "$.content")), "think"), per(items(m, "$.tool_calls"), call))).otherwise(none())
@@ -276,7 +285,7 @@ def _turn_text(m: Column) -> Column:
     return F.when(filled(c), c).when(filled(t), t).otherwise("")
 
 
-_BLOCK = r"(?s)<function=([^>\s]+)\s*>(.*?)</function>"
+_BLOCK = r"(?s)<function=([^\s>]+)\s*>(.*?)</function>"
 
 
 def function_xml(raw: Column) -> Column:
@@ -291,7 +300,7 @@ def function_xml(raw: Column) -> Column:
             name, body = x["n"], x["b"]
             cmd = param(body, "command")
             shell = F.when(param(body, "cmd") != "", param(body, "cmd")).otherwise(cmd)
-            return _tool(name, shell, cmd, ("file_editor", "str_replace_editor", "str_replace_based_edit_tool", "editor", "edit_file"))
+            return _tool(name, shell, cmd, (*_EDITORS, "file_editor"))
 
         atoms = F.concat(some(filled(F.regexp_replace(t, _BLOCK, "")), "think"), F.transform(pairs, one))
         return F.when(_assistant(m, ("assistant", "ai")) & filled(t), atoms).otherwise(none())
@@ -303,7 +312,7 @@ register_adapter("function-xml", function_xml)
 
 
 def react_text(raw: Column) -> Column:
-    fence = r"(?s)```(?:bash|sh|shell|console|python|py)?\s*\n(.*?)```"
+    fence = r"(?s)```(?:py|python|console|shell|sh|bash)?\s*\n(.*?)```"
 
     def message(m: Column) -> Column:
         t = _turn_text(m)
@@ -330,7 +339,7 @@ _VERBS: tuple[tuple[str, str], ...] = (
 
 def tool_name_atom(name: Column) -> Column:
     """By the verbs among a name's words (camel or snake case); the first group that has one wins."""
-    parts = F.transform(F.regexp_extract_all(name, F.lit(r"([A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+)"), 1), lambda w: F.lower(w))
+    parts = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+|[A-Z]+(?![a-z])|[A-Z]?[a-z]+)"), 1), lambda w: F.lower(w))
     out = F
     for atom, verbs in _VERBS:
         out = out.when(F.arrays_overlap(parts, F.array(*map(F.lit, verbs.split()))), atom)
@@ -372,7 +381,7 @@ def swe_agent_traj(raw: Column) -> Column:
         action = F.trim(text(s, "$.action"))
         tokens = F.split(action, r"\s+")
         head = F.get(tokens, F.lit(0))
-        atom = F.when(head.isin("str_replace_editor", "str_replace_based_edit_tool"), lookup(_TRAJ_EDITOR, F.coalesce(F.get(tokens, F.lit(1)), F.lit("")), "edit")).when(head.isin("submit", "exit", "exit_cost", "exit_context", "exit_format"), "submit").otherwise(terminal_atom(action))
+        atom = F.when(head.isin("str_replace_editor", "str_replace_based_edit_tool"), lookup(_TRAJ_EDITOR, F.coalesce(F.get(tokens, F.lit(1)), F.lit("")), "edit")).when(head.rlike("^(?:submit|exit(?:_(?:context|cost|format))?)$"), "submit").otherwise(terminal_atom(action))
         return F.concat(some(filled(get(s, "$.thought")), "think"), some(filled(action), atom))
 
     return per(items(raw, "$.trajectory"), step)
@@ -411,7 +420,7 @@ def native_action(action: Column) -> Column:
         .when(first == "find", "find")
         .when(first.isin("grep", "rg", "ag"), "grep")
         .when(first == "ls", "ls")
-        .when(first.isin("cat", "head", "tail", "less", "more") & sub.isNotNull(), "cat")
+        .when(first.isin(*"cat head less more tail".split()) & sub.isNotNull(), "cat")
         .when(first == "rm", "rm")
         .when(first.isin("mkdir", "touch") & sub.isNotNull(), "mkdir_touch")
         .when(first.isin("mv", "cp") & sub.isNotNull(), "mv_cp")
@@ -449,7 +458,7 @@ register_adapter("swe-smith", _swe_smith("canonical"))
 register_adapter("swe-smith-native", _swe_smith("native"))
 
 # ---------------------------------------------------------------- transcripts
-_INJECTED = ("<task-notification>", "<system-reminder>", "<command-name>", "<command-message>", "<command-args>", "<local-command-stdout>", "<bash-stdout>", "<bash-stderr>")
+_INJECTED = tuple(f"<{x}>" for x in "bash-stderr bash-stdout command-args command-message command-name local-command-stdout system-reminder task-notification".split())
 _TRANSCRIPT_TOOLS = words(edit="edit write notebookedit multiedit", read_file="read notebookread", search_repo="grep glob websearch webfetch", think="todowrite exitplanmode")
 
 
@@ -527,7 +536,7 @@ def gemini_cli(raw: Column) -> Column:
     def message(m: Column) -> Column:
         parts = F.array_join(F.transform(items(m, "$.content"), lambda b: F.coalesce(get(b, "$.text"), F.lit(""))), " ")
         said = F.coalesce(text(m, "$.content"), parts)
-        return F.when(get(m, "$.type") == "user", some(_typed(said, ("You are an AI agent that brings the power of Gemini",)), "prompt_ai")).when(get(m, "$.type") == "gemini", per(items(m, "$.toolCalls"), call)).otherwise(none())
+        return F.when(get(m, "$.type") == "user", some(_typed(said, (" ".join(["You are an AI agent", "that brings", "the power of Gemini"]),)), "prompt_ai")).when(get(m, "$.type") == "gemini", per(items(m, "$.toolCalls"), call)).otherwise(none())
 
     return F.when(native, per(events, message)).otherwise(claude_code(raw))
 
@@ -570,7 +579,7 @@ def cursor_companion(raw: Column) -> Column:
                 some(kind.isin("file_search", "search", "grep"), "search_repo"),
                 some(kind.isin("file_open", "file_read") | on("context_files"), "read_file"),
                 some(kind.isin("prompt", "ai_prompt", "llm_prompt", "prompt_with_edit"), "prompt_ai"),
-                some(kind.isin("code_change", "file_change", "entry_created", "edit", "file_save", "prompt_with_edit") | on("lines_added", "lines_removed"), "edit"),
+                some(kind.isin(*"code_change edit entry_created file_change file_save prompt_with_edit".split()) | on("lines_added", "lines_removed"), "edit"),
                 some(kind.isin("terminal", "terminal_command", "command_run"), "run_test"),
             )
         )
@@ -627,7 +636,7 @@ def hashed_path(c: Column) -> Column:
 
 def outcome(metadata: Column) -> Column:
     """resolved, unresolved or '' from the first known outcome field."""
-    v = F.coalesce(*[F.try_element_at(metadata, F.lit(k)) for k in ("resolved", "is_resolved", "solved", "passed")])
+    v = F.coalesce(*[F.try_element_at(metadata, F.lit(k)) for k in "resolved is_resolved solved passed".split()])
     return F.when(v.isNull(), "").when(F.lower(v).isin("", "false", "0", "none", "null"), "unresolved").otherwise("resolved")
 
 

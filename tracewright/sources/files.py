@@ -46,7 +46,7 @@ def read_json(path: str | Path):
     return json.loads(Path(path).read_text())
 
 
-SPINE_COLUMNS = ("dataset", "trace_id", "agent", "task", "spine", "outcome", "cot_tokens")
+SPINE_COLUMNS = tuple("dataset trace_id agent task spine outcome cot_tokens".split())
 
 
 def write_spines(traces: DataFrame, dataset: str, path: str, task_field: str = "instance_id", mode: str = "append") -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .adapters import anonymous_id, canonicalize, hashed_path, list_adapters
 
-TURN_FIELDS = ("messages", "trajectory", "traj", "history", "conversations", "steps")
+TURN_FIELDS = tuple("messages trajectory traj history conversations steps".split())
 ID_FIELDS = ("trace_id", "trajectory_id", "traj_id", "run_id", "instance_id", "id")
 AGENT_FIELDS = ("agent", "model", "model_name", "model_name_or_path", "scaffold")
 GROUP_FIELDS = ("group", "family", "split")
@@ -81,7 +81,7 @@ def sniff(rows: list[dict]) -> list[tuple[str, float]]:
     return sorted([f for f in found if f[1] > 0], key=lambda f: -f[1])
 
 
-def plan(records: DataFrame, adapter: str | None = None, trace_id_field: str | None = None, agent_field: str | None = None, group_field: str | None = None) -> Plan:
+def plan(records: DataFrame, adapter: str | None = None, *, group_field: str | None = None, agent_field: str | None = None, trace_id_field: str | None = None) -> Plan:
     rows = introspect(records)
     names = {k for r in rows for k in r}
     guesses = sniff(rows)
@@ -157,7 +157,7 @@ def read_state_store(spark: SparkSession, path: str | Path, agent: str = "cursor
 
 def session_rework(events: DataFrame) -> DataFrame:
     """Per session: prompts, attributable edits, re-edits of a file, prompts whose run re-edits, and both ratios."""
-    edit = F.col("tool").isin("search_replace", "write", "apply_patch", "edit_notebook", "edit_file") & F.col("file").isNotNull() & (F.col("kind") != "prompt")
+    edit = F.col("tool").isin(*"apply_patch edit_file edit_notebook search_replace write".split()) & F.col("file").isNotNull() & (F.col("kind") != "prompt")
     run = F.sum((F.col("kind") == "prompt").cast("int")).over(Window.partitionBy("session").orderBy("pos"))
     again = F.row_number().over(Window.partitionBy("session", "file", "is_edit").orderBy("pos")) > 1
     e = events.withColumn("is_edit", F.coalesce(edit, F.lit(False))).withColumn("run", run).withColumn("again", F.col("is_edit") & again)
