@@ -150,19 +150,22 @@ def scan_words(words: list[bytes], hits: list[tuple[int, int, int]], index: Inde
     found: list[tuple[int, float, int, int]] = []
     for t in sorted({h[1] for h in hits}):
         own = index.words[t]
+        # two occurrences are a template apart at least, so neither the grouping nor the
+        # alignment of one reaches the other
+        near, wide = max(1, min(band, len(own) // 4)), max(1, min(2 * band, (len(own) - 1) // 2))
         diagonals = sorted({p - q for p, x, q in hits if x == t})
         groups: list[list[int]] = []
         for d in diagonals:
-            if groups and d - groups[-1][0] <= band:
+            if groups and d - groups[-1][0] <= near:
                 groups[-1].append(d)
             else:
                 groups.append([d])
         mine = []
         for g in groups:
             d = g[len(g) // 2]
-            lo = max(0, d - 2 * band)
-            part = words[lo : d + len(own) + 2 * band]
-            matched, a, z = align(own, part, d - lo, 2 * band)
+            lo = max(0, d - wide)
+            part = words[lo : d + len(own) + wide]
+            matched, a, z = align(own, part, d - lo, wide)
             if matched >= min_coverage * len(own):
                 mine.append((matched / len(own), a + lo, z + lo))
         kept: list[tuple[float, int, int]] = []

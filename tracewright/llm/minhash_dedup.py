@@ -92,13 +92,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h1, h2 = class_hash(h, first)
             sig = signatures(h, first)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SLOTS), j - i, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
-            yield pa.record_batch([column(b, "doc_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(h1), pa.array(h2), raw], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.record_batch([column(b, "doc_id").slice(i, j - i), column(b, "look").slice(i, j - i), pa.array(np.diff(first)), pa.array(h1), pa.array(h2), raw], names=["doc_id", "look", "n_shingles", "h1", "h2", "sig"])
+
+
+def _look():
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("look")
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig) of every document; one pass."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    """(doc_id, look, n_shingles, h1, h2, sig) of every document; one pass. look is the id, or a hash of the text where that is null."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _look(), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(_sketch, "doc_id long, look long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -148,7 +152,7 @@ def _sets(filt):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filt.value
         for b in batches:
-            ids = column(b, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = column(b, "look").to_numpy(zero_copy_only=False).astype(np.int64)
             part = b.filter(pa.array(may_hold(table, ids)))
             data, offsets = text_buffer(column(part, "text"))
             for i, j in slices(offsets):
@@ -156,18 +160,17 @@ def _sets(filt):
                 h1, h2 = class_hash(h, first)
                 six = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]) if len(h) else np.zeros((0, 6), np.uint8)
                 raw = six.tobytes()
-                yield pa.record_batch([column(part, "doc_id").slice(i, j - i), pa.array(h1), pa.array(h2), pa.array([raw[6 * s : 6 * e] for s, e in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "h1", "h2", "set"])
+                yield pa.record_batch([column(part, "look").slice(i, j - i), pa.array(h1), pa.array(h2), pa.array([raw[6 * s : 6 * e] for s, e in zip(first[:-1], first[1:])], pa.binary())], names=["look", "h1", "h2", "set"])
 
     return run
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, set) for the classes wanted (cls, rep, h1, h2): the texts are read again, and a filter of bounded size lets only likely ones through."""
-    filt = bloom(wanted.select(F.col("rep").alias("id")))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    got = docs.mapInArrow(_sets(filt), "doc_id long, h1 long, h2 long, set binary")
-    keys = wanted.select("cls", F.col("rep").alias("doc_id"), "h1", "h2")
-    return got.join(keys, ["doc_id", "h1", "h2"]).select("cls", "set").dropDuplicates(["cls"])
+    """(cls, set) for the classes wanted (cls, look, h1, h2): the texts are read again, and a filter of bounded size lets only likely ones through."""
+    filt = bloom(wanted.select(F.col("look").alias("id")))
+    docs = documents.select(_look(), F.col("text").cast("string").alias("text"))
+    got = docs.mapInArrow(_sets(filt), "look long, h1 long, h2 long, set binary")
+    return got.join(wanted.select("cls", "look", "h1", "h2"), ["look", "h1", "h2"]).select("cls", "set").dropDuplicates(["cls"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +219,12 @@ def _pairs(keys: DataFrame) -> DataFrame:
 
 
 def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): confirmed links between classes (cls, rep, n, h1, h2, sig), enough of them that no component is missed."""
+    """(a, b): confirmed links between classes (cls, rep, look, n, h1, h2, sig), enough of them that no component is missed."""
     keys = classes.where("n > 0").select("cls", "sig").mapInArrow(_keys, "key long, j int, cls long")
     centres = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("a")).where("size > 1")
     shared = written(keys.join(centres, "key").select("key", "j", "cls", "a"))
     star = written(near(shared.where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), classes))
-    sets_of = lambda p: full_sets(documents, classes.join(p.select(F.col("a").alias("cls")).unionAll(p.select(F.col("b").alias("cls"))).distinct(), "cls", "left_semi").select("cls", "rep", "h1", "h2"))
+    sets_of = lambda p: full_sets(documents, classes.join(p.select(F.col("a").alias("cls")).unionAll(p.select(F.col("b").alias("cls"))).distinct(), "cls", "left_semi").select("cls", "look", "h1", "h2"))
     found = written(confirm(star, written(sets_of(star))))
     comps = connected_components(found)
     # buckets that still hold several components
@@ -243,7 +246,7 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of documents."""
     sk = written(sketches(documents).withColumn("cls", F.xxhash64("h1", "h2", "n_shingles")))
-    classes = written(sk.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("sig").alias("sig")))
+    classes = written(sk.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("look").alias("look"), F.first("n_shingles").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("sig").alias("sig")))
     comps = connected_components(links(documents, classes))
     named = classes.select("cls", "rep", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -142,9 +142,10 @@ def fit(stats: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndar
         return m
     gw, gv, g0 = np.full(f, 1e-3), np.full((f, rank), 1e-3), 1e-3
     bins = m.bins(stats)
+    batch = min(256, max(16, len(y) // 40))
     for _ in range(epochs):
         order = rng.permutation(len(y))
-        for part in np.array_split(order, max(1, len(y) // 256)):
+        for part in np.array_split(order, max(1, len(y) // batch)):
             k = len(part)
             idx = np.concatenate([np.concatenate([bins[i], rows[i][0]]) for i in part])
             x = np.concatenate([np.concatenate([np.ones(bins.shape[1]), rows[i][1]]) for i in part])
