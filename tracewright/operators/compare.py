@@ -108,7 +108,12 @@ def nearest_group(traces: DataFrame, by: str = "agent") -> DataFrame:
     mean = own.groupBy("g", "atom").agg(F.sum("p").alias("s")).join(n, "g").select(F.col("g").alias("other"), "atom", (F.col("s") / F.col("members")).alias("q"))
     both = own.join(mean, "atom").where("g <> other").groupBy("trace_id", "g", "other").agg(F.sum(jsd_term(F.col("p"), F.col("q")) / math.log(2) - F.col("p") / 2 - F.col("q") / 2).alias("s"))
     d = both.select("trace_id", "g", "other", F.greatest(F.lit(0.0), F.col("s") + 1).alias("d"))
-    return d.groupBy("trace_id", "g").agg(F.min(F.struct("d", "other")).alias("m")).select("trace_id", "g", F.col("m.other").alias("nearest"), F.col("m.d").alias("jsd_bits"))
+    best = d.groupBy("trace_id", "g").agg(F.min(F.struct("d", "other")).alias("m"))
+    # a trajectory that shares no atom with any other group is at distance 1 of all: the first name stands
+    first = n.agg(F.slice(F.array_sort(F.collect_list("g")), 1, 2).alias("names")).withColumn("one", F.lit(1))
+    rest = own.select("trace_id", "g").distinct().withColumn("one", F.lit(1)).join(F.broadcast(first), "one")
+    other = F.get(F.filter("names", lambda x: x != F.col("g")), F.lit(0))
+    return rest.join(best, ["trace_id", "g"], "left").where(other.isNotNull()).select("trace_id", "g", F.coalesce("m.other", other).alias("nearest"), F.coalesce("m.d", F.lit(1.0)).alias("jsd_bits"))
 
 
 def lcs_ratio(a: Column, b: Column) -> Column:

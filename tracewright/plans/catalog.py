@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions import sequences as S
-from ..operators import bpe, cliffs, compare, curate, divergence, floor, lineage, patterns, scoring, stats, summary
+from ..operators import bpe, cliffs, compare, curate, divergence, floor, lineage, patterns, scoring, stats, studies, summary
 from ..sources import bridge
 from ..sources.bridge import EVENT_SQL, SESSION_SQL, TRACE_SQL
 
@@ -547,3 +547,55 @@ def bootstrap_(spark, sf):
     t = bridge.traces(spark, sf)
     r = paired_bootstrap(t.where(F.col("agent") == A), t.where(F.col("agent") == B), scoring.Spec.from_winners(t, FIXED), FIXED)
     return spark.createDataFrame([(r["n_instances"], r["behavior_move"], r["outcome_delta"])], "n_instances long, behavior_move double, outcome_delta double")
+
+
+# ---------------------------------------------------------------- studies
+@query("decile_divergence", f"""WITH {TRACE_SQL}, c AS (SELECT agent AS g, CAST(least(floor((i - 1) * 10 / len(atoms)), 9) AS INTEGER) AS decile, atoms[i] AS atom, count(*) AS n FROM (SELECT agent, atoms, unnest(range(1, len(atoms) + 1)) AS i FROM tr) GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY g, decile) AS p FROM c),
+v AS (SELECT DISTINCT atom FROM p), f AS (SELECT g, decile, v.atom, coalesce(p.p, 0) AS p FROM (SELECT DISTINCT g, decile FROM p) k CROSS JOIN v LEFT JOIN p USING (g, decile, atom))
+SELECT a.decile, a.g AS "row", b.g AS col, round(greatest(0, sum({_term('a.p', 'b.p')}) / ln(2)), 6) AS jsd_bits FROM f a JOIN f b ON a.decile = b.decile AND a.atom = b.atom AND a.g < b.g GROUP BY ALL""")
+def decile_div_(spark, sf):
+    return studies.decile_divergence(bridge.traces(spark, sf)).select("decile", "row", "col", _r("jsd_bits"))
+
+
+@query("rolling_mix", f"""WITH {TRACE_SQL}, e AS (SELECT trace_id, e, atoms[greatest(e - 39, 1) : e] AS tail FROM (SELECT trace_id, atoms, unnest(range(5, n + 1, 5)) AS e FROM sp)), x AS (SELECT trace_id, e, len(tail) AS m, unnest(tail) AS atom FROM e)
+SELECT trace_id, e - 1 AS pos, atom, round(count(*) / max(m), 6) AS share FROM x GROUP BY trace_id, e, atom""")
+def rolling_(spark, sf):
+    return studies.rolling_mix(bridge.traces(spark, sf)).select("trace_id", "pos", "atom", _r("share"))
+
+
+@query("pattern_difference", f"WITH {TRACE_SQL}, m AS (SELECT regexp_matches(spine, '(edit ){{2,}}') AS x, regexp_matches(spine, 'edit edit ') AS y FROM sp) SELECT CAST(count(*) FILTER (WHERE x AND y) AS BIGINT) AS both, CAST(count(*) FILTER (WHERE x AND NOT y) AS BIGINT) AS only_a, CAST(count(*) FILTER (WHERE y AND NOT x) AS BIGINT) AS only_b, CAST(count(*) FILTER (WHERE NOT x AND NOT y) AS BIGINT) AS neither FROM m")
+def pattern_diff_(spark, sf):
+    return studies.pattern_difference(bridge.traces(spark, sf), "(edit ){2,}", "edit edit ")
+
+
+@query("metric_correlations", _ATOM_ENTROPY + """, m AS (SELECT n AS length, h AS entropy, CAST(CAST(resolved AS INTEGER) AS DOUBLE) AS outcome FROM sp JOIN e USING (trace_id))
+SELECT 'length' AS a, 'entropy' AS b, round(corr(length, entropy), 6) AS r FROM m UNION ALL SELECT 'length', 'outcome', round(corr(length, outcome), 6) FROM m UNION ALL SELECT 'entropy', 'outcome', round(corr(entropy, outcome), 6) FROM m""")
+def correlations_(spark, sf):
+    return studies.metric_correlations(studies.trajectory_metrics(bridge.traces(spark, sf)), ("length", "entropy", "outcome")).select("a", "b", _r("r"))
+
+
+@query("outcome_deciles", _ATOM_ENTROPY + """, cuts AS (SELECT quantile_cont(n, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM sp), m AS (SELECT len(list_filter(edges, lambda x: x < n)) AS bucket, resolved FROM sp, cuts)
+SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS n, round(avg(CAST(CAST(resolved AS INTEGER) AS DOUBLE)), 6) AS rate FROM m GROUP BY bucket""")
+def deciles_(spark, sf):
+    return studies.outcome_deciles(studies.trajectory_metrics(bridge.traces(spark, sf)), "length").select("bucket", "n", _r("rate"))
+
+
+@query("task_controlled_jsd", f"""WITH {TRACE_SQL}, x AS (SELECT instance_id AS k, agent, unnest(atoms) AS atom FROM tr WHERE agent IN ('{A}', '{B}')), c AS (SELECT k, atom, count(*) FILTER (WHERE agent = '{A}') AS na, count(*) FILTER (WHERE agent = '{B}') AS nb FROM x GROUP BY ALL), z AS (SELECT k, na / sum(na) OVER (PARTITION BY k) AS p, nb / sum(nb) OVER (PARTITION BY k) AS q, sum(na) OVER (PARTITION BY k) AS ta, sum(nb) OVER (PARTITION BY k) AS tb FROM c)
+SELECT k, round(greatest(0, sum({_term('p', 'q')}) / ln(2)), 6) AS jsd_bits FROM z WHERE ta > 0 AND tb > 0 GROUP BY k""")
+def controlled_(spark, sf):
+    return studies.task_controlled_jsd(bridge.traces(spark, sf), A, B).select("k", _r("jsd_bits"))
+
+
+@query("match_agents")
+def match_agents_(spark, sf):
+    return studies.match_agents(bridge.traces(spark, sf))
+
+
+@query("length_strata")
+def strata_(spark, sf):
+    return studies.length_strata(bridge.traces(spark, sf))
+
+
+@query("explore_compare")
+def explore_(spark, sf):
+    return studies.explore_compare(bridge.traces(spark, sf), A, B, vocab_size=16)["procedures"]

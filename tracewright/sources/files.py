@@ -81,3 +81,20 @@ def read_run_arm(spark: SparkSession, run_dir: str, arm: str, grades: DataFrame
 
 def empty_traces(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], bridge.SCHEMA)
+
+
+# ---------------------------------------------------------------- run manifests
+def build_manifest(spec: dict, instances: list[str], **settings) -> dict:
+    """A run's manifest with the digest of its spec."""
+    import hashlib
+
+    body = json.dumps(spec, sort_keys=True, separators=(",", ":"))
+    return {"spec": spec, "spec_sha256": hashlib.sha256(body.encode()).hexdigest(), "instances": sorted(instances), **settings}
+
+
+def read_manifest(path: str | Path) -> dict:
+    """Refuses a manifest whose spec isn't the one that was digested."""
+    m = read_json(path)
+    if build_manifest(m["spec"], m["instances"])["spec_sha256"] != m["spec_sha256"]:
+        raise ValueError("the spec differs from the manifest's digest")
+    return m
