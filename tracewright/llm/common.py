@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C13 | 3  # odd, so that it has an inverse modulo 2**64
 
 
@@ -28,13 +28,15 @@ _BASE = 0x9E3779B97F4A7C13 | 3  # odd, so that it has an inverse modulo 2**64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent (tests, a laptop) a temporary one is set.
+    Only where the setting is absent (tests, a laptop) a temporary one takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tracewright-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or _own_dir()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tracewright-ckpt-")
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -121,17 +123,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=8)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < size."""
-    base = (_BASE + 8 * 0x1234567 * seed) & (2**64 - 1)
-    inverse = pow(base, -1, 2**64)
-    out = []
-    for b in (base, inverse):
-        p = np.ones(size, U64)
-        p[1:] = U64(b)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """B**i and B**-i modulo 2**64 for i < size at least; one table per seed, grown as needed."""
+    found = _POWERS.get(seed)
+    if found is None or len(found[0]) < size:
+        base = (_BASE + 8 * 0x1234567 * seed) & (2**64 - 1)
+        made = []
+        for b in (base, pow(base, -1, 2**64)):
+            p = np.full(size, U64(b))
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
+        found = _POWERS[seed] = (made[0], made[1])
+    return found
 
 
 def _size(n: int) -> int:

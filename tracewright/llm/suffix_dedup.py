@@ -38,7 +38,7 @@ from .suffix_array import suffix_array
 
 WINDOW, GRAM, SPAN = 400, 100, 76
 HOT = 5_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 PATHS = "doc_id long, key long, start int, n int, anchor long, name long"
 
 
