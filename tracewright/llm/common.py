@@ -64,13 +64,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the table behind a written() frame that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        if p.getName().startswith("tracewright-"):
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(*frames: DataFrame) -> None:
+    """Deletes the tables behind written() frames that nothing reads any more: what was made of them must be written itself."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for f in {os.path.dirname(x) for x in df.inputFiles()}:
+            p = context._jvm.org.apache.hadoop.fs.Path(f)
+            if p.getName().startswith("tracewright-"):
+                p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 ARROW_ROWS = 2000

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, bloom, column, likely, may_hold, mix, prefix_sums, slices, span_hash, text_buffer, word_bounds, word_hashes, written
+from .common import SPACE_WORDS, bloom, column, drop_written, likely, may_hold, mix, prefix_sums, slices, span_hash, text_buffer, word_bounds, word_hashes, written
 from .repeats import _ranges, covered, document_keys, find_paths, repeated_paths
 
 WINDOW, GRAM = 35, 8
@@ -101,6 +101,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     opened = open_edges.join(twice, ["e1", "e2"]).groupBy("name").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
     opened = opened.join(nodes.select("anchor", "name"), "name").select("anchor", "name", "mask")
     repeated = written(whole.unionAll(opened).groupBy("anchor", "name").agg(F.bit_or("mask").alias("mask")))
+    drop_written(edges, twice, nodes)
     near = bloom(repeated.select(F.col("name").alias("id")))
     found = paths.mapInArrow(likely(near, "name"), PATHS).join(repeated, ["anchor", "name"])
     # bits past the path's last window belong to no window

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, likely, mix, prefix_sums, span_hash, written
+from .common import bloom, drop_written, likely, mix, prefix_sums, span_hash, written
 
 _POS = np.uint64((1 << 31) - 1)
 
@@ -94,7 +94,9 @@ def repeated_paths(paths: DataFrame) -> DataFrame:
     some = paths.select("anchor", "name").mapInArrow(likely(bloom(anchors.select(F.col("anchor").alias("id"))), "anchor"), "anchor long, name long")
     compact = written(some.groupBy("anchor", "name").agg(F.count("*").alias("times")))
     meeting = compact.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("times").alias("most")).where("kinds > 1 or most > 1").select("anchor", "kinds")
-    return written(compact.join(meeting, "anchor"))
+    out = written(compact.join(meeting, "anchor"))
+    drop_written(anchors, compact)
+    return out
 
 
 def covered(n: int, starts: np.ndarray, k: int) -> np.ndarray:
