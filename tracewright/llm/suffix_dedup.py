@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, byte_codes, column, likely, may_hold, mix, prefix_sums, shared_dir, slices, span_hash, text_buffer, written
+from .common import bloom, byte_codes, column, drop_written, likely, may_hold, mix, prefix_sums, shared_dir, slices, span_hash, text_buffer, written
 from .repeats import _ranges, covered, document_keys, find_paths, repeated_paths
 from .suffix_array import suffix_array
 
@@ -203,6 +203,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     opened = hot.join(twice, ["e1", "e2"]).select("name", "off").distinct().select("name", F.array(F.struct(F.col("off").alias("a"), (F.col("off") + 1).alias("z"))).alias("runs"))
     part = sorted_.unionAll(opened).join(nodes.select("anchor", "name"), "name").select("anchor", "name", "runs")
     repeated = written(whole.unionAll(part).groupBy("anchor", "name").agg(F.flatten(F.collect_set("runs")).alias("runs")))
+    drop_written(contexts, cores, nodes)
     near = bloom(repeated.select(F.col("name").alias("id")))
     found = paths.mapInArrow(likely(near, "name"), PATHS).join(repeated, ["anchor", "name"])
     # runs that reach past the path's last window end there
