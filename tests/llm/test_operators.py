@@ -312,6 +312,14 @@ def test_phrases_ignore_offsets():
     assert lcp_fingerprint.likeness(f(t), f(t[::-1])) < 0.2 and f("") == f("") == "0" * 256
 
 
+def test_near_copies_stay_alike_at_every_length():
+    r = random.Random(11)
+    f = lcp_fingerprint.fingerprint
+    for n in (100, 199, 398, 399, 400, 800, 1600, 5000):
+        t = "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+        assert lcp_fingerprint.likeness(f(t), f(t + "xyz")) > 0.75, n
+
+
 # ---------------------------------------------------------------- 8
 def test_substring_dedup(spark, corpus):
     words = [(d, SPACES.findall(t or "")) for d, t in corpus]

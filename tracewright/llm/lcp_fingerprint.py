@@ -7,8 +7,8 @@ over, which leaves labels below six; phrases begin at local maxima of the labels
 phrase's name is a hash of what it holds, and the names are the next level's symbols.
 Where a phrase begins depends on a few neighbouring symbols only, so equal substrings
 have equal phrases inside, wherever they stand. A fingerprint is a MinHash sketch (SLOTS
-values of 16 bits, hexadecimal) of the bag of names of levels 2 to 4 (of short texts, of level
-1 too, and of the whole text), and the likeness of two is the share of equal slots.
+values of 16 bits, hexadecimal) of the bag of names of levels 1 to 4 and of the name of the
+whole text, whatever the text's length, and the likeness of two is the share of equal slots.
 
 Defined cases: null is the empty text, whose fingerprint is all zeros; texts too short
 for a phrase have the name of the whole text; equal texts have equal fingerprints; rows
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import column, mix, prefix_sums, slices, span_hash, written
 from .minhash_dedup import SLOTS, signatures
 
-LEVELS, SHORT = 4, 400
+LEVELS = 4
 _LOW8 = np.array([0] + [(v & -v).bit_length() - 1 for v in range(1, 256)], np.uint8)
 
 
@@ -91,9 +91,8 @@ def sketch(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     docs, found = [np.flatnonzero(size > 0)], [whole[size > 0]]
     for level in range(1, LEVELS + 1):
         doc = np.repeat(np.arange(n), np.diff(first))
-        keep = np.ones(len(doc), bool) if level > 1 else size[doc] < SHORT
-        docs.append(doc[keep])
-        found.append(mix(names[keep] + np.uint64(level)))
+        docs.append(doc)
+        found.append(mix(names + np.uint64(level)))
         names, first = parse_level(names, names, first)
     doc, found_ = np.concatenate(docs), np.concatenate(found)
     # the same name again in a text counts as another feature, so likeness is that of bags
