@@ -274,6 +274,23 @@ def test_removed_spans_are_gone(spark, corpus):
     assert by_id[43] == "" and by_id[0] == corpus[0][1] and by_id[40] is None
 
 
+def test_blocks_of_a_benchmark_are_found_and_cut_as_one(spark, monkeypatch):
+    w = [f"w{k}" for k in range(60)]
+    items = [(1, " ".join(w[5:17])), (2, " ".join(w[12:26])), (3, " ".join(w[20:32])), (4, " ".join(w[1:5] + w[32:40])), (5, " ".join(w[38:52]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(1, " ".join(w)), (2, "x " + " ".join(w[3:28])), (3, None), (4, "clean text")])
+    cols = ("doc_id", "text", "n_words", "n_hit", "items", "spans")
+    rows = lambda df, c: sorted(str([r[x] for x in c]) for r in df.collect())
+    seen = []
+    for block in (8 << 20, 500, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        seen.append((len(decontaminate.windows_of(bench)), rows(decontaminate.find(docs, bench), cols), rows(decontaminate.remove_spans(docs, bench, ("doc_id", "text")), ("doc_id", "text"))))
+    assert seen[0][0] == 1 < seen[1][0] < seen[2][0] and seen[0][1:] == seen[1][1:] == seen[2][1:]
+    left = {x.doc_id: x.text for x in decontaminate.remove_spans(docs, bench, ("doc_id", "text")).collect()}
+    assert left[1].split() == w[:5] + w[32:38] + w[52:] and left[2].split() == ["x", "w3", "w4", "w26", "w27"] and left[3] is None
+    assert {x.doc_id: x["items"] for x in decontaminate.find(docs, bench).collect()}[1] == ["1", "2", "3", "5"]
+
+
 def test_fm_index():
     r = np.random.default_rng(2)
     for _ in range(20):

@@ -10,8 +10,9 @@ wavelet matrix, and every 8th suffix position sampled. All windows search backwa
 once through wavelet ranks; occurrences are located by walking to sampled positions and
 merged into spans of words to remove.
 
-The windows of the benchmark reach the executors in blocks of at most BLOCK_BYTES of
-text; a larger benchmark takes several passes, and nothing larger is ever broadcast.
+The windows of the benchmark are indexed in blocks of at most BLOCK_BYTES of text. Every
+block is searched in the text as it came and the hits of all are united, so results don't
+depend on the number of blocks; executors hold the windows of all blocks.
 
 Defined cases: null and empty texts have no words and no hits; items without words have
 no windows; repeated items (equal id) count once, and equal texts under several ids
@@ -192,26 +193,34 @@ def shard_hits(ids: np.ndarray, first: np.ndarray, w: Windows) -> tuple[np.ndarr
     return hit, np.searchsorted(first, at, "right") - 1, which
 
 
-def _scan(w: Windows, spans: bool):
+def _scan(blocks: list[Windows], spans: bool):
+    """Several blocks over one pass of the documents; their hit words and items are united."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffer(column(b, "text"))
             n = b.num_rows
-            ids, firsts, bounds, total = [], [], [], 0
+            hashes, firsts, bounds, total = [], [], [], 0
             for i, j in slices(offsets):
                 part = data[offsets[i] : offsets[j]]
                 s, e, first = word_bounds(part, offsets[i : j + 1] - offsets[i], ALNUM_WORDS)
-                ids.append(w.numbers(word_hashes(part, s, e, lower=True)) if len(w.lengths) else np.zeros(len(s), np.int64))
+                hashes.append(word_hashes(part, s, e, lower=True))
                 if spans:
                     bounds.append((s + offsets[i], e + offsets[i]))
                 firsts.append(first[:-1] + total)
                 total += len(s)
             first = np.concatenate([*firsts, [total]]) if firsts else np.zeros(1, np.int64)
-            hit, doc, which = shard_hits(np.concatenate(ids) if ids else np.zeros(0, np.int64), first, w)
-            sums = np.concatenate([[0], np.cumsum(hit)])
+            h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            hit = np.zeros(len(h), bool)
             found: dict[int, set[str]] = {}
-            for d, k in set(zip(doc.tolist(), which.tolist())):
-                found.setdefault(d, set()).update(w.items[k])
+            for w in blocks:
+                if not len(w.lengths):
+                    continue
+                mask, doc, which = shard_hits(w.numbers(h), first, w)
+                hit |= mask
+                for d, k in set(zip(doc.tolist(), which.tolist())):
+                    found.setdefault(d, set()).update(w.items[k])
+            sums = np.concatenate([[0], np.cumsum(hit)])
             cols = {c: column(b, c) for c in b.schema.names if c != "text" or spans}
             cols["n_words"] = pa.array(np.diff(first))
             cols["n_hit"] = pa.array(sums[first[1:]] - sums[first[:-1]])
@@ -246,21 +255,17 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> list[Windows]:
 
 
 def find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
-    """keep, text, n_words, n_hit, items (sorted ids) and spans (byte spans to remove) of every document; one pass, no shuffle.
-
-    For a benchmark of several blocks, use scan() for each: its hits are merged by flag_documents and remove_spans.
-    """
-    blocks = windows_of(benchmark, window)
-    return _find(documents, blocks[0], keep)
+    """keep, text, n_words, n_hit, items (sorted ids) and spans (byte spans to remove) of every document; one pass, no shuffle."""
+    return _find(documents, windows_of(benchmark, window), keep)
 
 
-def _find(documents: DataFrame, w: Windows, keep: tuple[str, ...], spans: bool = True) -> DataFrame:
+def _find(documents: DataFrame, blocks: list[Windows], keep: tuple[str, ...], spans: bool = True) -> DataFrame:
     cols = list(dict.fromkeys([*keep, "text"]))
     df = documents.select(*cols)
     kinds = dict(df.dtypes)
     shown = [c for c in cols if c != "text" or spans]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in shown) + ", n_words long, n_hit long, items array<string>" + (", spans array<struct<start:long,end:long>>" if spans else "")
-    return df.mapInArrow(_scan(w, spans), schema)
+    return df.mapInArrow(_scan(blocks, spans), schema)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,52 +284,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], window: int = WINDOW) -> DataFrame:
-    """Documents without the words that benchmark windows cover (and what stands between such words)."""
+    """Documents without the words that benchmark windows cover (and what stands between such words). All windows are found in the text as it came, which is then cut once."""
     kinds = dict(documents.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    for w in windows_of(benchmark, window):
-        found = _find(documents, w, keep).select(*keep, "spans")
-        documents = found.mapInArrow(_remove, schema)
-    return documents
+    return find(documents, benchmark, keep, window).select(*keep, "spans").mapInArrow(_remove, schema)
 
 
 def digest(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: words, hit words, items, their digest.
-
-    Blocks of a large benchmark are scanned one by one; hit words of several blocks may
-    overlap, so with more than one block the hit positions are united per document.
-    """
+    """Per document: words, hit words, items, their digest."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = windows_of(benchmark, window)
-    if len(blocks) == 1:
-        out = _find(docs, blocks[0], ("doc_id",), spans=False)
-    else:
-        out = docs.mapInArrow(_scan_all(blocks), "doc_id long, n_words long, n_hit long, items array<string>")
+    out = _find(docs, windows_of(benchmark, window), ("doc_id",), spans=False)
     joined = F.array_join("items", ",")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _scan_all(blocks: list[Windows]):
-    """Several blocks over one pass of the documents; each block is of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_buffer(column(b, "text"))
-            s, e, first = word_bounds(data, offsets, ALNUM_WORDS)
-            h = np.concatenate([word_hashes(data[offsets[i] : offsets[j]], s[first[i] : first[j]] - offsets[i], e[first[i] : first[j]] - offsets[i], lower=True) for i, j in slices(offsets)]) if len(s) else np.zeros(0, np.uint64)
-            hit, found = np.zeros(len(h), bool), {}
-            for w in blocks:
-                if not len(w.lengths):
-                    continue
-                mask, doc, which = shard_hits(w.numbers(h), first, w)
-                hit |= mask
-                for d, k in set(zip(doc.tolist(), which.tolist())):
-                    found.setdefault(d, set()).update(w.items[k])
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            yield pa.record_batch({"doc_id": column(b, "doc_id"), "n_words": pa.array(np.diff(first)), "n_hit": pa.array(sums[first[1:]] - sums[first[:-1]]), "items": pa.array([sorted(found.get(k, ())) for k in range(b.num_rows)], pa.list_(pa.string()))})
-
-    return run
-
-
 def digest_items(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
