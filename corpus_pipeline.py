@@ -29,11 +29,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents one row stays: that with the smallest id, of several such rows the one with the smallest hash of its columns, of identical rows one. Texts without words are linked with nothing and stay."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
-    gone = minhash_dedup.groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # a row is known by its id and the hash of all columns; nulls are told from absent values
+    key = ["id_key", "row_hash"]
+    keyed = docs.withColumns({"id_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "row_hash": F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))])})
+    rows = minhash_dedup.linked(keyed, tuple(key)).where("n_shingles > 0")
+    rows = rows.groupBy("component", F.col("doc_id").isNull().alias("no_id"), *key).agg((F.count("*") > 1).alias("repeated"))
+    first = rows.groupBy("component").agg(F.min(F.struct("no_id", *key)).alias("first"))
+    stays = F.struct("no_id", *key) == F.col("first")
+    marked = written(rows.join(first, "component").withColumn("stays", stays).where("not stays or repeated").select(*key, "stays"))
+    repeated = marked.where("stays").select(*key)
+    if repeated.isEmpty():
+        return keyed.join(marked, key, "left_anti").select(*COLUMNS)
+    once = keyed.join(repeated, key, "left_semi").dropDuplicates(key)
+    return keyed.join(marked, key, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

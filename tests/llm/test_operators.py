@@ -447,6 +447,20 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    say = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b, c, d = (say(k) for k in range(4))
+    rows = [(3, a), (7, a + " tail"), (7, b), (9, c), (9, c), (9, c + " more"), (None, d), (None, d), (None, d + " end"), (None, b + " x"), (7, None), (7, None), (None, ""), (20, say(9)), (20, say(10))]
+    got = collections.Counter((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect())
+    nines, nulls = [x for x in got if x[0] == 9], [x for x in got if x[0] is None and x[1]]
+    assert len(nines) == 1 and nines[0][1] in (c, c + " more") and len(nulls) == 1 and nulls[0][1] in (d, d + " end")
+    assert got == collections.Counter([(3, a), (7, b), *nines, *nulls, (7, None), (7, None), (None, ""), (20, say(9)), (20, say(10))])
+    same = frame(spark, [(None, d)] * 500 + [(4, d)] * 3)
+    assert [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, same, "").collect()] == [(4, d)]
+
+
 def test_empty_tables(spark):
     e = frame(spark, [])
     for f in (minhash_dedup.groups, suffix_dedup.digest, debruijn_dedup.digest, lcp_fingerprint.against_next, license_scan.digest, sps.digest):

@@ -92,17 +92,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h1, h2 = class_hash(h, first)
             sig = signatures(h, first)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SLOTS), j - i, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
-            yield pa.record_batch([column(b, "doc_id").slice(i, j - i), column(b, "look").slice(i, j - i), pa.array(np.diff(first)), pa.array(h1), pa.array(h2), raw], names=["doc_id", "look", "n_shingles", "h1", "h2", "sig"])
+            own = [c for c in b.schema.names if c != "text"]
+            yield pa.record_batch([*[column(b, c).slice(i, j - i) for c in own], pa.array(np.diff(first)), pa.array(h1), pa.array(h2), raw], names=[*own, "n_shingles", "h1", "h2", "sig"])
 
 
 def _look():
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("look")
 
 
-def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, look, n_shingles, h1, h2, sig) of every document; one pass. look is the id, or a hash of the text where that is null."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _look(), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_sketch, "doc_id long, look long, n_shingles long, h1 long, h2 long, sig binary")
+def sketches(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, look, *keep, n_shingles, h1, h2, sig) of every document; one pass. look is the id, or a hash of the text where that is null."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _look(), *keep, F.col("text").cast("string").alias("text"))
+    kept = "".join(f"`{c}` {t}, " for c, t in documents.select(*keep).dtypes)
+    return docs.mapInArrow(_sketch, f"doc_id long, look long, {kept}n_shingles long, h1 long, h2 long, sig binary")
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -243,15 +245,24 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return found.unionAll(confirm(rest, sets_of(rest)))
 
 
-def groups(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of documents."""
-    sk = written(sketches(documents).withColumn("cls", F.xxhash64("h1", "h2", "n_shingles")))
+def linked(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, n_shingles, component, component_id), one row per row of documents.
+
+    component tells groups apart even where they share component_id, their smallest id
+    (rows with equal ids may be of different groups, and a group may have no id at all).
+    """
+    sk = written(sketches(documents, keep).withColumn("cls", F.xxhash64("h1", "h2", "n_shingles")))
     classes = written(sk.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("look").alias("look"), F.first("n_shingles").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("sig").alias("sig")))
     comps = connected_components(links(documents, classes))
     named = classes.select("cls", "rep", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "component").select("cls", "component_id")
+    ids = named.join(least, "component").select("cls", "component", "component_id")
+    return sk.select("doc_id", *keep, "n_shingles", "cls").join(ids, "cls").select("doc_id", *keep, "n_shingles", "component", "component_id")
+
+
+def groups(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of documents."""
+    out = linked(documents)
     # texts without words are linked with nothing, so each such row is its own component
-    out = sk.select("doc_id", "n_shingles", "cls").join(ids, "cls")
     comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
