@@ -395,6 +395,17 @@ def test_bootstrapped_spans(spark):
     assert pii.detect(frame(spark, [])).count() == 0
 
 
+def test_long_values_are_whole(spark):
+    r = random.Random(12)
+    long = "".join(r.choice("abcdefXYZ0123456789-_./+") for _ in range(5000)) + "end"
+    rows = [(k, f"say token={hashlib.md5(str(k).encode()).hexdigest()[:18]} now") for k in range(20)] + [(30, f"so token={long} it is"), (31, f"so token={'k' * 201}")]
+    got = {x.doc_id: x.spans.split(",") for x in pii.detect(frame(spark, rows)).collect()}
+    assert f"secret:9:{9 + len(long)}" in got[30] and got[31] == ["secret:9:210"]
+    red = {x.doc_id: x.text for x in pii.redact(frame(spark, rows[:20] + rows[21:]), ("doc_id", "text")).collect()}
+    assert red[0] == "say token=[SECRET] now" and red[31] == "so token=[SECRET]"
+    pii.candidates("ab:" * 100_000 + "a" * 200_000, [])  # linear
+
+
 # ---------------------------------------------------------------- 10
 def test_chat_turns(spark):
     odd = ["\\### Assistant: </turn> ok", "", "a\nb", "###", "<turn>", "\\", "é🦄"]

@@ -12,7 +12,8 @@ then label every value they match, seeds or not: those are the added spans.
 The graph is aggregated to distinct (pattern, value) edges before any join, and joins on
 patterns are salted, so a pattern that a third of all texts hold is not one task's work.
 
-Defined cases: null and empty texts have no spans; offsets are code points; an added
+Defined cases: a trigger's value reaches to the next white space or delimiter, however long
+it is, and triggers inside it aren't looked for; null and empty texts have no spans; offsets are code points; an added
 span that overlaps a base span is dropped, as is one that overlaps an earlier added one;
 documents with equal ids are each reported; a corpus without seeds adds nothing; extra
 columns are ignored.
@@ -40,7 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
-_TRIGGER = re.compile(r"([^\W\d_]{2,24})(\s?[=:#]\s?[\"']?|\s[\"'])([^\s\"'<>,;=]{4,200})")
+_TRIGGER = re.compile(r"([^\W\d_]{2,24})(\s?[=:#]\s?[\"']?|\s[\"'])([^\s\"'<>,;=]{4,}+)")
 _KEY = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+")
 _ANY = re.compile(r"[0-9@=:#]")
 
