@@ -43,7 +43,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 _TRIGGER = re.compile(r"([^\W\d_]{2,24})(\s?[=:#]\s?[\"']?|\s[\"'])([^\s\"'<>,;=]{4,}+)")
 _KEY = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+")
-_ANY = re.compile(r"[0-9@=:#]")
+#: Every match of a pattern, base or contextual, holds one of these: texts without any are passed over.
+ANY = "[0-9@=:#\"']"
+_ANY = re.compile(ANY)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -227,7 +229,7 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redact(documents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Documents with every span replaced by the name of its kind in brackets. Texts that can't hold any span aren't shuffled."""
     key = documents.select(*keep).withColumn("text_hash", F.xxhash64("text"))
-    can = F.coalesce(F.col("text").rlike("[0-9@=:#]"), F.lit(False))
+    can = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     keys = ("doc_id", "text_hash")
     extracted = written(extract(key.where(can), keys).where((F.size("base") > 0) | (F.size("cands") > 0)).dropDuplicates(list(keys)))
     added = added_spans(extracted, score_patterns(extracted), keys)
