@@ -377,3 +377,26 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() == 16
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+def test_mean_divergence_is_over_all_rows(spark):
+    r = np.random.RandomState(3)
+    m = np.concatenate([r.dirichlet([9, 9, 1], 2000), np.tile([0.0, 0.0, 1.0], (100, 1))])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "idx long, distribution array<double>")
+    want = sum(curate.divergences(m, x).sum() for x in m) / (2100 * 2099)
+    assert curate.mean_divergence(df) == pytest.approx(want, abs=1e-12)
+    assert curate.mean_divergence(df.where("idx < 30"), block=7) == pytest.approx(sum(curate.divergences(m[:30], x).sum() for x in m[:30]) / 870)
+    assert curate.mean_divergence(df.where("idx < 1")) == curate.mean_divergence(df.where("idx < 0")) == 0.0
+
+
+def test_every_group_is_left_out_once(spark):
+    class Zero:
+        def fit(self, _):
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(0.0))
+
+    t = traces(spark, [(f"t{k}", f"a{k % 3}", f"g{k}", ["x", "y"][: 1 + k % 2] * 2, {}) for k in range(102)])
+    r = learn.leave_one_group_out(bpe.encode(t, bpe.fit_bpe(t, 4)), classifier=Zero)
+    assert len(r["by_group"]) == 102 and r["n_classes"] == 3 and r["accuracy"] == pytest.approx(1 / 3)

@@ -19,8 +19,8 @@ from .scoring import Spec, truthy
 def leave_one_group_out(fps: DataFrame, label_field: str = "agent", group_field: str = "group", classifier=None) -> dict:
     """Accuracy of predicting the label for each group left out of the fit (groups and labels are few)."""
     rows = with_distribution(fps).select(grouping(fps, label_field).alias("label_name"), grouping(fps, group_field).alias("fold"), array_to_vector("distribution").alias("features")).persist()
-    folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").limit(101).collect()]
-    classes = rows.select("label_name").distinct().limit(2).count()
+    folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+    classes = rows.select("label_name").distinct().count()
     if len(folds) < 2 or classes < 2:
         raise ValueError("a probe needs two groups and two classes at least")
     indexed = StringIndexer(inputCol="label_name", outputCol="label", stringOrderType="alphabetAsc").fit(rows).transform(rows)
