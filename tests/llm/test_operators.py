@@ -99,6 +99,41 @@ def test_large_bucket_is_split_without_loss(spark, monkeypatch):
                 assert got[i] == got[j]
 
 
+def _filed_sets(spark, texts):
+    """(sets, comps, python sets) of some texts, each a component of its own."""
+    own = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    rows = [(i, b"".join(hash(x).to_bytes(8, "little", signed=True)[:6] for x in o)) for i, o in enumerate(own)]
+    return spark.createDataFrame(rows, "cls long, set binary"), spark.createDataFrame([(i, len(o), i) for i, o in enumerate(own)], "cls long, n long, comp long"), own
+
+
+def test_prefix_filter_pairs_all_similar_sets(spark):
+    r = random.Random(21)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = [" ".join(say(r.randint(1, 9))) for _ in range(10)]
+    for size in (6, 20, 100, 300):
+        core = say(size)
+        for k in range(14):  # from nearly equal to barely related, longer and shorter
+            w = list(core)
+            for _ in range(r.randint(0, size // 50)):
+                w[r.randrange(size)] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(w[: size - r.randint(0, size // 6)] + say(r.randint(0, size // 8))))
+    sets, comps, own = _filed_sets(spark, texts)
+    want = {(i, j) for j in range(len(own)) for i in range(j) if 100 * len(own[i] & own[j]) >= 70 * len(own[i] | own[j])}
+    got = {(x.a, x.b) for x in minhash_dedup.prefix_pairs(sets, comps).collect()}
+    assert len(want) > 60 and want <= got
+    one = comps.withColumn("comp", F.lit(5).cast("long"))
+    assert minhash_dedup.prefix_pairs(sets, one).count() == 0
+
+
+def test_a_shared_passage_makes_no_pairs(spark):
+    r = random.Random(22)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = say(200)
+    for share in (100, 60):  # similarities of about 0.5 and 0.62
+        sets, comps, _ = _filed_sets(spark, [f"{say(share // 2)} {passage} {say(share - share // 2)}" for _ in range(150)])
+        assert minhash_dedup.prefix_pairs(sets, comps).count() == 0
+
+
 def test_signature_keys_meet_within_the_distance():
     r = np.random.default_rng(0)
     a = r.integers(0, 2**16, (200, minhash_dedup.SLOTS)).astype(np.uint16)
@@ -438,6 +473,17 @@ def test_chat_turns(spark):
     assert chat_format.digest_conversations(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_ties_of_turns_go_by_the_text_itself(spark):
+    odd = ["#b", "$a", "<c", "=d", "\\x", "]y", "a", "a b", "a#", "", "a\nb", "é🦄"]
+    rows = [(1, 0, "user", t) for t in odd] + [(1, 1, "assistant", t) for t in odd * 2] + [(2, 0, "assistant", "word " * 60_000)]
+    f = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {x.conv_id: x for x in chat_format.digest_conversations(f).collect()}
+    text = [(r, t) for _, r, t in sorted((k, r, t) for c, k, r, t in rows if c == 1)]
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in text).encode()).hexdigest()
+    assert got[1].loss_sha256 == hashlib.sha256("".join(t for r, t in text if r == "assistant").encode()).hexdigest()
+    assert got[2].loss_chars == 300_000
+
+
 def test_layouts(spark):
     cases = {
         "messages": {"messages": [dict(role="user", content="a"), dict(role="assistant", content=None)]},
@@ -453,6 +499,31 @@ def test_layouts(spark):
         assert [(x.role, x.text) for x in chat_format.to_turns(df, "id").orderBy("turn").collect()] == [("user", "a"), ("assistant", "")]
     with pytest.raises(ValueError):
         chat_format.detect(spark.createDataFrame([(1,)], "x int").schema)
+    more = spark.createDataFrame([(1, [("user", "a", "bob")])], "id long, messages array<struct<role:string,content:string,name:string>>")
+    assert [(x.role, x.text) for x in chat_format.to_turns(more, "id").collect()] == [("user", "a")]
+    for turn in ("int", "long"):
+        rows = spark.createDataFrame([(1, 3, "user", "a", 0.5)], f"conv_id long, turn {turn}, role string, text string, extra double")
+        assert chat_format.detect(rows.schema) == "turn_rows" and chat_format.to_turns(rows).collect()[0].turn == 3
+
+
+def test_records_of_mixed_layouts(spark):
+    pair = [("user", "a"), ("assistant", "b")]
+    records = {
+        1: ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b", "name": None}]}, "messages", pair),
+        2: ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}], "odd `key`, x": {"y": [1, 2.5]}}, "sharegpt", pair),
+        3: ({"instruction": "a", "input": "", "output": "b"}, "instruction", pair),
+        4: ({"prompt": "a", "completion": "b", "score": 1.25}, "prompt_completion", pair),
+        5: ({"question": "a", "answer": None}, "question_answer", [("user", "a"), ("assistant", "")]),
+        6: ({"nothing": 1}, None, [(None, None)]),
+        7: ([1, 2], None, [(None, None)]),
+    }
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _, _) in records.items()] + [(8, None), (9, "{not json")], "id long, j string")
+    got = collections.defaultdict(list)
+    for x in chat_format.record_turns(df, "id", "j").orderBy("conv_id", "turn").collect():
+        got[x.conv_id].append((x.layout, x.role, x.text))
+    for k, (_, layout, turns) in records.items():
+        assert got[k] == [(layout, *t) for t in turns], k
+    assert got[8] == got[9] == [(None, None, None)]
 
 
 # ---------------------------------------------------------------- pipeline and empties

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # a smallest neighbour may itself move on: follow it once
         up = to.select(F.col("node").alias("to"), F.col("to").alias("top"))
         step = written(to.join(up, "to").select("node", F.col("top").alias("to")))
+        drop_written(to)
         if labels is None:
             labels = step
         else:
             moved = labels.select("node", F.col("to").alias("at")).join(step.select(F.col("node").alias("at"), F.col("to").alias("next")), "at", "left")
-            labels = written(moved.select("node", F.coalesce("next", "at").alias("to")))
+            before, labels = labels, written(moved.select("node", F.coalesce("next", "at").alias("to")))
+            drop_written(before)
         a = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = written(edges.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        old, edges = edges, written(edges.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        drop_written(old)
+        if labels is not step:
+            drop_written(step)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    drop_written(edges)
     return labels.select("node", F.col("to").alias("component"))
