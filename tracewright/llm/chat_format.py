@@ -1,21 +1,29 @@
 """Chat formatting by schema fingerprints.
 
-Records of unlike layouts (message lists, prompt/completion pairs, instruction
-triples, one row per turn) are told apart by a hash of their sorted nested field
-paths. The hash selects a declarative mapping, which is compiled to column
-expressions that give canonical turns (role, text). Canonical turns are rendered
-with a reversible template and can be parsed back.
+Records of unlike layouts (message lists, prompt/completion pairs, instruction triples,
+one row per turn) are told apart by a hash of their sorted nested field paths. The hash
+selects a declarative mapping, which is compiled to column expressions that give
+canonical turns (role, text). Tables are told apart by their schema (detect, to_turns),
+JSON records of mixed layouts in one column each by its own (record_turns). Where the
+hash of all paths is unknown, paths that no layout uses are left out of it; where that is
+unknown too, the layout with the most paths among those that the record wholly holds is
+taken, ties by name. Canonical turns are rendered with a reversible template and can be
+parsed back.
 
 Defined cases: a null text is the empty text; a null role is the role "null" spelled
 as the empty string; rows with equal (conversation, turn) are ordered by role, then
 text, and repeated rows all stay; a null conversation id is a conversation of its
-own; empty tables give empty results; extra columns are ignored.
+own; very long texts are rendered whole, a conversation is read as a stream however many
+turns it has; empty tables give empty results; extra columns and nested fields are
+ignored; a layout that no mapping fits is refused with its paths (tables) or has the
+layout null and no turns (records).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +33,9 @@ from pyspark.sql import types as T
 # ------------------------------------------------------------ schema fingerprints
 
 
+_KINDS = {"tinyint": "whole", "smallint": "whole", "int": "whole", "bigint": "whole"}
+
+
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     """Nested field paths with their leaf kinds; array elements are written []."""
     if isinstance(kind, T.StructType):
@@ -33,14 +44,16 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
         return field_paths(kind.elementType, at + "[]")
     if isinstance(kind, T.MapType):
         return field_paths(kind.valueType, at + "{}")
-    return [f"{at}:{kind.simpleString()}"]
+    return [f"{at}:{_KINDS.get(kind.simpleString(), kind.simpleString())}"]
+
+
+def fingerprint(paths: Iterable[str]) -> str:
+    """Hash of the sorted paths."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def schema_fingerprint(schema: T.StructType, only: tuple[str, ...] | None = None) -> str:
-    """Hash of the sorted field paths; with only, of the top-level fields named there."""
-    fields = [f for f in schema.fields if only is None or f.name in only]
-    paths = sorted(field_paths(T.StructType(fields)))
-    return hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
+def schema_fingerprint(schema: T.StructType) -> str:
+    return fingerprint(field_paths(schema))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -82,8 +95,8 @@ def _shape(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-#: layout name -> (its fields, the mapping to turns)
-LAYOUTS: dict[str, tuple[T.StructType, Callable[[], Column]]] = {
+#: layout name -> (its fields, the mapping to turns); None: the rows are turns already
+LAYOUTS: dict[str, tuple[T.StructType, Callable[[], Column] | None]] = {
     "messages": (_shape(messages=_list_of("role", "content")), _messages("messages", "role", "content")),
     "sharegpt": (_shape(conversations=_list_of("from", "value")), _messages("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
     "prompt_completion": (_shape(prompt=_S, completion=_S), _pair("prompt", "completion")),
@@ -91,26 +104,106 @@ LAYOUTS: dict[str, tuple[T.StructType, Callable[[], Column]]] = {
     "question_answer": (_shape(question=_S, answer=_S), _pair("question", "answer")),
     "instruction": (_shape(instruction=_S, input=_S, output=_S), _pair("instruction", "output", "input")),
     "instruction_plain": (_shape(instruction=_S, output=_S), _pair("instruction", "output")),
+    "turn_rows": (_shape(turn=T.LongType(), role=_S, text=_S), None),
 }
-MAPPINGS: dict[str, str] = {schema_fingerprint(shape): name for name, (shape, _) in LAYOUTS.items()}
+_PATHS = {name: frozenset(field_paths(shape)) for name, (shape, _) in LAYOUTS.items()}
+_KNOWN = frozenset().union(*_PATHS.values())
+#: fingerprint -> layout
+MAPPINGS: dict[str, str] = {fingerprint(paths): name for name, paths in _PATHS.items()}
+
+
+def layout_of(paths: Iterable[str]) -> str | None:
+    """The layout that the fingerprint of some field paths selects."""
+    paths = set(paths)
+    found = MAPPINGS.get(fingerprint(paths)) or MAPPINGS.get(fingerprint(paths & _KNOWN))
+    if found is None:
+        held = sorted((-len(own), name) for name, own in _PATHS.items() if own <= paths)
+        found = held[0][1] if held else None
+    return found
 
 
 def detect(schema: T.StructType) -> str:
-    """The layout whose fields the schema holds, by fingerprint; the one with most fields wins. Extra columns don't matter."""
-    found = []
-    for name, (shape, _) in LAYOUTS.items():
-        only = tuple(shape.fieldNames())
-        if set(only) <= set(schema.fieldNames()) and MAPPINGS.get(schema_fingerprint(schema, only)) == name:
-            found.append((len(only), name))
-    if not found:
+    """The layout of a table."""
+    found = layout_of(field_paths(schema))
+    if found is None:
         raise ValueError(f"no mapping for the layout with fingerprint {schema_fingerprint(schema)}: {sorted(field_paths(schema))}")
-    return max(found)[1]
+    return found
 
 
-def to_turns(df: DataFrame, id_column: str) -> DataFrame:
+def to_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """Rows of any known layout as (conv_id, turn, role, text), one row per turn."""
-    turns = LAYOUTS[detect(df.schema)][1]()
-    return df.select(F.col(id_column).alias("conv_id"), F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+    build = LAYOUTS[detect(df.schema)][1]
+    if build is None:
+        return df.select(F.col(id_column).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return df.select(F.col(id_column).alias("conv_id"), F.posexplode(build()).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+
+
+def _record_paths(described: str) -> list[str]:
+    """Field paths of a record from its described schema, as OBJECT<a: STRING, b: ARRAY<OBJECT<c: STRING>>>; null leaves count as strings."""
+    out: list[str] = []
+
+    def read(i: int, at: str) -> int:
+        if described.startswith("OBJECT<", i):
+            i += len("OBJECT<")
+            while described[i] != ">":
+                name = ""
+                if described[i] == "`":  # quoted names double their back quotes
+                    i += 1
+                    while described[i] != "`" or described[i + 1] == "`":
+                        name += described[i]
+                        i += 1 + (described[i] == "`")
+                    i += 1
+                else:
+                    to = described.index(":", i)
+                    name, i = described[i:to], to
+                i = read(i + 2, f"{at}.{name}" if at else name)
+                if described.startswith(", ", i):
+                    i += 2
+            return i + 1
+        if described.startswith("ARRAY<", i):
+            return read(i + len("ARRAY<"), at + "[]") + 1
+        to = i
+        while to < len(described) and described[to] not in ",>":
+            to += 2 if described[to] == "(" else 1
+            if described[to - 2] == "(":
+                to = described.index(")", to - 1) + 1
+        kind = described[i:to].lower()
+        out.append(f"{at}:{'string' if kind == 'void' else _KINDS.get(kind, kind)}")
+        return to
+
+    read(0, "")
+    return out
+
+
+@lru_cache(maxsize=10_000)
+def _described_layout(described: str) -> str | None:
+    return layout_of(_record_paths(described))
+
+
+def _record_layout(described: str | None) -> str | None:
+    return None if described is None else _described_layout(described)
+
+
+def record_turns(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """JSON records of mixed layouts as (conv_id, layout, turn, role, text). One pass without a shuffle; records without a layout have one row without a turn."""
+    layout = F.udf(_record_layout, "string", useArrow=True)
+    rows = df.select(F.col(id_column).alias("conv_id"), F.expr(f"try_parse_json(`{json_column}`)").alias("v")).select("conv_id", layout(F.expr("schema_of_variant(v)")).alias("layout"), "v")
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    turns = none
+    for name, (shape, build) in LAYOUTS.items():
+        if build is not None:
+            fields = [F.expr(f"try_variant_get(v, '$.{f.name}', '{f.dataType.simpleString()}')").alias(f.name) for f in shape.fields]
+            rows = rows.withColumn(f"at_{name}", F.when(F.col("layout") == name, F.struct(*fields)))
+    parts = []
+    for name, (_, build) in LAYOUTS.items():
+        if build is not None:
+            own = rows.where(F.col("layout") == name).select("conv_id", "layout", f"at_{name}.*")
+            parts.append(own.select("conv_id", "layout", F.posexplode_outer(build()).alias("turn", "m")))
+    parts.append(rows.where("layout is null or layout = 'turn_rows'").select("conv_id", "layout", F.posexplode_outer(turns).alias("turn", "m")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
 
 
 # ------------------------------------------------------------ the template
@@ -167,7 +260,8 @@ def parse_conversation(rendered: str) -> list[tuple[str, str]]:
 
 
 # ------------------------------------------------------------ operators
-FORMATTED = "conv_id long, turn long, seq long, formatted string, loss_start long, loss_end long"
+FORMATTED = "conv_id long, turn long, role string, formatted string, text_start long, loss_start long, loss_end long"
+END = "</turn>\n"
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +275,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "turn": b.column(b.schema.get_field_index("turn")),
                 "role": pa.array([r or "" for r in cols["role"]], pa.string()),
                 "formatted": pa.array([d[0] for d in done], pa.string()),
+                "text_start": pa.array([d[1] for d in done], pa.int64()),
                 "loss_start": pa.array([d[1] if m else None for d, m in zip(done, loss)], pa.int64()),
                 "loss_end": pa.array([d[2] if m else None for d, m in zip(done, loss)], pa.int64()),
             }
@@ -194,7 +289,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     by nothing. No shuffle is needed, however long a conversation is.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_render, "conv_id long, turn long, role string, formatted string, loss_start long, loss_end long")
+    return rows.mapInArrow(_render, FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -240,5 +335,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
     """Reads the rendered turns back and digests each conversation; ties in turn go by role, then text."""
-    rows = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").drop("role", "turn").mapInArrow(_digest, DIGEST)
+    rows = formatted.select("conv_id", "turn", "role", "formatted", "text_start", "loss_start", "loss_end").repartition("conv_id")
+    # the text as it was before it was escaped
+    body = F.substring(F.col("formatted"), F.col("text_start") + 1, F.length("formatted") - F.col("text_start") - len(END))
+    rows = rows.withColumn("plain", F.regexp_replace(body, r"(?s)\\(.)", "$1"))
+    return rows.sortWithinPartitions("conv_id", "turn", "role", "plain").drop("role", "turn", "plain", "text_start").mapInArrow(_digest, DIGEST)

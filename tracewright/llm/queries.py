@@ -52,9 +52,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
-    return chat_format.digest_conversations(chat_format.format_turns(rows.unionByName(planted)))
+    turns = chat_format.to_turns(table(spark, sf_dir, "conversations"))
+    planted = chat_format.to_turns(spark.createDataFrame([(-7, PLANTED, PLANTED)], "conv_id long, prompt string, completion string"))
+    return chat_format.digest_conversations(chat_format.format_turns(turns.unionByName(planted)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
