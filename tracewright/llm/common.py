@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,12 @@ _BASE = 0x9E3779B97F4A7C13 | 3  # odd, so that it has an inverse modulo 2**64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent (tests, a laptop) a temporary one takes its place.
+    Only where the setting is absent and there is one machine (tests, a laptop) a temporary
+    one takes its place; a cluster without the setting is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors share")
     return (found or _own_dir()).rstrip("/")
 
 
@@ -208,28 +212,33 @@ def concat_ids(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Bloom filters of bounded size
-BLOOM_BITS = 1 << 27
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
-def _positions(ids: np.ndarray) -> list[np.ndarray]:
+def _positions(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     x = ids.astype(np.uint64)
-    return [(mix(x * U64(0x9E3779B97F4A7C15) + U64(k * 77 + 1)) & U64(BLOOM_BITS - 1)).astype(np.int64) for k in range(3)]
+    return [(mix(x * U64(0x9E3779B97F4A7C15) + U64(k * 77 + 1)) & U64(bits - 1)).astype(np.int64) for k in range(3)]
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        pos = np.concatenate(_positions(column(b, "id").to_numpy(zero_copy_only=False).astype(np.int64)))
-        yield pa.record_batch({"word": pa.array(pos >> 6), "bits": pa.array((U64(1) << (pos & 63).astype(U64)).astype(np.int64))})
+def _bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pos = np.concatenate(_positions(column(b, "id").to_numpy(zero_copy_only=False).astype(np.int64), bits))
+            yield pa.record_batch({"word": pa.array(pos >> 6), "bits": pa.array((U64(1) << (pos & 63).astype(U64)).astype(np.int64))})
+
+    return run
 
 
 def bloom(ids: DataFrame):
-    """A broadcast Bloom filter of the column id (long, not null).
+    """A broadcast Bloom filter of the column id (long, not null): some 16 bits an id, from 128 KB to 32 MB whatever the input's size.
 
-    16 MB whatever the input's size; past some 20 million ids it lets more and more
-    through, so what it passes is always joined exactly afterwards.
+    Past some 40 million ids it lets more and more through, so what it passes is always
+    joined exactly afterwards: it saves shuffles and never decides. ids is evaluated twice,
+    so it should be a written table or cheap.
     """
-    words = ids.select(F.col("id").cast("long").alias("id")).mapInArrow(_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, U64)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
+    words = ids.select(F.col("id").cast("long").alias("id")).mapInArrow(_bits(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, U64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).astype(U64)
     return ids.sparkSession.sparkContext.broadcast(out)
 
@@ -247,6 +256,6 @@ def likely(filt, name: str):
 
 def may_hold(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     hit = np.ones(len(ids), bool)
-    for pos in _positions(ids):
+    for pos in _positions(ids, len(table) << 6):
         hit &= (table[pos >> 6] >> (pos & 63).astype(U64)) & U64(1) > 0
     return hit

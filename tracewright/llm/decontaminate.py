@@ -4,20 +4,24 @@ Benchmark items give windows of WINDOW consecutive words (an item with fewer wor
 one window). Each shard of the training data (one Arrow batch of whole documents) is
 turned into a word sequence over the vocabulary of the windows; words outside it can't
 be part of an occurrence and only separate runs, and runs shorter than the shortest
-window can't hold one, so both are left out. Over what remains, an FM-index is built:
-suffixes sorted as deep as the longest window, the Burrows-Wheeler transform in a
-wavelet matrix, and every 8th suffix position sampled. All windows search backwards at
-once through wavelet ranks; occurrences are located by walking to sampled positions and
-merged into spans of words to remove.
-
-The windows of the benchmark are indexed in blocks of at most BLOCK_BYTES of text. Every
-block is searched in the text as it came and the hits of all are united, so results don't
-depend on the number of blocks; executors hold the windows of all blocks.
-
-Defined cases: null and empty texts have no words and no hits; items without words have
-no windows; repeated items (equal id) count once, and equal texts under several ids
-count under each id; a null item id is left out; documents with equal ids are each
-reported; an empty benchmark leaves all documents clean; extra columns are ignored.
+window can't hold one, so both are left out. Over what remains, an FM-index is built: the
+suffix order, the Burrows-Wheeler transform in a wavelet matrix, and every 8th suffix
+position sampled. All windows search backwards at once through wavelet ranks; occurrences
+are located by walking back through ranks to sampled positions and merged into spans of
+words to remove.
+
+The windows of the benchmark are indexed in blocks of at most BLOCK_BYTES of text, and
+only one block is held by the driver and sent to the executors at a time. One block is
+searched in a single pass. Of several, each is searched in the text as it came, the hits of
+all are united per text, and only texts with hits are shuffled, so results don't depend on
+the number of blocks.
+
+Defined cases: null and empty texts have no words and no hits; very long texts are
+searched whole; items without words have no windows; repeated items (equal id) count
+once, and equal texts under several ids count under each id; a null item id is left out;
+documents with equal ids and repeated rows are each reported; an empty benchmark leaves
+all documents clean, an empty table of documents gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, column, slices, text_buffer, word_bounds, word_hashes
+from .common import ALNUM_WORDS, bloom, column, may_hold, slices, text_buffer, word_bounds, word_hashes, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -40,25 +44,31 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 class FmIndex:
-    """An FM-index of an integer sequence (symbols 0 to sigma - 1; 0 is the separator), for patterns up to depth symbols."""
+    """An FM-index of an integer sequence (symbols 0 to sigma - 1; 0 is the separator).
 
-    def __init__(self, seq: np.ndarray, sigma: int, depth: int):
-        seq = np.append(seq, 0)  # the end sorts as a separator
+    Separators only bound runs, so their suffixes are ordered by place instead of by what
+    follows: each is a symbol of its own, in that order. That is a suffix order of the
+    sequence with distinct separators, reached by prefix doubling as deep as the longest
+    repeated run; a step back from a separator isn't needed, as every run begins after one.
+    """
+
+    def __init__(self, seq: np.ndarray, sigma: int):
+        seq = np.append(seq, 0)  # the end is a separator
         n = len(seq)
-        rank = seq.astype(np.int64)
-        order, step = None, 1
-        while True:  # prefix doubling, as deep as the patterns reach
+        split = seq == 0
+        rank = np.where(split, np.cumsum(split) - 1, seq.astype(np.int64) + int(split.sum()) - 1)
+        step = 1
+        while True:
             after = np.zeros(n, np.int64)
             after[:-step or n] = rank[step:] + 1
-            key = rank * (n + sigma + 2) + after
+            key = rank * (n + sigma + 2) + np.where(split, 0, after)
             order = np.argsort(key, kind="stable")
             k = key[order]
             new = np.zeros(n, np.int64)
             new[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
             rank, step = new, step * 2
-            if step >= depth or step >= n or rank[order[-1]] == n - 1:
+            if rank[order[-1]] == n - 1:
                 break
-        # ties beyond the depth are broken by position, wholly: rank is then a permutation
         bwt = seq[order - 1]  # the predecessor of position 0 is the end
         self.n, self.sigma = n, sigma
         self.first = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=sigma))])
@@ -70,14 +80,24 @@ class FmIndex:
             ones = np.concatenate([[0], np.cumsum(bit, dtype=np.int32)])
             self.levels.append((b, ones, n - int(ones[-1])))
             cur = np.concatenate([cur[bit == 0], cur[bit == 1]])
-        sampled = order % SAMPLE == 0
+        # every 8th position, and those after a separator, from which no step back is taken
+        sampled = (order % SAMPLE == 0) | (bwt == 0)
         self.mark = sampled
         self.mark_rank = np.concatenate([[0], np.cumsum(sampled)])
         self.samples = order[sampled]
-        # sorting by depth only isn't a sorting of the suffixes, so the walk to a sample keeps its own links
-        where = np.empty(n, np.int64)
-        where[order] = np.arange(n)
-        self.back = where[order - 1]
+
+    def back(self, rows: np.ndarray) -> np.ndarray:
+        """The rows of the suffixes one symbol longer: the symbol before is read from the wavelet matrix on the way to its rank."""
+        at = rows.astype(np.int64)
+        lo = np.zeros(len(rows), np.int64)
+        symbol = np.zeros(len(rows), np.int64)
+        for b, ones, zeros in self.levels:
+            one = (ones[at + 1] - ones[at]).astype(bool)
+            symbol |= one.astype(np.int64) << b
+            x, y = ones[at], ones[lo]
+            at = np.where(one, zeros + x, at - x)
+            lo = np.where(one, zeros + y, lo - y)
+        return self.first[symbol] + at - lo
 
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """Occurrences of symbol in the transform before position upto."""
@@ -109,7 +129,7 @@ class FmIndex:
         while len(left):
             done = self.mark[rows]
             out[left[done]] = self.samples[self.mark_rank[rows[done]]] + step
-            left, rows, step = left[~done], self.back[rows[~done]], step + 1
+            left, rows, step = left[~done], self.back(rows[~done]), step + 1
         return out
 
 
@@ -132,7 +152,6 @@ class Windows:
             self.patterns[i, : len(k)] = k
         self.items = [sorted(found[k]) for k in keys]
         self.shortest = int(self.lengths.min()) if keys else 0
-        self.longest = int(self.lengths.max()) if keys else 0
         flat = b" ".join(vocab)
         data = np.frombuffer(flat, np.uint8)
         s, e, _ = word_bounds(data, np.array([0, len(data)]), ALNUM_WORDS)
@@ -178,7 +197,7 @@ def shard_hits(ids: np.ndarray, first: np.ndarray, w: Windows) -> tuple[np.ndarr
     pos[inside] = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)
     seq = np.where(pos >= 0, ids[pos], 0)
     del to
-    index = FmIndex(seq, w.sigma, w.longest)
+    index = FmIndex(seq, w.sigma)
     lo, hi = index.search(w.patterns, w.lengths)
     some = np.flatnonzero(hi > lo)
     if not len(some):
@@ -193,8 +212,8 @@ def shard_hits(ids: np.ndarray, first: np.ndarray, w: Windows) -> tuple[np.ndarr
     return hit, np.searchsorted(first, at, "right") - 1, which
 
 
-def _scan(blocks: list[Windows], spans: bool):
-    """Several blocks over one pass of the documents; their hit words and items are united."""
+def _scan(w: Windows, spans: bool):
+    """One block over one pass of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,11 +232,8 @@ def _scan(blocks: list[Windows], spans: bool):
             h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             hit = np.zeros(len(h), bool)
             found: dict[int, set[str]] = {}
-            for w in blocks:
-                if not len(w.lengths):
-                    continue
-                mask, doc, which = shard_hits(w.numbers(h), first, w)
-                hit |= mask
+            if len(w.lengths):
+                hit, doc, which = shard_hits(w.numbers(h), first, w)
                 for d, k in set(zip(doc.tolist(), which.tolist())):
                     found.setdefault(d, set()).update(w.items[k])
             sums = np.concatenate([[0], np.cumsum(hit)])
@@ -242,30 +258,81 @@ def _scan(blocks: list[Windows], spans: bool):
     return run
 
 
-def windows_of(benchmark: DataFrame, window: int = WINDOW) -> list[Windows]:
-    """The benchmark's windows in blocks of bounded size (one block unless it is over BLOCK_BYTES)."""
+def windows_of(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Windows]:
+    """The benchmark's windows in blocks of bounded size (one block unless it is over BLOCK_BYTES), one after another."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(64)), F.lit(0))).first()[0]
     parts = max(1, -(-2 * int(size) // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    out = []
     for k in range(parts):
         mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        out.append(Windows([(r.item_id, r.text) for r in mine.toLocalIterator()], window))
-    return out
+        yield Windows([(r.item_id, r.text) for r in mine.toLocalIterator()], window)
+
+
+_SPANS = "array<struct<start:long,end:long>>"
 
 
 def find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
-    """keep, text, n_words, n_hit, items (sorted ids) and spans (byte spans to remove) of every document; one pass, no shuffle."""
-    return _find(documents, windows_of(benchmark, window), keep)
+    """keep, text, n_words, n_hit, items (sorted ids) and spans (byte spans to remove) of every document."""
+    return _find(documents, benchmark, keep, window)
 
 
-def _find(documents: DataFrame, blocks: list[Windows], keep: tuple[str, ...], spans: bool = True) -> DataFrame:
+def _find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], window: int, spans: bool = True) -> DataFrame:
     cols = list(dict.fromkeys([*keep, "text"]))
     df = documents.select(*cols)
     kinds = dict(df.dtypes)
-    shown = [c for c in cols if c != "text" or spans]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in shown) + ", n_words long, n_hit long, items array<string>" + (", spans array<struct<start:long,end:long>>" if spans else "")
-    return df.mapInArrow(_scan(blocks, spans), schema)
+    blocks = windows_of(benchmark, window)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        shown = [c for c in cols if c != "text" or spans]
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in shown) + ", n_words long, n_hit long, items array<string>" + f", spans {_SPANS}" * spans
+        return df.mapInArrow(_scan(block, spans), schema)
+    # several blocks: hits by text, each block in its own pass, united on the text as it came
+    text = df.select("text", F.xxhash64("text").alias("_h1"), F.xxhash64(F.reverse("text"), F.lit(1)).alias("_h2"))
+    hits = None
+    while block is not None:
+        one = text.mapInArrow(_scan(block, True), f"text string, _h1 long, _h2 long, n_words long, n_hit long, items array<string>, spans {_SPANS}")
+        one = written(one.where("n_hit > 0").select("_h1", "_h2", "items", "spans").dropDuplicates(["_h1", "_h2"]))
+        hits = one if hits is None else hits.unionAll(one)
+        block, more = more, next(blocks, None)
+    united = hits.groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("spans")).alias("_spans"))
+    united = written(united.withColumns({"_items": F.array_sort(F.array_distinct("_items")), "_spans": F.array_sort("_spans")}))
+    may = bloom(united.select(F.col("_h1").alias("id")))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", _h1 long, _h2 long, n_words long, n_hit long, items array<string>, spans {_SPANS}"
+    keyed = df.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.reverse("text"), F.lit(1))})
+    counted = keyed.mapInArrow(_scan(Windows([]), True), schema)  # no windows: words are counted, nothing is hit
+    clear = counted.mapInArrow(_pick(may, False), schema)
+    some = counted.mapInArrow(_pick(may, True), schema).join(united.hint("shuffle_hash"), ["_h1", "_h2"], "left").select(*cols, "n_words", "_items", "_spans")
+    out = [c for c in cols if c != "text" or spans] + ["n_words", "n_hit", "items"] + ["spans"] * spans
+    plain = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", n_words long, n_hit long, items array<string>, spans {_SPANS}"
+    return clear.select(*out).unionAll(some.mapInArrow(_unite, plain).select(*out))
+
+
+def _pick(filt, hit: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maybe = may_hold(filt.value, column(b, "_h1").to_numpy(zero_copy_only=False).astype(np.int64))
+            yield b.filter(pa.array(maybe == hit))
+
+    return run
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping spans of several blocks, and those with no word between them, become one; their words are counted."""
+    for b in batches:
+        hits, items, out = [], [], []
+        for text, own, found in zip(*(column(b, c).to_pylist() for c in ("text", "_spans", "_items"))):
+            raw, merged = (text or "").encode().lower(), []
+            for x in own or []:
+                if merged and (x["start"] <= merged[-1]["end"] or not _WORD.search(raw, merged[-1]["end"], x["start"])):
+                    merged[-1]["end"] = max(merged[-1]["end"], x["end"])
+                else:
+                    merged.append(dict(x))
+            hits.append(sum(len(_WORD.findall(raw[x["start"] : x["end"]])) for x in merged))
+            items.append(found or [])
+            out.append(merged)
+        cols = {c: column(b, c) for c in b.schema.names if c not in ("_spans", "_items")}
+        cols |= {"n_hit": pa.array(hits, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
+        yield pa.record_batch(cols)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +360,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ..
 def digest(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, hit words, items, their digest."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _find(docs, windows_of(benchmark, window), ("doc_id",), spans=False)
+    out = _find(docs, benchmark, ("doc_id",), window, spans=False)
     joined = F.array_join("items", ",")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -312,7 +312,7 @@ def _pairs(keys: DataFrame) -> DataFrame:
 
 
 def _sets_of(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    return full_sets(documents, classes.join(ids.distinct(), "cls", "left_semi").select("cls", "look", "h1", "h2"))
+    return full_sets(documents, written(classes.join(ids.distinct(), "cls", "left_semi").select("cls", "look", "h1", "h2")))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
