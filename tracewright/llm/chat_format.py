@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 # ------------------------------------------------------------ schema fingerprints
 
 
@@ -289,7 +291,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     by nothing. No shuffle is needed, however long a conversation is.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_render, FORMATTED)
+    return rows.mapInArrow(lean(_render), FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -339,4 +341,4 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
     # the text as it was before it was escaped
     body = F.substring(F.col("formatted"), F.col("text_start") + 1, F.length("formatted") - F.col("text_start") - len(END))
     rows = rows.withColumn("plain", F.regexp_replace(body, r"(?s)\\(.)", "$1"))
-    return rows.sortWithinPartitions("conv_id", "turn", "role", "plain").drop("role", "turn", "plain", "text_start").mapInArrow(_digest, DIGEST)
+    return rows.sortWithinPartitions("conv_id", "turn", "role", "plain").drop("role", "turn", "plain", "text_start").mapInArrow(lean(_digest), DIGEST)

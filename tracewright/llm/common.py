@@ -8,11 +8,13 @@ contiguous UTF-8 buffer with offsets, and numpy works on slices of whole documen
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C13 | 3  # odd, so that it has an inverse modulo 2**64
 
 
@@ -78,6 +80,19 @@ def drop_written(*frames: DataFrame) -> None:
                 p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class lean:
+    """For mapInArrow: the function, after which a worker gives back to the system what it has freed, as workers stay for later tasks."""
+
+    def __init__(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.run = run
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from self.run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 ARROW_ROWS = 2000
 
 
@@ -237,7 +252,7 @@ def bloom(ids: DataFrame):
     so it should be a written table or cheap.
     """
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
-    words = ids.select(F.col("id").cast("long").alias("id")).mapInArrow(_bits(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = ids.select(F.col("id").cast("long").alias("id")).mapInArrow(lean(_bits(bits)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits >> 6, U64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).astype(U64)
     return ids.sparkSession.sparkContext.broadcast(out)

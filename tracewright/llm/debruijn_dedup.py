@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, bloom, column, drop_written, likely, may_hold, mix, prefix_sums, slices, span_hash, text_buffer, word_bounds, word_hashes, written
+from .common import SPACE_WORDS, bloom, column, drop_written, lean, likely, may_hold, mix, prefix_sums, slices, span_hash, text_buffer, word_bounds, word_hashes, written
 from .repeats import _ranges, covered, document_keys, find_paths, repeated_paths
 
 WINDOW, GRAM = 35, 8
@@ -89,21 +89,21 @@ def _same(a: str, b: str, *cols: str):
 def repeated_windows(documents: DataFrame) -> DataFrame:
     """(doc_id, key, start, mask): for each path that holds repeated windows, the first word and a bit for each such window."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    paths = written(docs.mapInArrow(_paths, PATHS))
+    paths = written(docs.mapInArrow(lean(_paths), PATHS))
     nodes = repeated_paths(paths)
     whole = nodes.where("times > 1").select("anchor", "name", F.lit(-1).cast("long").alias("mask"))
     branching = nodes.where("kinds > 1").select(F.col("name").alias("id"))
     # an edge of one path with several occurrences is covered by the path; any other repeats
     # exactly if it lies on two paths of different names
-    edges = written(docs.mapInArrow(_edges(bloom(branching)), EDGES))
+    edges = written(docs.mapInArrow(lean(_edges(bloom(branching))), EDGES))
     twice = written(edges.groupBy("e1", "e2").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("e1", "e2"))
-    open_edges = edges.mapInArrow(likely(bloom(twice.select(F.col("e1").alias("id"))), "e1"), EDGES)
+    open_edges = edges.mapInArrow(lean(likely(bloom(twice.select(F.col("e1").alias("id"))), "e1")), EDGES)
     opened = open_edges.join(twice, ["e1", "e2"]).groupBy("name").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
     opened = opened.join(nodes.select("anchor", "name"), "name").select("anchor", "name", "mask")
     repeated = written(whole.unionAll(opened).groupBy("anchor", "name").agg(F.bit_or("mask").alias("mask")))
     drop_written(edges, twice, nodes)
     near = bloom(repeated.select(F.col("name").alias("id")))
-    found = paths.mapInArrow(likely(near, "name"), PATHS).join(repeated, ["anchor", "name"])
+    found = paths.mapInArrow(lean(likely(near, "name")), PATHS).join(repeated, ["anchor", "name"])
     # bits past the path's last window belong to no window
     return found.select("doc_id", "key", "start", F.expr("mask & (shiftleft(1L, n) - 1)").alias("mask"))
 
@@ -157,7 +157,7 @@ def digest(documents: DataFrame) -> DataFrame:
     filt = bloom(spans.select(F.col("key").alias("id")))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     split = "doc_id long, key long, n_words long, kept_sha256 string, text string"
-    whole = docs.mapInArrow(_split(filt), split).where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    part = docs.mapInArrow(_split(filt), split).where("text is not null").select("doc_id", "key", "text")
+    whole = docs.mapInArrow(lean(_split(filt)), split).where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    part = docs.mapInArrow(lean(_split(filt)), split).where("text is not null").select("doc_id", "key", "text")
     joined = part.alias("d").join(spans.alias("s"), _same("d", "s", "key"), "left").select("d.doc_id", "d.text", "s.starts", "s.masks")
-    return whole.unionAll(joined.mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    return whole.unionAll(joined.mapInArrow(lean(_apply), "doc_id long, n_words long, n_removed long, kept_sha256 string"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, bloom, column, may_hold, slices, text_buffer, word_bounds, word_hashes, written
+from .common import ALNUM_WORDS, bloom, column, lean, may_hold, slices, text_buffer, word_bounds, word_hashes, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -285,12 +285,12 @@ def _find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], win
     if more is None:
         shown = [c for c in cols if c != "text" or spans]
         schema = ", ".join(f"`{c}` {kinds[c]}" for c in shown) + ", n_words long, n_hit long, items array<string>" + f", spans {_SPANS}" * spans
-        return df.mapInArrow(_scan(block, spans), schema)
+        return df.mapInArrow(lean(_scan(block, spans)), schema)
     # several blocks: hits by text, each block in its own pass, united on the text as it came
     text = df.select("text", F.xxhash64("text").alias("_h1"), F.xxhash64(F.reverse("text"), F.lit(1)).alias("_h2"))
     hits = None
     while block is not None:
-        one = text.mapInArrow(_scan(block, True), f"text string, _h1 long, _h2 long, n_words long, n_hit long, items array<string>, spans {_SPANS}")
+        one = text.mapInArrow(lean(_scan(block, True)), f"text string, _h1 long, _h2 long, n_words long, n_hit long, items array<string>, spans {_SPANS}")
         one = written(one.where("n_hit > 0").select("_h1", "_h2", "items", "spans").dropDuplicates(["_h1", "_h2"]))
         hits = one if hits is None else hits.unionAll(one)
         block, more = more, next(blocks, None)
@@ -299,12 +299,12 @@ def _find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], win
     may = bloom(united.select(F.col("_h1").alias("id")))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", _h1 long, _h2 long, n_words long, n_hit long, items array<string>, spans {_SPANS}"
     keyed = df.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.reverse("text"), F.lit(1))})
-    counted = keyed.mapInArrow(_scan(Windows([]), True), schema)  # no windows: words are counted, nothing is hit
-    clear = counted.mapInArrow(_pick(may, False), schema)
-    some = counted.mapInArrow(_pick(may, True), schema).join(united.hint("shuffle_hash"), ["_h1", "_h2"], "left").select(*cols, "n_words", "_items", "_spans")
+    counted = keyed.mapInArrow(lean(_scan(Windows([]), True)), schema)  # no windows: words are counted, nothing is hit
+    clear = counted.mapInArrow(lean(_pick(may, False)), schema)
+    some = counted.mapInArrow(lean(_pick(may, True)), schema).join(united.hint("shuffle_hash"), ["_h1", "_h2"], "left").select(*cols, "n_words", "_items", "_spans")
     out = [c for c in cols if c != "text" or spans] + ["n_words", "n_hit", "items"] + ["spans"] * spans
     plain = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", n_words long, n_hit long, items array<string>, spans {_SPANS}"
-    return clear.select(*out).unionAll(some.mapInArrow(_unite, plain).select(*out))
+    return clear.select(*out).unionAll(some.mapInArrow(lean(_unite), plain).select(*out))
 
 
 def _pick(filt, hit: bool):
@@ -354,7 +354,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ..
     """Documents without the words that benchmark windows cover (and what stands between such words). All windows are found in the text as it came, which is then cut once."""
     kinds = dict(documents.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return find(documents, benchmark, keep, window).select(*keep, "spans").mapInArrow(_remove, schema)
+    return find(documents, benchmark, keep, window).select(*keep, "spans").mapInArrow(lean(_remove), schema)
 
 
 def digest(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, bloom, column, drop_written, may_hold, mix, powers, prefix_sums, slices, text_buffer, word_bounds, word_hashes, written
+from .common import SPACE_WORDS, bloom, column, drop_written, lean, may_hold, mix, powers, prefix_sums, slices, text_buffer, word_bounds, word_hashes, written
 from .components import connected_components
 
 SHINGLE, SLOTS, CHUNKS, WIDTH = 5, 64, 16, 4
@@ -112,7 +112,7 @@ def sketches(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, look, *keep, n_shingles, h1, h2, the signature) of every document; one pass. look is the id, or a hash of the text where that is null."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _look(), *keep, F.col("text").cast("string").alias("text"))
     kept = "".join(f"`{c}` {t}, " for c, t in documents.select(*keep).dtypes)
-    return docs.mapInArrow(_sketch, f"doc_id long, look long, {kept}n_shingles long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SIG))
+    return docs.mapInArrow(lean(_sketch), f"doc_id long, look long, {kept}n_shingles long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SIG))
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def _keys(filt=None):
 
 def keys_of(classes: DataFrame, filt=None) -> DataFrame:
     """(key, cls): 64 keys a class."""
-    return classes.where("n > 0").select("cls", *SIG).mapInArrow(_keys(filt), "key long, cls long")
+    return classes.where("n > 0").select("cls", *SIG).mapInArrow(lean(_keys(filt)), "key long, cls long")
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}_{c}") for c in SIG])
     salted, centres = _salted(pairs)
     both = salted.join(side("b"), "b").join(centres.join(side("a"), "a"), ["a", "salt"])
-    return both.where(_FITS).select("a", "b", *[f"a_{c}" for c in SIG], *[f"b_{c}" for c in SIG]).mapInArrow(_agree, "a long, b long")
+    return both.where(_FITS).select("a", "b", *[f"a_{c}" for c in SIG], *[f"b_{c}" for c in SIG]).mapInArrow(lean(_agree), "a long, b long")
 
 
 # ------------------------------------------------------------ confirmation on full sets
@@ -208,7 +208,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     filt = bloom(wanted.select(F.col("look").alias("id")))
     docs = documents.select(_look(), F.col("text").cast("string").alias("text"))
-    got = docs.mapInArrow(_sets(filt), "look long, h1 long, h2 long, set binary")
+    got = docs.mapInArrow(lean(_sets(filt)), "look long, h1 long, h2 long, set binary")
     found = written(got.join(wanted.select("cls", "look", "h1", "h2"), ["look", "h1", "h2"]).select("cls", "set").withColumn("r", F.monotonically_increasing_id()))
     twice = found.groupBy("cls").agg(F.min("r").alias("r"), F.count("*").alias("times")).where("times > 1").select("cls", F.col("r").alias("only"))
     if twice.isEmpty():
@@ -243,7 +243,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     members = salted.join(sets.select(F.col("cls").alias("b"), "set"), "b").select("a", "salt", "b", "set")
     heads = centres.join(sets.select(F.col("cls").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
     rows = members.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_confirm, "a long, b long")
+    return rows.mapInArrow(lean(_confirm), "a long, b long")
 
 
 # ------------------------------------------------------------ large buckets: prefix filter
@@ -272,7 +272,7 @@ def filed(sets: DataFrame, comps: DataFrame) -> DataFrame:
     to common; a partner of nb shingles first met here needs 7 (n + nb) <= 17 rest. Shingles
     of one class only come first of all, and no partner is met there.
     """
-    tokens = sets.mapInArrow(_tokens, "tok long, cls long")
+    tokens = sets.mapInArrow(lean(_tokens), "tok long, cls long")
     often = tokens.groupBy("tok").agg(F.count("*").alias("often")).where("often > 1")
     shared = tokens.join(often, "tok")
     place = Window.partitionBy("cls").orderBy(F.col("often").desc(), F.col("tok").desc())

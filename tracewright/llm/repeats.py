@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, drop_written, likely, mix, prefix_sums, span_hash, written
+from .common import bloom, drop_written, lean, likely, mix, prefix_sums, span_hash, written
 
 _POS = np.uint64((1 << 31) - 1)
 
@@ -91,7 +91,7 @@ def repeated_paths(paths: DataFrame) -> DataFrame:
     filter of bounded size lets them through, then exactly) are grouped by name.
     """
     anchors = written(paths.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"))
-    some = paths.select("anchor", "name").mapInArrow(likely(bloom(anchors.select(F.col("anchor").alias("id"))), "anchor"), "anchor long, name long")
+    some = paths.select("anchor", "name").mapInArrow(lean(likely(bloom(anchors.select(F.col("anchor").alias("id"))), "anchor")), "anchor long, name long")
     compact = written(some.groupBy("anchor", "name").agg(F.count("*").alias("times")))
     meeting = compact.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("times").alias("most")).where("kinds > 1 or most > 1").select("anchor", "kinds")
     out = written(compact.join(meeting, "anchor"))

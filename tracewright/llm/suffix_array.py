@@ -17,10 +17,11 @@ Order and values are exact up to cap; deeper ties are in no particular order.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 
 from .common import mix, prefix_sums, span_hash
 
@@ -28,34 +29,59 @@ SMALL_ALPHABET = 1024
 
 
 class Queues:
-    """First-in first-out tuples by character, beyond a budget in files."""
+    """First-in first-out tuples by character, a priority queue popped in the order of characters.
+
+    What is over the budget goes to a run: all tuples held are written to one file of the
+    shared folder, character after character, and only places in it stay in memory. The
+    folder is a URI of any file system that pyarrow knows, so a cluster's shared folder
+    serves as well as a local one.
+    """
 
     def __init__(self, folder: str | None, budget: int):
-        self.folder = tempfile.mkdtemp(dir=folder) if folder else None
-        self.budget, self.held, self.files = budget, 0, 0
+        self.budget, self.held, self.runs, self.spilled = budget, 0, [], 0
+        self.fs = None
+        if folder:
+            self.fs, at = pa.fs.FileSystem.from_uri(folder)
+            self.folder = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
         self.parts: dict[int, list] = {}
 
     def empty(self, c: int) -> bool:
         return c not in self.parts
 
     def push(self, c: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        size = pos.nbytes + lcp.nbytes
-        if self.folder and self.held + size > self.budget:
-            self.files += 1
-            name = os.path.join(self.folder, f"{self.files}.npz")
-            np.savez(name, pos=pos, lcp=lcp)
-            self.parts.setdefault(c, []).append(name)
-        else:
-            self.held += size
-            self.parts.setdefault(c, []).append((pos, lcp))
+        self.held += pos.nbytes + lcp.nbytes
+        self.parts.setdefault(c, []).append((pos, lcp))
+        if self.fs and self.held > self.budget:
+            self._spill()
+
+    def _spill(self) -> None:
+        if not self.runs:
+            self.fs.create_dir(self.folder)
+        name, at = f"{self.folder}/{len(self.runs)}", 0
+        self.runs.append(name)
+        with self.fs.open_output_stream(name) as f:
+            for c in sorted(self.parts):
+                kept: list = []
+                mine = [x for x in self.parts[c] if len(x) == 2]
+                kept += [x for x in self.parts[c] if len(x) == 3]  # in earlier runs
+                if mine:
+                    pos, lcp = np.concatenate([x[0] for x in mine]).astype(np.int64), np.concatenate([x[1] for x in mine]).astype(np.int32)
+                    f.write(pos.tobytes())
+                    f.write(lcp.tobytes())
+                    kept.append((name, at, len(pos)))
+                    at += 12 * len(pos)
+                self.parts[c] = kept
+        self.spilled += at
+        self.held = 0
 
     def pop(self, c: int) -> tuple[np.ndarray, np.ndarray]:
         got = []
         for x in self.parts.pop(c, []):
-            if isinstance(x, str):
-                with np.load(x) as z:
-                    got.append((z["pos"], z["lcp"]))
-                os.unlink(x)
+            if len(x) == 3:
+                with self.fs.open_input_file(x[0]) as f:
+                    f.seek(x[1])
+                    raw = f.read(12 * x[2])
+                got.append((np.frombuffer(raw, np.int64, x[2]), np.frombuffer(raw, np.int32, x[2], 8 * x[2])))
             else:
                 self.held -= x[0].nbytes + x[1].nbytes
                 got.append(x)
@@ -64,8 +90,8 @@ class Queues:
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
     def close(self) -> None:
-        if self.folder:
-            os.rmdir(self.folder)
+        if self.runs:
+            self.fs.delete_dir(self.folder)
 
 
 def _range_min(lcp: np.ndarray, at: np.ndarray) -> np.ndarray:

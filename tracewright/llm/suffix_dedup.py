@@ -32,13 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, byte_codes, column, drop_written, likely, may_hold, mix, prefix_sums, shared_dir, slices, span_hash, text_buffer, written
+from .common import bloom, byte_codes, column, drop_written, lean, likely, may_hold, mix, prefix_sums, shared_dir, slices, span_hash, text_buffer, written
 from .repeats import _ranges, covered, document_keys, find_paths, repeated_paths
 from .suffix_array import suffix_array
 
 WINDOW, GRAM, SPAN = 400, 100, 76
 HOT = 5_000
-SHARD_BYTES = 1 << 20
+SHARD_BYTES, QUEUE_BYTES = 1 << 20, 4 << 20
 PATHS = "doc_id long, key long, start int, n int, anchor long, name long"
 
 
@@ -102,7 +102,7 @@ def _same(a: str, b: str, *cols: str):
     return cond
 
 
-def sort_shard(contexts: list[bytes], windows: list[int], folder: str | None = None, budget: int = 256 << 20) -> list[np.ndarray]:
+def sort_shard(contexts: list[bytes], windows: list[int], folder: str | None = None, budget: int = QUEUE_BYTES) -> list[np.ndarray]:
     """Which of each context's windows occur elsewhere in the shard too, by its suffix array."""
     size = np.array([len(c) + 1 for c in contexts])
     first = np.cumsum(size) - size
@@ -128,17 +128,15 @@ _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
 RUNS = "array<struct<a:int,z:int>>"
 
 
-def _sort(folder: str | None):
+def _sort(folder: str | None, budget: int):
     """Rows sorted by core come in; whole cores are gathered into shards of about SHARD_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if folder:
-            os.makedirs(folder, exist_ok=True)
         rows: list[tuple] = []
         held, last = 0, None
 
         def close() -> pa.RecordBatch:
-            found = sort_shard([r[3] for r in rows], [r[2] for r in rows], folder)
+            found = sort_shard([r[3] for r in rows], [r[2] for r in rows], folder, budget)
             out = [(r[0], _runs(f + r[1])) for r, f in zip(rows, found) if len(f)]
             rows.clear()
             return pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], _RUNS)], names=["name", "runs"])
@@ -176,36 +174,36 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([column(part, "name").take(take), pa.array(off.astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["name", "off", "e1", "e2"])
 
 
-def _spill_folder(documents: DataFrame) -> str | None:
-    """A folder for queues in the shared folder, if that can be reached by path."""
-    u = urlparse(shared_dir(documents.sparkSession))
-    return os.path.join(u.path, "tracewright-queues") if u.scheme in ("", "file") else None
+def _queue_folder(documents: DataFrame) -> str:
+    """The folder for queues, as a URI within the shared folder; executors make what they need in it."""
+    found = shared_dir(documents.sparkSession)
+    return f"{found if urlparse(found).scheme else 'file://' + os.path.abspath(found)}/tracewright-queues"
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
     """(doc_id, key, start, runs): for each path with repeated windows its first byte and the runs of such windows."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    paths = written(docs.mapInArrow(_paths, PATHS))
+    paths = written(docs.mapInArrow(lean(_paths), PATHS))
     nodes = repeated_paths(paths)
     every = F.array(F.struct(F.lit(0).alias("a"), F.lit(WINDOW).alias("z")))
     whole = nodes.where("times > 1").select("anchor", "name", every.alias("runs"))
     branching = bloom(nodes.where("kinds > 1").select(F.col("name").alias("id")))
-    contexts = written(docs.mapInArrow(_contexts(branching), _CONTEXTS))
+    contexts = written(docs.mapInArrow(lean(_contexts(branching)), _CONTEXTS))
     cores = written(contexts.groupBy("core").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("core", "members"))
-    shared = contexts.mapInArrow(likely(bloom(cores.select(F.col("core").alias("id"))), "core"), _CONTEXTS)
+    shared = contexts.mapInArrow(lean(likely(bloom(cores.select(F.col("core").alias("id"))), "core")), _CONTEXTS)
     huge = cores.where(F.col("members") > HOT).select("core")
     cold = shared.join(huge, "core", "left_anti").select("core", "name", "off", "m", "context")
     # the same range of the same path may come from several texts
     cold = cold.repartition("core").sortWithinPartitions("core", "name", "off")
-    sorted_ = cold.mapInArrow(_sort(_spill_folder(documents)), f"name long, runs {RUNS}")
-    hot = shared.join(huge, "core", "left_semi").select("name", "off", "m", "context").mapInArrow(_open, "name long, off int, e1 long, e2 long")
+    sorted_ = cold.mapInArrow(lean(_sort(_queue_folder(documents), QUEUE_BYTES)), f"name long, runs {RUNS}")
+    hot = shared.join(huge, "core", "left_semi").select("name", "off", "m", "context").mapInArrow(lean(_open), "name long, off int, e1 long, e2 long")
     twice = hot.groupBy("e1", "e2").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("e1", "e2")
     opened = hot.join(twice, ["e1", "e2"]).select("name", "off").distinct().select("name", F.array(F.struct(F.col("off").alias("a"), (F.col("off") + 1).alias("z"))).alias("runs"))
     part = sorted_.unionAll(opened).join(nodes.select("anchor", "name"), "name").select("anchor", "name", "runs")
     repeated = written(whole.unionAll(part).groupBy("anchor", "name").agg(F.flatten(F.collect_set("runs")).alias("runs")))
     drop_written(contexts, cores, nodes)
     near = bloom(repeated.select(F.col("name").alias("id")))
-    found = paths.mapInArrow(likely(near, "name"), PATHS).join(repeated, ["anchor", "name"])
+    found = paths.mapInArrow(lean(likely(near, "name")), PATHS).join(repeated, ["anchor", "name"])
     # runs that reach past the path's last window end there
     return found.select("doc_id", "key", "start", F.transform("runs", lambda r: F.struct(r["a"].alias("a"), F.least(r["z"], F.col("n")).alias("z"))).alias("runs"))
 
@@ -259,9 +257,9 @@ def digest(documents: DataFrame) -> DataFrame:
     spans = spans_by_document(documents)
     filt = bloom(spans.select(F.col("key").alias("id")))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = docs.mapInArrow(_split(filt), "doc_id long, key long, n_bytes long, kept_sha256 string, text string")
+    split = docs.mapInArrow(lean(_split(filt)), "doc_id long, key long, n_bytes long, kept_sha256 string, text string")
     zero = F.lit(0).cast("long")
     whole = split.where("text is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256")
     part = split.where("text is not null").select("doc_id", "key", "text")
     joined = part.alias("d").join(spans.alias("s"), _same("d", "s", "key"), "left").select("d.doc_id", "d.text", "s.starts", "s.runs")
-    return whole.unionAll(joined.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return whole.unionAll(joined.mapInArrow(lean(_apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
