@@ -1,20 +1,27 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment measures them.
 
-Templates are word sequences (lower-cased letters and digits). Their K-word grams are
-winnowed (the smallest hash of every W consecutive grams stays), which gives an inverted
-index from gram to (template, place). Any K + W - 1 words that a text shares with a
-template hold a common selected gram. A text's selected grams are looked up; each hit
-proposes a template on a diagonal, hits on near diagonals are one candidate, and the
-candidate is aligned with the template by local alignment within a band around the
-diagonal. A match reports the share of the template's words that are matched in order
-(coverage) and the span in the text.
+Templates are word sequences (lower-cased letters and digits): whole license texts,
+standard notices and short references (license_texts.py). The K-word grams of a text or
+notice are winnowed (the smallest hash of every W consecutive grams stays), which gives an
+inverted index from gram to (template, place). Any K + W - 1 words that a text shares with
+a template hold a common selected gram. A text's grams are looked up; each hit proposes a
+template on a diagonal, hits on near diagonals are one candidate, and the candidate is
+aligned with the template by local alignment within a band around the diagonal. A match
+reports the share of the template's words that are matched in order (coverage) and the
+span in the text. Templates of fewer than SHORT words stand in the index with their last
+gram and count only where they occur word for word, since one word more or less names
+another license.
 
 The template set is a parameter; what reaches the executors is its index, of the size of
 the templates, which is checked (MAX_TEMPLATE_WORDS).
 
-Defined cases: null and empty texts match nothing; templates without words are refused;
-of overlapping matches of one template the best stays; matches of different templates may
-overlap; rows with equal ids are each reported; extra columns are ignored.
+Defined cases: null and empty texts match nothing, very long ones are scanned whole;
+templates without words are refused; of overlapping matches of one license name the one
+with the best coverage stays, of equal ones the longest template's, then the first;
+matches of different names may overlap (a BSD-2-Clause text lies within BSD-3-Clause's);
+what is inserted within a match beyond the band ends it, and the better part counts;
+rows with equal ids and repeated rows are each reported; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,38 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, column, prefix_sums, slices, span_hash, text_buffer, word_bounds, word_hashes
+from .common import ALNUM_WORDS, column, lean, prefix_sums, slices, span_hash, text_buffer, word_bounds, word_hashes
+from .license_texts import REFERENCES, TEXTS
 from .repeats import sliding_min
 
-K, W, BAND, MIN_COVERAGE = 3, 2, 8, 0.7
+K, W, BAND, MIN_COVERAGE, SHORT = 3, 4, 8, 0.7, 16
 MAX_TEMPLATE_WORDS = 1_000_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-TEMPLATES: dict[str, str] = {
-    "apache-2.0-reference": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
-        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
-        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
-        on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
-        the specific language governing permissions and limitations under the License.""",
-    "mit-reference": "Released under the MIT License.",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
-        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
-        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
-        copyright notice and this permission notice shall be included in all copies or substantial portions of the
-        Software.""",
-    "gpl-3.0-reference": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
-        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
-        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
-    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
-        provided that the following conditions are met: Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer.""",
-    "cc-by-nc-4.0-reference": "Licensed under CC BY-NC 4.0.",
-    "all-rights-reserved": "All rights reserved.",
-}
+#: name -> its texts; a match of any is one of the name
+TEMPLATES: dict[str, list[str]] = {**{k: [t] for k, t in TEXTS.items()}, **REFERENCES}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -109,9 +94,14 @@ def align(template: list, words: list, diagonal: int, band: int = BAND) -> tuple
 class Index:
     """The inverted index of a set of templates."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, list[str]]):
         self.names = sorted(templates)
-        self.words = [words_of(templates[n]) for n in self.names]
+        found: dict[tuple[int, tuple[bytes, ...]], None] = {}
+        for n, name in enumerate(self.names):
+            for text in templates[name]:
+                found[n, tuple(words_of(text))] = None
+        self.name = [n for n, _ in found]
+        self.words = [list(w) for _, w in found]
         if not all(self.words):
             raise ValueError("a template has no words")
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
@@ -121,7 +111,7 @@ class Index:
             data = np.frombuffer(b" ".join(own), np.uint8)
             s, e, _ = word_bounds(data, np.array([0, len(data)]), ALNUM_WORDS)
             g = grams(word_hashes(data, s, e, lower=False), len(own))
-            for p in winnow(g):
+            for p in winnow(g) if len(own) >= SHORT else [len(g) - 1]:
                 hashes.append(g[p])
                 where.append((t, int(p)))
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
@@ -146,34 +136,41 @@ def grams(h: np.ndarray, n: int, sums: np.ndarray | None = None) -> np.ndarray:
 
 
 def scan_words(words: list[bytes], hits: list[tuple[int, int, int]], index: Index, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> list[tuple[int, float, int, int]]:
-    """(template, coverage, first word, end word) of one text's hits."""
-    found: list[tuple[int, float, int, int]] = []
-    for t in sorted({h[1] for h in hits}):
+    """(name, coverage, first word, end word) of one text's hits."""
+    mine: dict[int, list[tuple[float, int, int, int]]] = {}
+    places: dict[int, list[int]] = {}
+    for p, t, q in hits:
+        places.setdefault(t, []).append(p - q)
+    for t, own_places in places.items():
         own = index.words[t]
+        found = mine.setdefault(index.name[t], [])
+        if len(own) < SHORT:
+            found += [(1.0, -len(own), d, d + len(own)) for d in own_places if d >= 0 and words[d : d + len(own)] == own]
+            continue
         # two occurrences are a template apart at least, so neither the grouping nor the
         # alignment of one reaches the other
         near, wide = max(1, min(band, len(own) // 4)), max(1, min(2 * band, (len(own) - 1) // 2))
-        diagonals = sorted({p - q for p, x, q in hits if x == t})
         groups: list[list[int]] = []
-        for d in diagonals:
+        for d in sorted(set(own_places)):
             if groups and d - groups[-1][0] <= near:
                 groups[-1].append(d)
             else:
                 groups.append([d])
-        mine = []
         for g in groups:
             d = g[len(g) // 2]
             lo = max(0, d - wide)
             part = words[lo : d + len(own) + wide]
             matched, a, z = align(own, part, d - lo, wide)
             if matched >= min_coverage * len(own):
-                mine.append((matched / len(own), a + lo, z + lo))
-        kept: list[tuple[float, int, int]] = []
-        for c, a, z in sorted(mine, key=lambda x: (-x[0], x[1])):
-            if all(z <= x[1] or x[2] <= a for x in kept):
-                kept.append((c, a, z))
-        found += [(t, c, a, z) for c, a, z in sorted(kept, key=lambda x: x[1])]
-    return sorted(found, key=lambda x: (x[2], x[0]))
+                found.append((matched / len(own), -len(own), a + lo, z + lo))
+    out: list[tuple[int, float, int, int]] = []
+    for n, found in mine.items():
+        kept: list[tuple[int, int]] = []
+        for c, _, a, z in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            if all(z <= x or y <= a for x, y in kept):
+                kept.append((a, z))
+                out.append((n, c, a, z))
+    return sorted(out, key=lambda x: (x[2], x[0]))
 
 
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -214,7 +211,7 @@ def _scan(index: Index, min_coverage: float):
     return run
 
 
-def scan(documents: DataFrame, templates: dict[str, str] | None = None, keep: tuple[str, ...] = ("doc_id",), min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def scan(documents: DataFrame, templates: dict[str, list[str]] | None = None, keep: tuple[str, ...] = ("doc_id",), min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """keep and matches (license, coverage, start, end in code points) of every document; one pass, no shuffle.
 
     All grams of a text are looked up, of which the winnowed ones are a part, so a
@@ -222,10 +219,10 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, keep: tu
     """
     df = documents.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", matches array<struct<license:string,coverage:double,start:long,end:long>>"
-    return df.mapInArrow(_scan(Index(TEMPLATES if templates is None else templates), min_coverage), schema)
+    return df.mapInArrow(lean(_scan(Index(TEMPLATES if templates is None else templates), min_coverage)), schema)
 
 
-def digest(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def digest(documents: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per document: number of matches, the matches as text, and the best coverage."""
     m = scan(documents, templates)
     shown = F.transform("matches", lambda x: F.concat_ws(":", x["license"], F.round(x["coverage"], 4).cast("string"), x["start"].cast("string"), x["end"].cast("string")))
