@@ -1,22 +1,26 @@
 """Personal data: base recognisers and bootstrapped contextual extraction.
 
 Base kinds (email, ip, card, phone) are found by linear-time scans. Bootstrapping then
-works on a bipartite graph of lexical patterns and instances: seeds are the base
-entities and key-like strings (16 or more letters and digits, mixed); a pattern is a
-trigger to the left of a value (password=, token = ") or a prefix with a shape (AKIA +
-upper case). Spark scores the graph in rounds: a pattern's score is the mean score of
-its distinct instances, an instance's is the best of its seed value and its trusted
-patterns. Patterns with MIN_SUPPORT distinct values and a score of at least MIN_SCORE
-then label every value they match, seeds or not: those are the added spans.
+works on a bipartite graph of lexical patterns and instances (distinct values). A pattern
+is a trigger to the left of a value (password=, token = ") or a prefix with a shape (AKIA +
+upper case). Seeds are the base entities and key-like strings (16 or more letters and
+digits, mixed) where a trigger introduces them. Spark scores the graph in rounds: a
+trigger's score is the mean, over its distinct values, of the better of their seed value
+and of the trusted prefixes they have; a prefix's score is the mean over its distinct
+values of the best trusted trigger that introduces them anywhere, so a shape alone never
+vouches for itself. Patterns with MIN_SUPPORT distinct values and a score of at least
+MIN_SCORE then label every value they match, seeds or not: those are the added spans.
 
 The graph is aggregated to distinct (pattern, value) edges before any join, and joins on
 patterns are salted, so a pattern that a third of all texts hold is not one task's work.
 
 Defined cases: a trigger's value reaches to the next white space or delimiter, however long
-it is, and triggers inside it aren't looked for; null and empty texts have no spans; offsets are code points; an added
-span that overlaps a base span is dropped, as is one that overlaps an earlier added one;
-documents with equal ids are each reported; a corpus without seeds adds nothing; extra
-columns are ignored.
+it is, and triggers inside it aren't looked for; null and empty texts have no spans, very
+long ones are searched whole; offsets are code points; an added span that overlaps a base
+span is dropped, as is one that overlaps an earlier added one (of two with one start the
+shorter stays); documents with equal ids and repeated rows are each reported, and a value
+counts once however often it is repeated; a corpus without seeds adds nothing, an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, written
+from .common import column, lean, written
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "secret"
@@ -115,7 +119,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for m in _KEY.finditer(text):
         v = m.group()
         if _key_like(v):
-            out.append((m.start(), m.end(), f"P|{v[:4]}|{_shape(v)}", v.lower(), 1.0))
+            out.append((m.start(), m.end(), f"P|{v[:4]}|{_shape(v)}", v.lower(), 0.0))
     return out
 
 
@@ -146,7 +150,7 @@ def extract(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, base (spans) and cands (candidates) of every document; one pass."""
     df = documents.select(*keys, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes) + f", base {SPAN_DDL}, cands {CANDIDATE_DDL}"
-    return df.mapInArrow(_extract, schema)
+    return df.mapInArrow(lean(_extract), schema)
 
 
 def _salted(patterns: DataFrame) -> DataFrame:
@@ -157,6 +161,7 @@ def score_patterns(extracted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(p, score, support) of all patterns, by iteration over the pattern-instance graph."""
     edges = extracted.select(F.explode("cands").alias("c")).groupBy("c.p", "c.v").agg(F.max("c.seed").alias("seed"))
     edges = written(edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")))
+    prefix = F.col("p").startswith("P|")
 
     def means(scored: DataFrame) -> DataFrame:
         return scored.groupBy("p").agg(F.avg("x").alias("score"), F.count("*").alias("support"))
@@ -164,8 +169,12 @@ def score_patterns(extracted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     patterns = means(edges.withColumn("x", F.col("seed")))
     for _ in range(rounds - 1):
         trusted = _salted(patterns.where((F.col("support") >= MIN_SUPPORT) & (F.col("score") >= MIN_SCORE)).select("p", "score"))
-        values = edges.join(trusted, ["p", "salt"], "left").groupBy("v").agg(F.greatest(F.max("seed"), F.coalesce(F.max("score"), F.lit(0.0))).alias("x"))
-        patterns = written(means(edges.select("p", "v").join(values, "v")))
+        known = edges.join(trusted, ["p", "salt"], "left")
+        score = F.coalesce("score", F.lit(0.0))
+        # what a value's trusted triggers say of it, and what its trusted prefixes say
+        values = known.groupBy("v").agg(F.max(F.when(prefix, 0.0).otherwise(score)).alias("by_trigger"), F.max(F.when(prefix, score).otherwise(0.0)).alias("by_prefix"))
+        x = F.when(prefix, F.col("by_trigger")).otherwise(F.greatest("seed", "by_prefix"))
+        patterns = written(means(edges.select("p", "v", "seed").join(values, "v").withColumn("x", x)))
     return patterns
 
 
@@ -238,7 +247,7 @@ def redact(documents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     kinds = dict(documents.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     inside = key.where(can)
-    changed = inside.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash")), "left").select(*[F.col(f"d.{c}") for c in keep], "s.spans").mapInArrow(_mask, schema)
+    changed = inside.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash")), "left").select(*[F.col(f"d.{c}") for c in keep], "s.spans").mapInArrow(lean(_mask), schema)
     return changed.unionByName(key.where(~can).select(*keep))
 
 
