@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, mix, prefix_sums, slices, span_hash, written
+from .common import column, lean, mix, prefix_sums, slices, span_hash, written
 from .minhash_dedup import SLOTS, signatures
 
 LEVELS = 4
@@ -131,7 +131,7 @@ def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
 
     df = documents.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", fingerprint string"
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 # ------------------------------------------------------------ a text against its edit and the next one
@@ -207,18 +207,15 @@ def against_next(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.repartitionByRange(parts, "doc_id", "th").sortWithinPartitions("doc_id", "th", "text")
-    out = written(ranged.mapInArrow(_walk, _OUT))
-    # one row per range: an ordering of them all is an ordering of ranges, not of documents
-    order = Window.orderBy("doc_id", "th", "kind_order")
-    edges = out.where("kind > 0").select("kind", "doc_id", "th", "text", F.when(F.col("kind") == 2, 0).otherwise(1).alias("kind_order"))
-    ranked = edges.withColumn("at", F.row_number().over(order))
-    heads = ranked.where("kind = 2").select("at", F.col("text").alias("following"))
-    tails = ranked.where("kind = 1").select("doc_id", "th", "text", "at")
-    count = F.lit(1)
-    nxt = heads.select((F.col("at") - count).alias("at"), "following")
-    first = heads.where("at = 1").select(F.lit(True).alias("wraps"), F.col("following").alias("start"))
-    joined = tails.join(nxt, "at", "left").withColumn("wraps", F.col("following").isNull())
-    paired = joined.join(first, "wraps", "left").select("doc_id", "th", "text", F.coalesce("following", "start").alias("following"))
-    rest = paired.mapInArrow(_pair, _OUT)
+    out = written(ranged.mapInArrow(lean(_walk), _OUT))
+    # one row per range and end: an ordering of them all is an ordering of ranges, not of documents; only ids are ordered
+    edges = out.where("kind > 0").select(F.monotonically_increasing_id().alias("row"), "kind", "doc_id", "th", "text")
+    order = Window.orderBy("doc_id", "th", F.when(F.col("kind") == 2, 0).otherwise(1))
+    places = edges.select("row", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
+    ranked = edges.join(places, "row")
+    before = F.when(F.col("at") == 1, F.col("n")).otherwise(F.col("at") - 1)  # the first document follows the last
+    heads = ranked.where("kind = 2").select(before.alias("at"), F.col("text").alias("following"))
+    paired = ranked.where("kind = 1").select("doc_id", "th", "text", "at").join(heads, "at").select("doc_id", "th", "text", "following")
+    rest = paired.mapInArrow(lean(_pair), _OUT)
     all_ = out.where("kind = 0").unionByName(rest)
     return all_.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("efp")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, column, mix, owner, powers, slices, text_buffer, word_bounds, word_hashes
+from .common import SPACE_WORDS, column, lean, mix, owner, powers, slices, text_buffer, word_bounds, word_hashes
 
 BUCKETS = 1 << 15
 BINS = 24
@@ -186,15 +186,15 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = 10_000, hold_out: bool = True) -> Model:
-    """Fits on at most max_rows labelled documents, never on held-out ones (crc32 of the id, mod 5, is 0)."""
+    """Fits on at most max_rows labelled documents, never on held-out ones (crc32 of the id, mod 5, is 0). Of several labels of one document the lower counts."""
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     if hold_out:
         sample = sample.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows).dropDuplicates(["doc_id"])
+    sample = sample.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample has at most max_rows rows of two numbers
     joined = texts.join(F.broadcast(sample), "doc_id").select("text", "quality")
-    got = joined.mapInArrow(_features_of, "quality int, stats binary, buckets binary, weights binary").limit(2 * max_rows).toArrow()
+    got = joined.mapInArrow(lean(_features_of), "quality int, stats binary, buckets binary, weights binary").limit(2 * max_rows).toArrow()
     stats = [np.frombuffer(x, np.float64) for x in got["stats"].to_pylist()]
     rows = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(w, np.float16).astype(np.float64)) for a, w in zip(got["buckets"].to_pylist(), got["weights"].to_pylist())]
     y = np.array(got["quality"].to_pylist(), float)
@@ -222,7 +222,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     cols = list(dict.fromkeys([*keep, "text"]))
     df = documents.select(*[F.col(c) for c in cols])
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", score double"
-    return df.mapInArrow(scorer(model, list(keep), []), schema)
+    return df.mapInArrow(lean(scorer(model, list(keep), [])), schema)
 
 
 def classify(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
