@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import json
+import os
 import random
 import re
+import shutil
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -150,9 +152,12 @@ def test_components(spark):
 
 
 # ---------------------------------------------------------------- 2
-@pytest.mark.parametrize("hot", [5000, 1])
-def test_suffix_dedup(spark, corpus, monkeypatch, hot):
+@pytest.mark.parametrize("hot, budget", [(5000, None), (5000, 1000), (1, None)])
+def test_suffix_dedup(spark, corpus, monkeypatch, hot, budget):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "QUEUE_BYTES", budget or suffix_dedup.QUEUE_BYTES)
+    queues = suffix_dedup._queue_folder(frame(spark, [])).removeprefix("file://")
+    shutil.rmtree(queues, ignore_errors=True)
     raw = [(d, (t or "").encode()) for d, t in corpus]
     seen = collections.Counter(x[k : k + 400] for _, x in raw for k in range(len(x) - 399))
     want = collections.Counter()
@@ -165,6 +170,8 @@ def test_suffix_dedup(spark, corpus, monkeypatch, hot):
         want[(d, len(x), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(kept).hexdigest())] += 1
     got = by_rows(suffix_dedup.digest(frame(spark, corpus)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == want
+    if budget:  # the queues went to the shared folder, and are gone from it
+        assert os.path.isdir(queues) and not os.listdir(queues)
 
 
 def test_suffix_array(tmp_path):
@@ -174,7 +181,7 @@ def test_suffix_array(tmp_path):
         s = [r.randint(1, k) for _ in range(n)]
         if t % 2:
             s = (s[: max(1, n // 4)] * 5)[:n]
-        sa, lcp = suffix_array(np.array(s), 10**6, str(tmp_path) if t % 3 else None, 64)
+        sa, lcp = suffix_array(np.array(s), 10**6, f"file://{tmp_path}" if t % 3 else None, 64)
         want = sorted(range(n), key=lambda i: s[i:])
         assert sa.tolist() == want
         for x, (a, b) in enumerate(zip(want, want[1:])):
@@ -240,30 +247,91 @@ def test_scan_over_chunks_is_the_whole(chunk):
         assert e.model.scan(sps.MARK + w, chunk) == e.model.sp.encode(w)
 
 
+@pytest.mark.parametrize("giant", [40, 333])
+def test_giant_texts_by_chunk_rows(spark, corpus, monkeypatch, giant):
+    import sentencepiece
+
+    monkeypatch.setattr(sps, "BLOCK", 3)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sps.DEFAULT_MODEL)
+    r = random.Random(9)
+    odd = [" " * 500, "a  b   c " * 60, "x▁y " * 200, "ab" * 400, "é日本🦄 " * 90, " lead " + "".join(r.choice("abcde  \n()🦄") for _ in range(2500)), "the" * 300 + " end ", "w" * (giant - 1), "w " * (giant // 2), "word " * 400]
+    rows = [(d, t if t is None else t[:6000]) for d, t in corpus] + [(900 + k, t) for k, t in enumerate(odd)]
+    rows += rows[-3:]
+    docs = frame(spark, rows)
+    ids = [sp.encode(t or "") for _, t in rows]
+    got = collections.Counter((x.doc_id, tuple(x.ids)) for x in sps.encode(docs, giant=giant).collect())
+    assert got == collections.Counter((d, tuple(x)) for (d, _), x in zip(rows, ids))
+    want = collections.Counter((d, len(x), hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest(), True) for (d, _), x in zip(rows, ids))
+    assert by_rows(sps.digest(docs, giant=giant), "doc_id", "n_tokens", "ids_sha256", "round_trip") == want
+
+
 # ---------------------------------------------------------------- 5
 def test_license_scan(spark):
-    mit = " ".join(license_scan.TEMPLATES["mit"].split())
+    mit, bsd2, bsd3 = (" ".join(license_scan.TEMPLATES[k][0].split()) for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause"))
     changed = mit.replace("free of charge", "at no cost").replace("modify", "alter")
-    rows = [(1, f"héllo intro {mit} outro"), (2, changed), (3, None), (4, ""), (5, "all rights RESERVED!"), (6, "no license here at all"), (7, "word " * 3000 + license_scan.TEMPLATES["gpl-3.0-reference"]), (7, "All rights reserved. x " * 2)]
+    rows = [(1, f"héllo intro {mit} outro"), (2, changed), (3, None), (4, ""), (5, "all rights RESERVED!"), (6, "no license here at all"), (7, "word " * 3000 + "released under the GNU General Public License, version 3."), (7, "All rights reserved. x " * 2)]
+    rows += [(8, bsd2), (9, bsd3), (10, mit[: len(mit) // 2]), (11, "Released under the BSD License."), (12, "This is licensed under CC BY-SA 4.0"), (13, mit + " " + bsd3 + " " + mit), (13, mit + " " + bsd3 + " " + mit)]
     got = {(x.doc_id, k): x.matches for k, x in enumerate(license_scan.scan(frame(spark, rows)).orderBy("doc_id").collect())}
     found = {k: [(m.license, round(m.coverage, 2)) for m in v] for k, v in got.items()}
-    assert found[1, 0] == [("mit", 1.0)] and rows[0][1][got[1, 0][0].start : got[1, 0][0].end] == mit.rstrip(".")
-    assert found[2, 1][0][0] == "mit" and 0.85 < found[2, 1][0][1] < 1
+    best = {k: max(v, key=lambda m: m[1], default=None) for k, v in found.items()}
+    assert ("MIT", 1.0) in found[1, 0] and rows[0][1][got[1, 0][0].start : got[1, 0][0].end] == mit.rstrip(".")
+    assert best[2, 1][0] == "MIT" and 0.9 < best[2, 1][1] < 1
     assert found[3, 2] == found[4, 3] == found[6, 5] == [] and found[5, 4] == [("all-rights-reserved", 1.0)]
-    assert sorted([found[7, 6], found[7, 7]]) == [[("all-rights-reserved", 1.0)] * 2, [("gpl-3.0-reference", 1.0)]]
+    assert sorted([found[7, 6], found[7, 7]]) == [[("GPL-3.0-reference", 1.0)], [("all-rights-reserved", 1.0)] * 2]
+    assert best[8, 8] == ("BSD-2-Clause", 1.0) and dict(found[8, 8]).get("BSD-3-Clause", 0) < 1 and best[9, 9] == ("BSD-3-Clause", 1.0)
+    assert ("MIT", 1.0) not in found[10, 10] and found[11, 11] == [] and found[12, 12] == [("CC-BY-SA-4.0-reference", 1.0)]
+    assert [x for x in found[13, 13] if x[1] == 1 and x[0] in ("MIT", "BSD-3-Clause")] == [("MIT", 1.0), ("BSD-3-Clause", 1.0), ("MIT", 1.0)] and found[13, 13] == found[13, 14]
+
+
+def _aligned(t, w):
+    """(matched, start, end) of the best local alignment without a band: every cell, ties as documented (diagonal, then template's gap, then text's; the first best cell)."""
+    cell = {}
+    best = (0, 0, 0, 0)
+    for i in range(len(t)):
+        for j in range(len(w)):
+            d, up, left = (cell.get(x, (0, 0, 0)) for x in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+            same = t[i] == w[j]
+            options = [(d[0] + (2 if same else -1), d[1] + same, d[2] if d[0] else j), (up[0] - 1, up[1], up[2]), (left[0] - 1, left[1], left[2])]
+            top = max(o[0] for o in options)
+            if top > 0:
+                cell[i, j] = next(o for o in options if o[0] == top)
+                if top > best[0]:
+                    best = (*cell[i, j], j + 1)
+    return best[1:]
 
 
 def test_banded_alignment_is_the_full_one():
     r = random.Random(6)
-    for _ in range(40):
-        t = [r.choice("abc") for _ in range(8)]
-        w = [r.choice("abc") for _ in range(12)]
-        h = [[0] * 13 for _ in range(9)]
-        for i in range(1, 9):
-            for j in range(1, 13):
-                h[i][j] = max(0, h[i - 1][j - 1] + (2 if t[i - 1] == w[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
-        m, a, z = license_scan.align(t, w, 0, 20)
-        assert (m > 0) == (max(map(max, h)) > 0) and 0 <= a <= z <= 12 and m <= min(8, z - a)
+    for _ in range(300):
+        t = [r.choice("abcd") for _ in range(r.randint(1, 12))]
+        w = [r.choice("abcd") for _ in range(r.randint(0, 16))]
+        if r.random() < 0.5:
+            w = w[:3] + t[: r.randint(0, 12)] + w[3:]
+        assert license_scan.align(t, w, 0, 40) == _aligned(t, w)
+
+
+def test_scan_is_the_best_alignment_of_every_template():
+    r = random.Random(16)
+    vocab = [f"v{k}" for k in range(60)]
+    texts = {f"t{k}": [" ".join(r.choice(vocab) for _ in range(r.randint(20, 60)))] for k in range(6)}
+    index = license_scan.Index(texts)
+    for _ in range(60):
+        k = r.randrange(6)
+        own = [x.decode() for x in license_scan.words_of(texts[f"t{k}"][0])]
+        for _ in range(r.randint(0, 3)):  # substitutions, insertions and losses within the band
+            at = r.randrange(len(own))
+            own[at : at + r.choice([0, 1, 2])] = [r.choice(vocab) for _ in range(r.choice([0, 1, 2]))]
+        words = [x.encode() for x in [r.choice(vocab) for _ in range(r.randint(0, 30))] + own + [r.choice(vocab) for _ in range(r.randint(0, 30))]]
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        s, e, _ = license_scan.word_bounds(data, np.array([0, len(data)]), license_scan.ALNUM_WORDS)
+        hits = index.hits(license_scan.grams(license_scan.word_hashes(data, s, e, lower=True), len(words)))
+        got = license_scan.scan_words(words, hits, index)
+        want = []
+        for t in range(6):
+            m, a, z = _aligned(index.words[t], words)
+            if m >= license_scan.MIN_COVERAGE * len(index.words[t]):
+                want.append((index.name[t], m / len(index.words[t]), a, z))
+        assert got == sorted(want, key=lambda x: (x[2], x[0]))
 
 
 # ---------------------------------------------------------------- 6
@@ -441,6 +509,46 @@ def test_long_values_are_whole(spark):
     pii.candidates("ab:" * 100_000 + "a" * 200_000, [])  # linear
 
 
+def _added_by_brute_force(rows):
+    """Added spans of the texts, the graph scored with dictionaries."""
+    found = [(k, pii.base_spans(t or ""), pii.candidates(t or "", pii.base_spans(t or ""))) for k, (_, t) in enumerate(rows)]
+    seed, values = {}, collections.defaultdict(set)
+    for _, _, cands in found:
+        for _, _, p, v, x in cands:
+            seed[p, v] = max(seed.get((p, v), 0), x)
+            values[p].add(v)
+    score = {p: sum(seed[p, v] for v in own) / len(own) for p, own in values.items()}
+    good = lambda: {p: s for p, s in score.items() if s >= pii.MIN_SCORE and len(values[p]) >= pii.MIN_SUPPORT}
+    for _ in range(pii.ROUNDS - 1):
+        now = good()
+        best = lambda v, kind: max([0.0, *(s for p, s in now.items() if p[0] == kind and v in values[p])])
+        score = {p: sum(best(v, "L") if p[0] == "P" else max(seed[p, v], best(v, "P")) for v in own) / len(own) for p, own in values.items()}
+    now, out = good(), []
+    for k, base, cands in found:
+        kept = []
+        for s, e in sorted({(s, e) for s, e, p, _, _ in cands if p in now and not any(a < e and s < z for a, _, z in base)}):
+            if not kept or kept[-1][1] <= s:
+                kept.append((s, e))
+        out.append(kept)
+    return out
+
+
+def test_added_spans_are_those_of_the_graph(spark):
+    r = random.Random(31)
+    key = lambda head="": head + "".join(r.choice("ABCDEFGHJK0123456789") for _ in range(20))
+    rows = [(k, f"{r.choice(['api_key: ', 'password=', 'note: '])}{r.choice([key(), 'hunter2x', 'ab.c@de.fg'])} x {key('WXYZ')}") for k in range(60)]
+    keys = [key("QRST") for _ in range(8)]
+    rows += [(100 + k, f"é token=\"{v}\" and {v}") for k, v in enumerate(keys)] + [(200 + k, f"seen {key('QRST')} by itself") for k in range(3)]
+    rows += [(300 + k, f"build {key('ABCD')} passed") for k in range(9)]  # a shape that no trigger introduces
+    rows += [(400, None), (401, ""), (402, "long " * 40_000 + f'token="{keys[0]}"'), (100, rows[60][1]), (100, rows[60][1]), (None, rows[61][1]), (403, "token=secretvalue password=secretvalue")]
+    docs = frame(spark, rows)
+    got = collections.Counter((x.doc_id, tuple(s for s in x.spans.split(",") if s.startswith("secret"))) for x in pii.detect(docs).collect())
+    want = _added_by_brute_force(rows)
+    assert got == collections.Counter((d, tuple(f"secret:{s}:{e}" for s, e in own)) for (d, _), own in zip(rows, want))
+    by_id = {d: own for (d, _), own in zip(rows, want)}
+    assert by_id[200] and not any(by_id[300 + k] for k in range(9)) and len(by_id[402]) == 1
+
+
 def test_prefilter_lets_every_candidate_through(spark):
     r = random.Random(13)
     found = 0
