@@ -2,8 +2,8 @@
 
 The score of place i compares the window actions before i with those from i on; it is
 known once the action after the window's end has arrived. A cliff fires where the score
-reaches the running quantile of the scores so far. One implementation serves batches
-(a column over arrays, by Arrow) and streams (state per trajectory).
+reaches the running quantile of the scores so far. Batches are column expressions and a
+window; streams keep the last actions and the counts of distinct scores of a trajectory.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,12 +25,13 @@ def window_jsd(before: list[str], after: list[str]) -> float:
 
 
 class CliffDetector:
-    """Takes atoms one by one; state is the last 2 * window + 1 atoms and the scores so far."""
+    """Takes atoms one by one; state is the last 2 * window + 1 atoms and how often each score occurred (two windows of a few actions have few distinct scores)."""
 
     def __init__(self, window: int = 5, quantile: float = 0.9, min_scores: int = 5):
         self.window, self.quantile, self.min_scores = window, quantile, min_scores
         self.tail: list[str] = []
-        self.scores: list[float] = []
+        self.scores: dict[float, int] = {}
+        self.held = 0
         self.seen = 0
 
     def append(self, atom: str) -> tuple[int, float, float] | None:
@@ -43,18 +43,31 @@ class CliffDetector:
             self.tail.pop(0)
         if self.seen < 2 * w + 1:
             return None
-        score = window_jsd(self.tail[:w], self.tail[w : 2 * w])
-        self.scores.append(score)
-        if len(self.scores) < self.min_scores:
+        score = round(window_jsd(self.tail[:w], self.tail[w : 2 * w]), 12)
+        self.scores[score] = self.scores.get(score, 0) + 1
+        self.held += 1
+        if self.held < self.min_scores:
             return None
-        limit = float(np.quantile(self.scores, self.quantile))
-        return (self.seen - w - 1, score, limit) if score >= limit else None
+        limit = self._limit()
+        return (self.seen - w - 1, score, limit) if score >= limit - 1e-12 else None
+
+    def _limit(self) -> float:
+        """The running quantile, interpolated between the two ranks around it."""
+        at = (self.held - 1) * self.quantile
+        lo, hi = math.floor(at), math.ceil(at)
+        upto, found = 0, []
+        for value in sorted(self.scores):
+            upto += self.scores[value]
+            while len(found) < 2 and (lo, hi)[len(found)] < upto:
+                found.append(value)
+        return found[0] + (found[1] - found[0]) * (at - lo)
 
     def dump(self) -> dict:
-        return {"tail": self.tail, "scores": self.scores, "seen": self.seen}
+        return {"tail": self.tail, "scores": sorted(self.scores.items()), "seen": self.seen}
 
     def load(self, d: dict) -> CliffDetector:
-        self.tail, self.scores, self.seen = list(d["tail"]), list(d["scores"]), int(d["seen"])
+        self.tail, self.scores, self.seen = list(d["tail"]), {float(x): int(n) for x, n in d["scores"]}, int(d["seen"])
+        self.held = sum(self.scores.values())
         return self
 
 
@@ -63,14 +76,32 @@ def detect(atoms: list[str], window: int = 5, quantile: float = 0.9, min_scores:
     return [c for a in atoms if (c := d.append(a)) is not None]
 
 
-def detect_cliffs(traces: DataFrame, window: int = 5, quantile: float = 0.9, min_scores: int = 5) -> DataFrame:
-    """(trace_id, index, jsd, threshold), one row per cliff."""
+def scores(traces: DataFrame, window: int = 5) -> DataFrame:
+    """(trace_id, index, jsd): the score of every place that has a whole window before it and one and a further action after it."""
+    a, n, w = F.col("atoms"), F.size("atoms"), window
+    places = F.when(n > 2 * w, F.sequence(F.lit(w), F.greatest(n - w - 1, F.lit(w)))).otherwise(F.array().cast("array<int>"))
+
+    def part(x: Column, y: Column) -> Column:
+        return F.when(x > 0, x / w * F.log2(2 * x / (x + y))).otherwise(0.0)
+
+    def score(i: Column) -> Column:
+        before, after = F.slice(a, i - w + 1, F.lit(w)), F.slice(a, i + 1, F.lit(w))
+
+        def term(name: Column) -> Column:
+            x, y = (F.size(F.filter(side, lambda z: z == name)) for side in (before, after))
+            return part(x, y) + part(y, x)
 
-    @F.pandas_udf("array<struct<index:int,jsd:double,threshold:double>>")
-    def run(atoms: pd.Series) -> pd.Series:
-        return atoms.map(lambda a: [{"index": i, "jsd": s, "threshold": t} for i, s, t in detect(list(a), window, quantile, min_scores)])
+        # both halves are sums of a few terms: rounding makes equal windows equal whatever the order of the terms
+        return F.round(F.aggregate(F.array_distinct(F.concat(before, after)), F.lit(0.0), lambda t, z: t + term(z)) / 2, 12)
 
-    return traces.select("trace_id", F.explode(run("atoms")).alias("c")).select("trace_id", "c.*")
+    return traces.select("trace_id", F.explode(F.transform(places, lambda i: F.struct(i.alias("index"), score(i).alias("jsd")))).alias("c")).select("trace_id", "c.index", "c.jsd")
+
+
+def detect_cliffs(traces: DataFrame, window: int = 5, quantile: float = 0.9, min_scores: int = 5) -> DataFrame:
+    """(trace_id, index, jsd, threshold), one row per cliff. The running quantile is a window function; two windows of a few actions have few distinct scores, which is what its state holds."""
+    so_far = Window.partitionBy("trace_id").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = scores(traces, window).withColumns({"threshold": F.percentile("jsd", F.lit(quantile)).over(so_far), "k": F.row_number().over(Window.partitionBy("trace_id").orderBy("index"))})
+    return s.where((F.col("k") >= min_scores) & (F.col("jsd") >= F.col("threshold") - 1e-12)).select("trace_id", "index", "jsd", "threshold")
 
 
 def summarize_cliffs(traces: DataFrame, window: int = 5, quantile: float = 0.9, tolerance: int = 1, prompt: str = "prompt_ai") -> DataFrame:

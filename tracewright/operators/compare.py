@@ -15,6 +15,7 @@ from .divergence import grouping
 from .scoring import truthy
 
 CANONICAL = tuple("create_file delete_file edit error other read_file run_test search_repo think".split())
+PAIR_ALPHABET = tuple("edit read_file run_test search_repo create_file delete_file think error other".split())
 EPS = 1e-9
 
 
@@ -116,30 +117,60 @@ def nearest_group(traces: DataFrame, by: str = "agent") -> DataFrame:
     return rest.join(best, ["trace_id", "g"], "left").where(other.isNotNull()).select("trace_id", "g", F.coalesce("m.other", other).alias("nearest"), F.coalesce("m.d", F.lit(1.0)).alias("jsd_bits"))
 
 
+def _lcs(p: list, q: list) -> int:
+    """Length of the longest common subsequence; one row of the table is the bits of one number."""
+    where: dict = {}
+    for k, x in enumerate(p):
+        where[x] = where.get(x, 0) | 1 << k
+    full = (1 << len(p)) - 1
+    v = full
+    for x in q:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(p) - v.bit_count()
+
+
 def lcs_ratio(a: Column, b: Column) -> Column:
-    """Longest common subsequence over the longer length."""
+    """Twice the longest common subsequence over the sum of the lengths; 0 where either is empty."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p, q) -> float:
-            if not len(p) or not len(q):
-                return 0.0
-            prev = [0] * (len(q) + 1)
-            for s in p:
-                cur = [0]
-                for j, t in enumerate(q, 1):
-                    cur.append(prev[j - 1] + 1 if s == t else max(prev[j], cur[-1]))
-                prev = cur
-            return prev[-1] / max(len(p), len(q))
-
-        return pd.Series([one(p, q) for p, q in zip(x, y)])
+        return pd.Series([2 * _lcs(list(p), list(q)) / (len(p) + len(q)) if len(p) and len(q) else 0.0 for p, q in zip(x, y)], dtype=float)
 
     return run(a, b)
 
 
+def _smoothed(atoms: Column, alphabet: Sequence[str] = PAIR_ALPHABET) -> Column:
+    counts = F.transform(F.array(*map(F.lit, alphabet)), lambda a: F.size(F.filter(atoms, lambda x: x == a)) + F.lit(EPS))
+    return F.transform(counts, lambda c: c / F.aggregate(counts, F.lit(0.0), lambda t, x: t + x))
+
+
 def matched_pairs(traces: DataFrame, a: str, b: str, key: str = "instance_id", outcome_field: str = "resolved") -> DataFrame:
-    """Pairs of two agents' trajectories of one instance with one outcome (the first of each agent): lengths and their common order."""
-    rows = traces.select("trace_id", "agent", "atoms", "_ord", F.col("metadata")[key].alias("k"), truthy(F.col("metadata")[outcome_field]).alias("won")).where("k is not null")
-    side = lambda s, p: rows.where(F.col("agent") == s).groupBy("k", "won").agg(F.min_by(F.struct("trace_id", "atoms"), F.struct("_ord", "trace_id")).alias(p))
-    both = side(a, "x").join(side(b, "y"), ["k", "won"])
-    return both.select("k", "won", F.col("x.trace_id").alias("trace_a"), F.col("y.trace_id").alias("trace_b"), lcs_ratio(F.col("x.atoms"), F.col("y.atoms")).alias("lcs_ratio"))
+    """Two agents' trajectories of each instance that both have with an outcome: lengths, outcomes, divergence in nats of their smoothed mixes, likeness of their order, stratum.
+
+    An agent's trajectory of an instance is its last one. sodp: the same outcome and a
+    divergence of at least the third quartile; dosp: different outcomes and one of at most
+    the first.
+    """
+    won = F.col("metadata")[outcome_field]
+    rows = traces.select("trace_id", "agent", "atoms", "_ord", F.col("metadata")[key].alias("k"), F.when(won.isNotNull(), truthy(won)).alias("won")).where("k is not null")
+    side = lambda s, p: rows.where(F.col("agent") == s).groupBy("k").agg(F.max_by(F.struct("trace_id", "atoms", "won"), F.struct("_ord", "trace_id")).alias(p))
+    both = side(a, "x").join(side(b, "y"), "k").where("x.won is not null and y.won is not null")
+    zipped = F.zip_with(_smoothed(F.col("x.atoms")), _smoothed(F.col("y.atoms")), jsd_term)
+    pairs = both.select(
+        "k", F.col("x.trace_id").alias("trace_a"), F.col("y.trace_id").alias("trace_b"), F.col("x.won").alias("resolved_a"), F.col("y.won").alias("resolved_b"), (F.col("x.won") == F.col("y.won")).alias("same_outcome"),
+        F.aggregate(zipped, F.lit(0.0), lambda t, x: t + x).alias("jsd"), lcs_ratio(F.col("x.atoms"), F.col("y.atoms")).alias("lcs_ratio"), F.size("x.atoms").alias("len_a"), F.size("y.atoms").alias("len_b"),
+    )
+    cuts = pairs.agg(F.percentile("jsd", F.lit(0.25)).alias("q25"), F.percentile("jsd", F.lit(0.75)).alias("q75"))  # one row
+    stratum = F.when(F.col("same_outcome") & (F.col("jsd") >= F.col("q75")), "sodp").when(~F.col("same_outcome") & (F.col("jsd") <= F.col("q25")), "dosp").otherwise("")
+    one = F.lit(1)
+    return pairs.withColumn("one", one).join(F.broadcast(cuts.withColumn("one", one)), "one").withColumn("stratum", stratum).drop("q25", "q75", "one")
+
+
+def matched_summary(pairs: DataFrame) -> DataFrame:
+    """One row of matched_pairs' counts: pairs, outcomes of either side, mean and quartiles of the divergence, strata."""
+    n = lambda c: F.sum(F.expr(c).cast("long"))
+    return pairs.agg(
+        F.count("*").alias("n_matched"), n("resolved_a and resolved_b").alias("n_both_pass"), n("not resolved_a and not resolved_b").alias("n_both_fail"), n("resolved_a and not resolved_b").alias("n_a_only"), n("resolved_b and not resolved_a").alias("n_b_only"),
+        F.avg("jsd").alias("mean_jsd"), F.percentile("jsd", F.lit(0.25)).alias("q25_jsd"), F.percentile("jsd", F.lit(0.75)).alias("q75_jsd"), n("stratum = 'sodp'").alias("n_sodp"), n("stratum = 'dosp'").alias("n_dosp"),
+    )

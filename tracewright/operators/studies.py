@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions.distributions import jsd_term
-from .bpe import SEPARATOR, Vocabulary, encode, fit_bpe
+from .bpe import SEPARATOR, Vocabulary, encode, fit_bpe, with_distribution
 from .compare import decile_counts
 from .divergence import grouping, jsd_matrix
 from .lineage import atom_entropy
@@ -81,26 +81,35 @@ def outcome_deciles(metrics: DataFrame, column: str, label: str = "outcome", buc
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg(label).alias("rate"))
 
 
-def match_agents(traces: DataFrame, key: str = "instance_id", outcome_field: str = "resolved") -> DataFrame:
-    """(k, agent, jsd_bits): for each task the agent whose mix is closest to the mix of the task's successes."""
-    rows = traces.select("agent", F.col("metadata")[key].alias("k"), truthy(F.col("metadata")[outcome_field]).alias("won"), F.explode("atoms").alias("atom"))
-
-    def mix(df: DataFrame, *by: str) -> DataFrame:
-        n = df.groupBy(*by, "atom").agg(F.count("*").alias("n"))
-        return n.join(n.groupBy(*by).agg(F.sum("n").alias("t")), list(by)).select(*by, "atom", (F.col("n") / F.col("t")).alias("p"))
-
-    task = mix(rows.where("won and k is not null"), "k")
-    agent = mix(rows, "agent").withColumnRenamed("p", "q")
-    d = task.join(agent, "atom").groupBy("k", "agent").agg(F.greatest(F.lit(0.0), 1 + F.sum(jsd_term(F.col("p"), F.col("q")) / math.log(2) - (F.col("p") + F.col("q")) / 2)).alias("d"))
-    return d.groupBy("k").agg(F.min(F.struct("d", "agent")).alias("m")).select("k", "m.agent", F.col("m.d").alias("jsd_bits"))
-
-
-def task_controlled_jsd(traces: DataFrame, a: str, b: str, key: str = "instance_id") -> DataFrame:
-    """(k, jsd_bits): divergence between two agents' pooled mixes within each task that both did."""
-    rows = traces.where(F.col("agent").isin(a, b)).select("agent", F.col("metadata")[key].alias("k"), F.explode("atoms").alias("atom"))
-    n = rows.groupBy("k", "atom").agg(F.sum((F.col("agent") == a).cast("long")).alias("na"), F.sum((F.col("agent") == b).cast("long")).alias("nb"))
-    t = n.groupBy("k").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb")).where("ta > 0 and tb > 0")
-    return n.join(t, "k").groupBy("k").agg(F.greatest(F.lit(0.0), F.sum(jsd_term(F.col("na") / F.col("ta"), F.col("nb") / F.col("tb"))) / math.log(2)).alias("jsd_bits"))
+def match_agents(fps: DataFrame, key: str = "instance_id", outcome_field: str = "resolved") -> DataFrame:
+    """(k, agent, jsd_bits): for each task the agent whose mean distribution over its other tasks is closest to that of the task's successes; ties by name.
+
+    An agent's mean without a task is its total less the task's part, so every trajectory
+    is read once.
+    """
+    rows = with_distribution(fps).select("agent", F.col("metadata")[key].alias("k"), truthy(F.col("metadata")[outcome_field]).alias("won"), "distribution")
+    long = rows.select("agent", "k", "won", F.posexplode("distribution").alias("t", "p"))
+    task = long.where("won and k is not null").groupBy("k", "t").agg(F.avg("p").alias("p"))
+    part = long.groupBy("agent", "k", "t").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
+    whole = part.groupBy("agent", "t").agg(F.sum("s").alias("all"), F.sum("n").alias("m"))
+    own = part.select("agent", F.col("k").alias("k"), "t", "s", "n")
+    met = task.join(whole, "t").join(own, ["agent", "k", "t"], "left")
+    rest = F.col("m") - F.coalesce("n", F.lit(0))
+    q = (F.col("all") - F.coalesce("s", F.lit(0.0))) / rest
+    # what is left of a subtraction where nothing is may be a hair off 0
+    q = F.when(F.abs(q) < 1e-12, 0.0).otherwise(q)
+    d = met.where(rest > 0).groupBy("k", "agent").agg(F.greatest(F.lit(0.0), F.sum(jsd_term(F.col("p"), q)) / math.log(2)).alias("d"))
+    return d.groupBy("k").agg(F.min(F.struct(F.round("d", 9).alias("r"), "agent", "d")).alias("m")).select("k", "m.agent", F.col("m.d").alias("jsd_bits"))
+
+
+def task_controlled_jsd(fps: DataFrame, a: str, b: str, key: str = "instance_id") -> DataFrame:
+    """(k, n_pairs, jsd_bits): mean divergence over all pairs of two agents' trajectories of each task that both did. Equal distributions of a task are paired once, with their number."""
+    rows = with_distribution(fps).where(F.col("agent").isin(a, b)).select("agent", F.col("metadata")[key].alias("k"), "distribution").where("k is not null")
+    side = lambda s, p, n: rows.where(F.col("agent") == s).groupBy("k", F.col("distribution").alias(p)).agg(F.count("*").alias(n))
+    pairs = side(a, "p", "na").join(side(b, "q", "nb"), "k")
+    d = F.aggregate(F.zip_with("p", "q", jsd_term), F.lit(0.0), lambda t, x: t + x) / math.log(2)
+    w = F.col("na") * F.col("nb")
+    return pairs.withColumn("d", F.greatest(F.lit(0.0), d)).groupBy("k").agg(F.sum(w).alias("n_pairs"), (F.sum(F.col("d") * w) / F.sum(w)).alias("jsd_bits"))
 
 
 def primitive_procedures(vocab: Vocabulary) -> list[str]:

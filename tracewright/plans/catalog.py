@@ -12,6 +12,7 @@ from ..functions import sequences as S
 from ..operators import bpe, cliffs, compare, curate, divergence, floor, lineage, patterns, scoring, stats, studies, summary
 from ..sources import bridge
 from ..sources.bridge import EVENT_SQL, SESSION_SQL, TRACE_SQL
+from . import adapter_cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "jsd_matrix_by_agent"
@@ -130,7 +131,7 @@ def ask_(spark, sf):
     return patterns.grep(bridge.traces(spark, sf), patterns.ask("Starts by reading")).select("trace_id")
 
 
-@query("first_rule_firing")
+@query("first_rule_firing", f"WITH {TRACE_SQL}, f AS (SELECT trace_id, n, min(i) AS i FROM (SELECT trace_id, n, atoms, unnest(range(3, n + 1)) AS i FROM sp) WHERE atoms[i] = 'edit' AND atoms[i - 1] = 'edit' AND atoms[i - 2] = 'edit' GROUP BY trace_id, n) SELECT trace_id, CAST(i - 1 AS BIGINT) AS step, CAST(n - i AS BIGINT) AS atoms_saved FROM f")
 def first_firing_(spark, sf):
     """The first step at which a forbidden pattern has occurred, and the atoms after it."""
     from ..streaming.monitors import first_firing
@@ -338,12 +339,24 @@ def decode_(spark, sf):
     return bridge.traces(spark, sf).select("trace_id", F.array_join(scoring.allowed_next(SPEC, F.col("atoms")), ",").alias("allowed"))
 
 
-@query("step_rewards")
+@query("step_rewards", f"""WITH {TRACE_SQL}, x AS (SELECT trace_id, atoms, n, unnest(range(1, n + 1)) AS i FROM sp),
+y AS (SELECT trace_id, i, atoms[i] AS a, atoms[i] = 'edit' AND i > 2 AND atoms[i - 1] = 'edit' AND atoms[i - 2] = 'edit' AS s3, atoms[i] = 'error' AND i > 2 AND atoms[i - 1] = 'error' AND atoms[i - 2] = 'error' AS e3 FROM x),
+f AS (SELECT trace_id, coalesce(min(i) FILTER (WHERE a = 'edit'), 1000000000) AS ie, coalesce(min(i) FILTER (WHERE a = 'submit'), 1000000000) AS isub, coalesce(min(i) FILTER (WHERE a IN ('search_repo', 'read_file')), 1000000000) AS il, coalesce(min(i) FILTER (WHERE a = 'run_test'), 1000000000) AS it, coalesce(min(i) FILTER (WHERE s3), 1000000000) AS ist, coalesce(min(i) FILTER (WHERE e3), 1000000000) AS ierr FROM y GROUP BY trace_id),
+g AS (SELECT trace_id, i, CASE WHEN count(*) FILTER (WHERE a = 'run_test') OVER (PARTITION BY trace_id ORDER BY i) >= 5 THEN 0.3 ELSE 0 END + CASE WHEN il <= i AND il < ie THEN 0.4 ELSE 0 END + CASE WHEN it <= i AND it < isub THEN 0.3 ELSE 0 END - CASE WHEN ist <= i THEN 0.2 ELSE 0 END - CASE WHEN ierr <= i THEN 0.1 ELSE 0 END AS raw FROM y JOIN f USING (trace_id)),
+h AS (SELECT trace_id, i, round(CAST(greatest(0, least(1, raw)) AS DOUBLE), 4) AS score FROM g)
+SELECT trace_id, CAST(i - 1 AS INTEGER) AS step, round(score - lag(score, 1, 0) OVER (PARTITION BY trace_id ORDER BY i), 6) AS reward FROM h""")
 def steps_(spark, sf):
-    return bridge.traces(spark, sf).select("trace_id", F.posexplode(scoring.step_rewards(SPEC, F.col("atoms"))).alias("step", "reward"))
+    return bridge.traces(spark, sf).select("trace_id", F.posexplode(scoring.step_rewards(SPEC, F.col("atoms"))).alias("step", "reward")).select("trace_id", "step", _r("reward"))
 
 
-@query("spec_from_winners")
+_WIN_SQL = f"""WITH {_long_sql()}, w0 AS (SELECT agent, trace_id, resolved, atoms, spine, list_position(atoms, 'edit') AS ie, list_position(atoms, 'submit') AS isub, n FROM sp),
+w1 AS (SELECT *, CASE WHEN ie > 0 THEN CAST(list_contains(atoms[ie + 1 : n], 'run_test') AS DOUBLE) END AS v, CASE WHEN isub > 0 THEN CAST(list_contains(atoms[1 : isub - 1], 'run_test') AS DOUBLE) END AS b, CASE WHEN ie > 0 THEN CAST(list_has_any(atoms[1 : ie - 1], ['search_repo', 'read_file']) AS DOUBLE) END AS x, list_max(list_transform(regexp_extract_all(spine, '(?:edit )+'), lambda q: len(q) // 5)) AS run FROM w0),
+w2 AS (SELECT resolved, coalesce(avg(v), 0) AS v, coalesce(avg(b), 0) AS b, coalesce(avg(x), 0) AS x, quantile_cont(run, 0.9) AS cap FROM w1 GROUP BY resolved), wl AS (SELECT w.v AS wv, l.v AS lv, w.b AS wb, l.b AS lb, w.x AS wx, l.x AS lx, w.cap AS cap FROM w2 w LEFT JOIN w2 l ON NOT l.resolved WHERE w.resolved),
+w3 AS (SELECT 'verification' AS name, 0.25 AS reward, wv AS w, lv AS l FROM wl UNION ALL SELECT 'validation_before_submit', 0.15, wb, lb FROM wl UNION ALL SELECT 'exploration', 0.1, wx, lx FROM wl),
+w4 AS (SELECT name, reward FROM w3 WHERE CASE WHEN l IS NULL THEN w >= 0.65 ELSE w >= 0.5 AND w - l >= 0.15 END), w5 AS (SELECT * FROM w4 UNION ALL SELECT 'verification', 0.25 WHERE NOT EXISTS (SELECT * FROM w4)) """
+
+
+@query("spec_from_winners", _WIN_SQL + "SELECT 'phase' AS part, name, CAST(reward AS DOUBLE) AS reward FROM w5 UNION ALL SELECT 'penalty', 'edit_streak:' || CAST(greatest(3, least(10, round_even(cap, 0))) AS INTEGER), 0.15 FROM wl WHERE cap IS NOT NULL")
 def winners_(spark, sf):
     t = bridge.traces(spark, sf)
     s = scoring.Spec.from_winners(t, FIXED)
@@ -351,11 +364,14 @@ def winners_(spark, sf):
     return spark.createDataFrame(rows, "part string, name string, reward double")
 
 
-@query("verify_arms")
+@query("verify_arms", f"""WITH {_long_sql()}, c AS (SELECT token_id, sum(c) FILTER (WHERE resolved) AS t, sum(c) FILTER (WHERE agent IN ('agent_0', 'agent_1')) AS b, sum(c) FILTER (WHERE agent IN ('agent_2', 'agent_3')) AS a FROM lg GROUP BY token_id), p AS (SELECT coalesce(t, 0) / sum(t) OVER () AS t, coalesce(b, 0) / sum(b) OVER () AS b, coalesce(a, 0) / sum(a) OVER () AS a FROM c),
+d AS (SELECT sum({_term('b', 't')}) / ln(2) AS jb, sum({_term('a', 't')}) / ln(2) AS ja FROM p), r AS (SELECT avg(CAST(CAST(resolved AS INTEGER) AS DOUBLE)) FILTER (WHERE agent IN ('agent_2', 'agent_3')) - avg(CAST(CAST(resolved AS INTEGER) AS DOUBLE)) FILTER (WHERE agent IN ('agent_0', 'agent_1')) AS delta FROM sp)
+SELECT jb - ja > 1e-3 AS behavior_moved, round(jb, 6) AS jsd_before, round(ja, 6) AS jsd_after, round(delta, 6) AS outcome_delta, CASE WHEN NOT jb - ja > 1e-3 THEN 'weak_enforcement' WHEN delta > 0 THEN 'lever' ELSE 'epiphenomenal' END AS verdict FROM d, r""")
 def verify_(spark, sf):
     t = bridge.traces(spark, sf)
     s = scoring.Spec.from_winners(t, FIXED)
-    return scoring.verify(t.where("agent in ('agent_0', 'agent_1')"), t.where("agent in ('agent_2', 'agent_3')"), s, FIXED)
+    d = scoring.verify(t.where("agent in ('agent_0', 'agent_1')"), t.where("agent in ('agent_2', 'agent_3')"), s, FIXED)
+    return d.select("behavior_moved", _r("jsd_before"), _r("jsd_after"), _r("outcome_delta"), "verdict")
 
 
 @query("optimize_spec")
@@ -403,9 +419,14 @@ def decile_(spark, sf):
     return compare.decile_counts(bridge.traces(spark, sf))
 
 
-@query("behavior_features")
+@query("behavior_features", f"""WITH {TRACE_SQL}, f AS (SELECT *, CASE WHEN list_position(atoms, 'edit') > 0 THEN list_position(atoms, 'edit') ELSE n + 1 END AS ie, CASE WHEN list_position(atoms, 'search_repo') > 0 THEN list_position(atoms, 'search_repo') ELSE n + 1 END AS isr, atoms[1 : greatest(1, n // 3)] AS early, list_zip(atoms[1 : n - 1], atoms[2 : n]) AS steps FROM sp)
+SELECT trace_id, agent, CAST(n AS INTEGER) AS n_steps, isr < ie AS search_first, CAST(len(list_filter(atoms[1 : ie - 1], lambda a: a = 'read_file')) AS INTEGER) AS reads_before_edit, CAST(coalesce(list_max(list_transform(regexp_extract_all(spine, '(?:edit )+'), lambda x: len(x) // 5)), 0) AS INTEGER) AS edit_run_max,
+ round(CASE WHEN n > 0 THEN len(list_filter(early, lambda a: a = 'think')) / len(early) ELSE 0 END, 6) AS think_early_frac,
+ round(CASE WHEN list_contains(atoms, 'error') THEN len(list_filter(steps, lambda s: s[1] = 'error' AND s[2] <> 'error')) / len(list_filter(atoms, lambda a: a = 'error')) ELSE 0 END, 6) AS error_recovery_rate,
+ round(CASE WHEN n >= 2 THEN len(list_filter(steps, lambda s: (s[1] = 'edit' AND s[2] = 'run_test') OR (s[1] = 'run_test' AND s[2] = 'edit'))) / (n - 1) ELSE 0 END, 6) AS interleave_score FROM f""")
 def behavior_(spark, sf):
-    return compare.behavior_features(bridge.traces(spark, sf))
+    d = compare.behavior_features(bridge.traces(spark, sf))
+    return d.select(*d.columns[:-3], *[_r(c) for c in d.columns[-3:]])
 
 
 @query("out_of_distribution", f"""WITH {TRACE_SQL}, x AS (SELECT trace_id, agent, list_filter(atoms, lambda a: a <> 'think') AS atoms FROM tr), y AS (SELECT trace_id, agent, unnest(atoms) AS atom, len(atoms) AS n FROM x WHERE len(atoms) > 0), o AS (SELECT trace_id, agent, atom, count(*) / max(n) AS p FROM y GROUP BY ALL),
@@ -423,9 +444,32 @@ def nearest_(spark, sf):
     return compare.nearest_group(bridge.traces(spark, sf)).select("trace_id", "g", "nearest", _r("jsd_bits"))
 
 
-@query("matched_pairs")
+def _matched_sql() -> str:
+    names = list(compare.PAIR_ALPHABET)
+    mix = lambda x: f"list_transform({names!r}, lambda a: (len(list_filter({x}, lambda z: z = a)) + 1e-9))"
+    share = lambda x: f"list_transform({x}, lambda c: c / list_sum({x}))"
+    return f"""WITH {TRACE_SQL}, l AS (SELECT instance_id AS k, agent, arg_max(trace_id, user_id) AS trace_id, arg_max(atoms, user_id) AS atoms, arg_max(resolved, user_id) AS won FROM tr WHERE agent IN ('{A}', '{B}') GROUP BY 1, 2),
+j AS (SELECT x.k, x.trace_id AS trace_a, y.trace_id AS trace_b, x.won AS resolved_a, y.won AS resolved_b, x.won = y.won AS same_outcome, len(x.atoms) AS len_a, len(y.atoms) AS len_b, {mix('x.atoms')} AS ca, {mix('y.atoms')} AS cb FROM l x JOIN l y ON x.k = y.k AND x.agent = '{A}' AND y.agent = '{B}'),
+d AS (SELECT * EXCLUDE (ca, cb), list_sum(list_transform(list_zip({share('ca')}, {share('cb')}), lambda z: {_term('z[1]', 'z[2]')})) AS jsd FROM j),
+c AS (SELECT quantile_cont(jsd, 0.25) AS q25, quantile_cont(jsd, 0.75) AS q75 FROM d),
+s AS (SELECT d.*, CASE WHEN same_outcome AND jsd >= q75 THEN 'sodp' WHEN NOT same_outcome AND jsd <= q25 THEN 'dosp' ELSE '' END AS stratum FROM d, c) """
+
+
+@query("matched_pairs", _matched_sql() + "SELECT k, trace_a, trace_b, resolved_a, resolved_b, same_outcome, round(jsd, 6) AS jsd, CAST(len_a AS INTEGER) AS len_a, CAST(len_b AS INTEGER) AS len_b, stratum FROM s")
 def matched_(spark, sf):
-    return compare.matched_pairs(bridge.traces(spark, sf), A, B)
+    return compare.matched_pairs(bridge.traces(spark, sf), A, B).drop("lcs_ratio").withColumn("jsd", F.round("jsd", 6))
+
+
+@query("matched_order")
+def matched_order_(spark, sf):
+    """Likeness of order within matched pairs; tested against a plain table of subsequence lengths."""
+    return compare.matched_pairs(bridge.traces(spark, sf), A, B).select("k", "trace_a", "trace_b", "lcs_ratio")
+
+
+@query("matched_summary", _matched_sql() + "SELECT count(*) AS n_matched, CAST(count(*) FILTER (WHERE resolved_a AND resolved_b) AS BIGINT) AS n_both_pass, CAST(count(*) FILTER (WHERE NOT resolved_a AND NOT resolved_b) AS BIGINT) AS n_both_fail, CAST(count(*) FILTER (WHERE resolved_a AND NOT resolved_b) AS BIGINT) AS n_a_only, CAST(count(*) FILTER (WHERE resolved_b AND NOT resolved_a) AS BIGINT) AS n_b_only, round(avg(jsd), 6) AS mean_jsd, round(quantile_cont(jsd, 0.25), 6) AS q25_jsd, round(quantile_cont(jsd, 0.75), 6) AS q75_jsd, CAST(count(*) FILTER (WHERE stratum = 'sodp') AS BIGINT) AS n_sodp, CAST(count(*) FILTER (WHERE stratum = 'dosp') AS BIGINT) AS n_dosp FROM s")
+def matched_summary_(spark, sf):
+    d = compare.matched_summary(compare.matched_pairs(bridge.traces(spark, sf), A, B))
+    return d.select(*[_r(c) if c.endswith("jsd") else c for c in d.columns])
 
 
 def _family(p, q):
@@ -494,14 +538,24 @@ def floor_(spark, sf):
     return floor.floor_points(bridge.traces(spark, sf), "agent", FIXED)
 
 
-@query("cliffs")
+_CLIFF_SQL = f"""WITH {TRACE_SQL}, pl AS (SELECT trace_id, p, atoms[p - 4 : p] AS b, atoms[p + 1 : p + 5] AS c FROM (SELECT trace_id, atoms, unnest(range(5, n - 5)) AS p FROM sp)),
+nm AS (SELECT trace_id, p, b, c, unnest({list(ATOMS)!r}) AS a FROM pl), ct AS (SELECT trace_id, p, len(list_filter(b, lambda z: z = a)) / 5 AS x, len(list_filter(c, lambda z: z = a)) / 5 AS y FROM nm),
+sc AS (SELECT trace_id, p, round(sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2, 12) AS s FROM ct GROUP BY trace_id, p),
+th AS (SELECT trace_id, p, s, quantile_cont(s, 0.9) OVER w AS t, row_number() OVER w AS k FROM sc WINDOW w AS (PARTITION BY trace_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cl AS (SELECT trace_id, p, s, t FROM th WHERE k >= 5 AND s >= t - 1e-9) """
+
+
+@query("cliffs", _CLIFF_SQL + 'SELECT trace_id, CAST(p AS INTEGER) AS "index", round(s, 6) AS jsd, round(t, 6) AS threshold FROM cl')
 def cliffs_(spark, sf):
-    return cliffs.detect_cliffs(bridge.traces(spark, sf))
+    return cliffs.detect_cliffs(bridge.traces(spark, sf)).select("trace_id", "index", _r("jsd"), _r("threshold"))
 
 
-@query("cliff_summary")
+@query("cliff_summary", _CLIFF_SQL + """, pr AS (SELECT trace_id, i - 1 AS ix FROM (SELECT trace_id, atoms, unnest(range(1, n + 1)) AS i FROM sp) WHERE atoms[i] = 'prompt_ai'),
+ne AS (SELECT cl.trace_id, p, bool_or(ix IS NOT NULL) AS near FROM cl LEFT JOIN pr ON pr.trace_id = cl.trace_id AND abs(p - ix) <= 1 GROUP BY ALL), ag AS (SELECT trace_id, count(*) AS nc, count(*) FILTER (WHERE NOT near) AS nh FROM ne GROUP BY trace_id)
+SELECT trace_id, CAST(n AS INTEGER) AS n_actions, coalesce(nc, 0) AS n_cliffs, coalesce(nh, 0) AS n_hidden, round(nh / nc, 6) AS hidden_fraction, round(CASE WHEN n > 0 THEN 100 * coalesce(nc, 0) / n ELSE 0 END, 6) AS per_100_actions FROM sp LEFT JOIN ag USING (trace_id)""")
 def cliff_summary_(spark, sf):
-    return cliffs.summarize_cliffs(bridge.traces(spark, sf))
+    d = cliffs.summarize_cliffs(bridge.traces(spark, sf))
+    return d.select("trace_id", "n_actions", "n_cliffs", "n_hidden", _r("hidden_fraction"), _r("per_100_actions"))
 
 
 # ---------------------------------------------------------------- sequence functions
@@ -580,18 +634,21 @@ def deciles_(spark, sf):
     return studies.outcome_deciles(studies.trajectory_metrics(bridge.traces(spark, sf)), "length").select("bucket", "n", _r("rate"))
 
 
-@query("task_controlled_jsd", f"""WITH {TRACE_SQL}, x AS (SELECT instance_id AS k, agent, unnest(atoms) AS atom FROM tr WHERE agent IN ('{A}', '{B}')), c AS (SELECT k, atom, count(*) FILTER (WHERE agent = '{A}') AS na, count(*) FILTER (WHERE agent = '{B}') AS nb FROM x GROUP BY ALL), z AS (SELECT k, na / sum(na) OVER (PARTITION BY k) AS p, nb / sum(nb) OVER (PARTITION BY k) AS q, sum(na) OVER (PARTITION BY k) AS ta, sum(nb) OVER (PARTITION BY k) AS tb FROM c)
-SELECT k, round(greatest(0, sum({_term('p', 'q')}) / ln(2)), 6) AS jsd_bits FROM z WHERE ta > 0 AND tb > 0 GROUP BY k""")
+@query("task_controlled_jsd", f"""WITH {_long_sql()}, z AS (SELECT lg.*, instance_id AS k FROM lg JOIN (SELECT trace_id, instance_id FROM tr) USING (trace_id)), d AS (SELECT x.k, x.trace_id AS i, y.trace_id AS j, greatest(0, sum({_term('x.p', 'y.p')}) / ln(2)) AS d FROM z x JOIN z y ON x.k = y.k AND x.token_id = y.token_id AND x.agent = '{A}' AND y.agent = '{B}' GROUP BY ALL)
+SELECT k, count(*) AS n_pairs, round(avg(d), 6) AS jsd_bits FROM d GROUP BY k""")
 def controlled_(spark, sf):
-    return studies.task_controlled_jsd(bridge.traces(spark, sf), A, B).select("k", _r("jsd_bits"))
+    return studies.task_controlled_jsd(_fps(spark, sf), A, B).select("k", "n_pairs", _r("jsd_bits"))
 
 
-@query("match_agents")
+@query("match_agents", f"""WITH {_long_sql()}, z AS (SELECT lg.*, instance_id AS k FROM lg JOIN (SELECT trace_id, instance_id FROM tr) USING (trace_id)), r AS (SELECT k, token_id, avg(p) AS p FROM z WHERE resolved GROUP BY k, token_id),
+g AS (SELECT r.k, z.agent, r.token_id, any_value(r.p) AS p, avg(z.p) AS q FROM r JOIN z ON z.token_id = r.token_id AND z.k <> r.k GROUP BY r.k, z.agent, r.token_id), d AS (SELECT k, agent, greatest(0, sum({_term('p', 'q')}) / ln(2)) AS d FROM g GROUP BY k, agent)
+SELECT k, arg_min(agent, (round(d, 9), agent)) AS agent, round(min(d), 6) AS jsd_bits FROM d GROUP BY k""")
 def match_agents_(spark, sf):
-    return studies.match_agents(bridge.traces(spark, sf))
+    return studies.match_agents(_fps(spark, sf)).select("k", "agent", _r("jsd_bits"))
 
 
-@query("length_strata")
+@query("length_strata", f"""WITH {TRACE_SQL}, r AS (SELECT agent AS g, trace_id, n, row_number() OVER (PARTITION BY agent ORDER BY n, trace_id) - 1 AS i, count(*) OVER (PARTITION BY agent) AS m FROM sp)
+SELECT g, trace_id, CAST(n AS INTEGER) AS n FROM r WHERE i = 0 OR floor(i * 30 / m) <> floor((i - 1) * 30 / m)""")
 def strata_(spark, sf):
     return studies.length_strata(bridge.traces(spark, sf))
 
@@ -599,3 +656,6 @@ def strata_(spark, sf):
 @query("explore_compare")
 def explore_(spark, sf):
     return studies.explore_compare(bridge.traces(spark, sf), A, B, vocab_size=16)["procedures"]
+
+
+adapter_cases.register(query)

@@ -59,6 +59,11 @@ def filled(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(c, r"\s", " ")) != "", F.lit(False))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def items(v: Column, path: str) -> Column:
     """The objects of the list at path; a JSON string is parsed first; anything else is the empty list."""
     raw = F.try_variant_get(v, path, "variant")
@@ -160,7 +165,7 @@ _COMMANDS = words(
 
 def bash_atom(cmd: Column) -> Column:
     """First classifier: test runners, writes, patches, then the first word; leading cd chains are dropped."""
-    s = F.trim(F.regexp_replace(F.trim(cmd), r"^(?:cd\s+\S+\s*(?:&&|;)\s*(?=\S))+", ""))
+    s = strip(F.regexp_replace(strip(cmd), r"^(?:cd\s+\S+\s*(?:&&|;)\s*(?=\S))+", ""))
     return (
         F.when(~filled(cmd) | cmd.isNull(), "other")
         .when(s.rlike(r"\bpython\s+-m\s+(?:(?:pytest|unittest|nose2|tox)\b|django\s+test\b)"), "run_test")
@@ -216,7 +221,7 @@ _TREE_OPS = words(ast_insert="insert-node insert-tree", ast_delete="delete-node
 def gumtree(raw: Column) -> Column:
     def step(s: Column) -> Column:
         op = lookup(_TREE_OPS, F.coalesce(get(s, "$.action"), F.lit("")), "")
-        node = F.trim(F.coalesce(get(s, "$.node_type"), F.lit("")))
+        node = strip(F.coalesce(get(s, "$.node_type"), F.lit("")))
         return F.array(F.when(op == "", "other").otherwise(F.concat(op, F.lit(":"), F.when(node == "", "?").otherwise(node))))
 
     return per(items(raw, "$.actions"), step)
@@ -290,7 +295,7 @@ _BLOCK = r"(?s)<function=([^\s>]+)\s*>(.*?)</function>"
 
 def function_xml(raw: Column) -> Column:
     def param(body: Column, name: str) -> Column:
-        return F.trim(F.regexp_extract(body, rf"(?s)<parameter={name}\s*>(.*?)</parameter>", 1))
+        return strip(F.regexp_extract(body, rf"(?s)<parameter={name}\s*>(.*?)</parameter>", 1))
 
     def message(m: Column) -> Column:
         t = _turn_text(m)
@@ -317,7 +322,7 @@ def react_text(raw: Column) -> Column:
     def message(m: Column) -> Column:
         t = _turn_text(m)
         blocks = F.regexp_extract_all(t, F.lit(fence), 1)
-        lines = F.transform(blocks, lambda b: F.get(F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")), F.lit(0)))
+        lines = F.transform(blocks, lambda b: F.get(F.filter(F.transform(F.split(b, "\n"), lambda x: strip(x)), lambda x: (x != "") & ~x.startswith("#")), F.lit(0)))
         cmds = F.transform(F.filter(lines, lambda x: x.isNotNull()), bash_atom)
         return F.when(_assistant(m, ("assistant", "ai")) & filled(t), F.concat(F.array(F.lit("think")), cmds)).otherwise(none())
 
@@ -378,7 +383,7 @@ _TRAJ_EDITOR = words(read_file="view open goto scroll_down scroll_up", edit="str
 
 def swe_agent_traj(raw: Column) -> Column:
     def step(s: Column) -> Column:
-        action = F.trim(text(s, "$.action"))
+        action = strip(text(s, "$.action"))
         tokens = F.split(action, r"\s+")
         head = F.get(tokens, F.lit(0))
         atom = F.when(head.isin("str_replace_editor", "str_replace_based_edit_tool"), lookup(_TRAJ_EDITOR, F.coalesce(F.get(tokens, F.lit(1)), F.lit("")), "edit")).when(head.rlike("^(?:submit|exit(?:_(?:context|cost|format))?)$"), "submit").otherwise(terminal_atom(action))
@@ -405,13 +410,13 @@ _NATIVE = {**SWE_AGENT, **_NATIVE_TABLE}
 
 def native_action(action: Column) -> Column:
     """The native label of an action string, with its chain or pipe mark."""
-    s = F.trim(action)
-    inner = F.when(s.startswith("cd ") & s.contains("&&"), F.trim(F.regexp_replace(s, r"(?s)^cd .*?&&", ""))).otherwise(s)
+    s = strip(action)
+    inner = F.when(s.startswith("cd ") & s.contains("&&"), strip(F.regexp_replace(s, r"(?s)^cd .*?&&", ""))).otherwise(s)
     cut = F.when(inner.contains(" && "), F.split_part(inner, F.lit(" && "), F.lit(1))).otherwise(F.split_part(inner, F.lit("|"), F.lit(1)))
-    h = F.trim(cut)
+    h = strip(cut)
     first = F.get(F.split(h, r"\s+"), F.lit(0))
     sub = F.get(F.split(h, r"\s+"), F.lit(1))
-    py = F.trim(F.regexp_replace(h, r"^python3?\s*", ""))
+    py = strip(F.regexp_replace(h, r"^python3?\s*", ""))
     simple = (
         F.when(h.isin(*SWE_AGENT), h)
         .when(h.startswith("str_replace_editor "), F.concat(F.lit("str_replace_editor:"), F.when(sub == "undo_edit", "undo").otherwise(sub)))
@@ -463,7 +468,7 @@ _TRANSCRIPT_TOOLS = words(edit="edit write notebookedit multiedit", read_file="r
 
 
 def _typed(t: Column, injected: tuple[str, ...]) -> Column:
-    s = F.trim(F.regexp_replace(t, r"^\s+", ""))
+    s = strip(F.regexp_replace(t, r"^\s+", ""))
     ok = filled(t)
     for p in injected:
         ok = ok & ~s.startswith(p)

@@ -142,8 +142,27 @@ def stream_rolling_mix(stream: DataFrame, window: int = 40, stride: int = 5) ->
 
 
 def first_firing(traces: DataFrame, pattern: str) -> DataFrame:
-    """(trace_id, step, atoms_saved): the batch twin of stream_first_firing; the first match's end is the first step at which the pattern has occurred for patterns of a fixed shape, so prefixes are tried only where the whole matches."""
-    a = F.col("atoms")
+    """(trace_id, step, atoms_saved): the batch twin of stream_first_firing.
+
+    Whether a pattern has occurred by a step doesn't change back later, unless it looks at
+    the end or ahead, so the first such step is found by bisection, and those patterns by
+    trying every prefix.
+    """
+    a, n = F.col("atoms"), F.size("atoms")
     hit = traces.where(spine(a).rlike(pattern))
-    at = F.array_position(F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: spine(F.slice(a, F.lit(1), i)).rlike(pattern)), F.lit(True))
-    return hit.select("trace_id", (at - 1).cast("long").alias("step"), (F.size(a) - at).cast("long").alias("atoms_saved"))
+    held = lambda i: spine(F.slice(a, F.lit(1), i)).rlike(pattern)
+    if re.search(r"\$|\(\?[=!<]|\\[bBzZ]", pattern):
+        at = F.array_position(F.transform(F.sequence(F.lit(1), n), held), F.lit(True)).cast("int")
+        hit = traces.withColumn("at", at).where("at > 0")
+        at = F.col("at")
+    else:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int"))
+        start = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+        def halve(s, _):
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            there = held(mid)
+            return F.when(s["hi"] - s["lo"] <= 1, s).otherwise(F.struct(F.when(there, s["lo"]).otherwise(mid).alias("lo"), F.when(there, mid).otherwise(s["hi"]).alias("hi")))
+
+        at = F.aggregate(rounds, start, halve)["hi"]
+    return hit.select("trace_id", (at - 1).cast("long").alias("step"), (n - at).cast("long").alias("atoms_saved"))
