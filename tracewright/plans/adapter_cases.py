@@ -240,14 +240,15 @@ def records(traces: DataFrame, adapter: str) -> DataFrame:
     return traces.select(F.parse_json(raw).alias("raw"), "_ord")
 
 
-def sql(adapter: str) -> str:
+def sql(adapter: str, head: str = "trace_id, agent", more: str = "") -> str:
+    """What the cases stand for, as the column spine; head and more are further columns of tr."""
     _, _, cases, before, after, _ = FORMATS[adapter]
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = f"[{', '.join(quote(a) for _, a in cases)}]"
     kinds = f"[{', '.join(map(quote, ATOMS))}]"
     parts = f"list_filter(list_transform(atoms, lambda a, i: t[((i - 1) * 3 + list_position({kinds}, a)) % {len(cases)} + 1]), lambda x: x <> '')"
     whole = f"list_filter([{quote(before)}, array_to_string({parts}, ' '), {quote(after)}], lambda x: x <> '')"
-    return f"WITH {TRACE_SQL} SELECT trace_id, agent, array_to_string({whole}, ' ') AS spine FROM (SELECT *, {table} AS t FROM tr)"
+    return f"WITH {TRACE_SQL} SELECT {head}, array_to_string({whole}, ' ') AS spine{more} FROM (SELECT *, {table} AS t FROM tr)"
 
 
 def register(query: Callable) -> None:

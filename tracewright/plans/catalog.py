@@ -12,7 +12,7 @@ from ..functions import sequences as S
 from ..operators import bpe, cliffs, compare, curate, divergence, floor, lineage, patterns, scoring, stats, studies, summary
 from ..sources import bridge
 from ..sources.bridge import EVENT_SQL, SESSION_SQL, TRACE_SQL
-from . import adapter_cases
+from . import adapter_cases, round_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "jsd_matrix_by_agent"
@@ -659,3 +659,6 @@ def explore_(spark, sf):
 
 
 adapter_cases.register(query)
+round_trips.register(
+    query, FIXED, RULES, SQL["match_patterns"], SPEC, SQL["score_by_agent"], _long_sql(), SQL["cliffs"],
+)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,27 @@ from pyspark.sql import functions as F
 from . import bridge
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name below spark.checkpoint.dir, the folder that all machines share; on one machine without that setting, below a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tracewright-")
+    return f"{found.rstrip('/')}/tracewright-{uuid.uuid4().hex}"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file of UTF-8 text on any file system that the session knows."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines as (raw VARIANT, _ord); blank lines are skipped, malformed ones raise."""
     lines = spark.read.text(path).where(F.trim("value") != "")

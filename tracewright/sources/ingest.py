@@ -55,7 +55,7 @@ def _turns(row: dict) -> tuple[str | None, list]:
                 v = json.loads(v)
             except ValueError:
                 continue
-        if isinstance(v, list) and v and isinstance(v[0], dict):
+        if isinstance(v, list) and any(isinstance(x, dict) for x in v):
             return f, v
     return None, []
 
@@ -63,7 +63,7 @@ def _turns(row: dict) -> tuple[str | None, list]:
 def sniff(rows: list[dict]) -> list[tuple[str, float]]:
     """(adapter, confidence), best first; ties keep the order of the checks."""
     row = rows[0] if rows else {}
-    _, turns = _turns(row)
+    turns = [t for t in _turns(row)[1] if isinstance(t, dict)]
     keys = {k for t in turns for k in t}
     said = " ".join(str(t.get("content") or t.get("text") or "") for t in turns[:20])
     model = [t for t in turns if t.get("role") in ("assistant", "ai")]
@@ -115,13 +115,16 @@ def discover(catalog: DataFrame, min_downloads: int = 0) -> DataFrame:
 
 
 def load_transcript(spark: SparkSession, path: str, agent: str = "claude-code", anonymize: bool = True) -> DataFrame:
-    """One record per transcript file (JSON lines) with its events; lines that don't parse are skipped."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), F.col("value"), F.try_parse_json("value").alias("v")).where("v is not null")
-    got = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("x"), F.max(F.try_variant_get("v", "$.sessionId", "string")).alias("sid"))
+    """One record per transcript file (JSON lines) with its events in the file's order; lines that don't parse are skipped."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.try_parse_json("value").alias("v")).where("v is not null")
+    # a file's blocks in order, and the lines of a block in the order in which they are read
+    events = F.transform(F.array_sort(F.collect_list(F.struct("block", "n", F.to_json("v").alias("value")))), lambda x: x["value"])
+    got = lines.groupBy("file").agg(events.alias("events"), F.max(F.try_variant_get("v", "$.sessionId", "string")).alias("sid"))
     ident = F.coalesce("sid", F.col("file"))
     ident = anonymous_id(ident) if anonymize else ident
-    body = F.concat(F.lit('{"trace_id":"'), ident, F.lit(f'","agent":"{agent}","events":['), F.array_join("x.value", ","), F.lit("]}"))
-    return got.select(F.parse_json(body).alias("raw"), F.monotonically_increasing_id().alias("_ord"))
+    head = F.to_json(F.struct(ident.alias("trace_id"), F.lit(agent).alias("agent")))
+    body = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"events":['), F.array_join("events", ","), F.lit("]}"))
+    return got.withColumn("head", head).select(F.parse_json(body).alias("raw"), F.monotonically_increasing_id().alias("_ord"))
 
 
 # ---------------------------------------------------------------- the editor's SQLite store
