@@ -367,9 +367,10 @@ def test_session_rework(spark):
 def test_probe(spark, corpus):
     t = traces(spark, corpus)
     r = learn.leave_one_group_out(bpe.encode(t, bpe.fit_bpe(t, 8)))
-    assert r["accuracy"] > 0.9 and set(r["by_group"]) == {"g0", "g1", "g2"}
+    assert r["accuracy"] > 0.9 and set(r["by_group"]) == {"g0", "g1", "g2"} == set(r["confusion"])
+    assert sum(n for own in r["confusion"].values() for n in own.values()) == t.count()
     with pytest.raises(ValueError):
-        learn.umap_project(n_neighbors=15, n=10)
+        learn.umap_project(bpe.encode(t, bpe.fit_bpe(t, 8)), n_neighbors=1000)
 
 
 def test_entry_point(spark):

@@ -17,24 +17,30 @@ from .scoring import Spec, truthy
 
 
 def leave_one_group_out(fps: DataFrame, label_field: str = "agent", group_field: str = "group", classifier=None) -> dict:
-    """Accuracy of predicting the label for each group left out of the fit (groups and labels are few)."""
+    """For each group left out of the fit: accuracy of predicting the label, and how often each label was predicted (groups and labels are few)."""
     rows = with_distribution(fps).select(grouping(fps, label_field).alias("label_name"), grouping(fps, group_field).alias("fold"), array_to_vector("distribution").alias("features")).persist()
     folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]
     classes = rows.select("label_name").distinct().count()
     if len(folds) < 2 or classes < 2:
         raise ValueError("a probe needs two groups and two classes at least")
     indexed = StringIndexer(inputCol="label_name", outputCol="label", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-    accuracy = {}
+    names = [r[0] for r in rows.select("label_name").distinct().orderBy("label_name").collect()]
+    accuracy, confusion = {}, {}
     for f in folds:
         fit, test = indexed.where(F.col("fold") != f), indexed.where(F.col("fold") == f)
         n = fit.count()
         model = (classifier() if classifier else LogisticRegression(family="multinomial", regParam=1 / max(1, n), standardization=False, maxIter=200)).fit(fit)
-        accuracy[f] = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        seen = model.transform(test).groupBy("label", "prediction").agg(F.count("*").alias("n")).collect()
+        accuracy[f] = sum(r.n for r in seen if r.label == r.prediction) / sum(r.n for r in seen)
+        confusion[f] = {}
+        for r in seen:
+            name = names[int(r.prediction)]
+            confusion[f][name] = confusion[f].get(name, 0) + r.n
     rows.unpersist()
-    return {"accuracy": sum(accuracy.values()) / len(accuracy), "by_group": accuracy, "n_classes": classes}
+    return {"accuracy": sum(accuracy.values()) / len(accuracy), "by_group": accuracy, "confusion": confusion, "n_classes": classes}
 
 
-def cluster_vectors(df: DataFrame, column: str = "embedding", k: int = 8, seed: int = 0, starts: int = 3) -> DataFrame:
+def cluster_vectors(df: DataFrame, column: str = "embedding", k: int = 8, seed: int = 0, starts: int = 10) -> DataFrame:
     """df with cluster: the cheapest of several seeded k-means fits."""
     if k < 2:
         raise ValueError("k is 2 at least")
@@ -57,13 +63,32 @@ def outcome_probe(features: DataFrame, columns: list[str], label: str, folds: in
     return sum(got) / len(got) if got else float("nan")
 
 
-def umap_project(*_args, n_neighbors: int = 15, n: int | None = None, **_kw):
-    """Needs the package umap, which is optional; arguments are checked first."""
-    if n is not None and n_neighbors >= n:
-        raise ValueError("n_neighbors must be less than the number of fingerprints")
-    import umap  # noqa: F401  raises ImportError where it isn't installed
+MOST_POINTS = 1_000_000
 
-    raise NotImplementedError("projection runs in the package umap")
+
+def umap_project(fps: DataFrame, *, granularity: str = "trace", by: str = "group", n_neighbors: int = 15, min_dist: float = 0.25, metric: str = "cosine", seed: int = 0) -> DataFrame:
+    """(label, x, y): two coordinates for each trajectory, or for each group's mean distribution.
+
+    The package umap works on one machine's memory, so at most MOST_POINTS points are
+    gathered, which is checked; group means are computed by Spark.
+    """
+    d = with_distribution(fps)
+    if granularity == "group":
+        long = d.select(grouping(fps, by).alias("label"), F.posexplode("distribution").alias("t", "p")).groupBy("label", "t").agg(F.avg("p").alias("p"))
+        points = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "p"))), lambda x: x["p"]).alias("distribution"))
+    elif granularity == "trace":
+        points = d.select(F.col("trace_id").alias("label"), "distribution")
+    else:
+        raise ValueError(f"unknown granularity {granularity!r}")
+    got = points.orderBy("label").limit(MOST_POINTS + 1).collect()
+    if len(got) > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points; project group means")
+    if n_neighbors >= len(got):
+        raise ValueError(f"n_neighbors={n_neighbors} must be less than the number of points ({len(got)})")
+    from umap import UMAP  # optional
+
+    xy = np.asarray(UMAP(n_neighbors=n_neighbors, min_dist=min_dist, metric=metric, random_state=seed, n_components=2).fit_transform(np.array([r.distribution for r in got])), float)
+    return fps.sparkSession.createDataFrame([(r.label, float(x), float(y)) for r, (x, y) in zip(got, xy)], "label string, x double, y double")
 
 
 def paired_bootstrap(before: DataFrame, after: DataFrame, spec: Spec, vocab: Vocabulary, n_boot: int = 1000, seed: int = 0, key: str = "instance_id", outcome_field: str = "resolved") -> dict:

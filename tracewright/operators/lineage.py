@@ -123,9 +123,13 @@ def lineage_diff(parent: DataFrame, child: DataFrame, along: Sequence[str] = AXE
 
 
 def warn_on_provenance(parent: DataFrame, child: DataFrame, key: str) -> None:
-    found = [{r[0] for r in d.select(F.col("metadata")[key]).distinct().limit(50).collect()} - {None} for d in (parent, child)]
-    if all(found) and found[0] != found[1]:
-        warnings.warn(f"the sides differ in {key!r}: {sorted(found[0])} and {sorted(found[1])}", stacklevel=3)
+    """Warns if the sides' sets of values of a metadata key differ; a side without the key says nothing. All values are compared, the text shows some of them."""
+    side = lambda d, s: d.select(F.col("metadata")[key].alias("v"), F.lit(s).alias("side")).where("v is not null").distinct()
+    both = side(parent, "parent").unionAll(side(child, "child")).groupBy("v").agg(F.collect_set("side").alias("sides"))
+    n = both.agg(*[F.count_if(F.array_contains("sides", s)).alias(s) for s in ("parent", "child")], F.count_if(F.size("sides") == 1).alias("alone")).first()
+    if n.parent and n.child and n.alone:
+        seen = both.where(F.size("sides") == 1).orderBy("v").limit(10).collect()
+        warnings.warn(f"the sides differ in {key!r}: " + ", ".join(f"{r.v!r} in the {r.sides[0]} only" for r in seen), stacklevel=3)
 
 
 SUMMARY = {"vocabulary": "jaccard", "entropy": "entropy_drop", "conditional": "conditional_jsd", "outcome_quadrant": "pass_vocab_jaccard"}

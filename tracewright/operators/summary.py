@@ -20,6 +20,14 @@ def summary_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return m.where("mean_a is not null and mean_b is not null").withColumn("delta", F.col("mean_b") - F.col("mean_a"))
 
 
+def categorical_diff(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """(key, jsd): base-2 divergence between two sides' summed counts of metadata fields that hold JSON objects of counts, where both have some."""
+    counts = lambda d, s: d.select(F.lit(s).alias("side"), F.explode(F.create_map(*[x for k in keys for x in (F.lit(k), F.from_json(F.try_element_at("metadata", F.lit(k)), "map<string,double>"))])).alias("key", "m")).select("side", "key", F.explode("m").alias("name", "c"))
+    sums = counts(a, "a").unionAll(counts(b, "b")).groupBy("key", "name").agg(*[F.sum(F.when(F.col("side") == s, F.col("c")).otherwise(0.0)).alias(s) for s in "ab"])
+    total = sums.groupBy("key").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")).where("ta > 0 and tb > 0")
+    return sums.join(total, "key").groupBy("key").agg(F.greatest(F.lit(0.0), F.sum(jsd_term(F.col("a") / F.col("ta"), F.col("b") / F.col("tb"))) / math.log(2)).alias("jsd"))
+
+
 def variance_decomposition(fps: DataFrame, factors: list[str], sample: int = 800, seed: int = 0) -> DataFrame:
     """(factor, r2): share of squared divergence between trajectories that a metadata key explains.
 

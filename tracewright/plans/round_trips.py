@@ -184,6 +184,14 @@ SELECT trace_id, round(CAST(greatest(0, least(1, CASE WHEN len(list_filter(atoms
         d = summary.summary_diff(t.where(F.col("agent") == A), t.where(F.col("agent") == B))
         return d.select("key", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "delta")])
 
+    @query("categorical_diff", f"WITH {TRACE_SQL}, c AS (SELECT agent, unnest(atoms[1 : 6]) AS a FROM tr), n AS (SELECT a, count(*) FILTER (WHERE agent = '{A}') AS x, count(*) FILTER (WHERE agent = '{B}') AS y FROM c GROUP BY a), p AS (SELECT x / sum(x) OVER () AS p, y / sum(y) OVER () AS q FROM n) SELECT 'tools' AS key, round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 6) AS jsd FROM p")
+    def categorical_diff(spark, sf):
+        first = F.slice("atoms", 1, 6)
+        tools = F.to_json(F.map_from_entries(F.transform(F.array_distinct(first), lambda a: F.struct(a, F.size(F.filter(first, lambda x: x == a))))))
+        t = bridge.traces(spark, sf).withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("tools"), tools)))
+        d = summary.categorical_diff(t.where(F.col("agent") == A), t.where(F.col("agent") == B), "tools", "absent")
+        return d.select("key", F.round("jsd", 6).alias("jsd"))
+
     @query("patch_pass_rates", f"WITH {TRACE_SQL}, p AS (SELECT resolved, list_contains(atoms[1 : 4], 'run_test') AS t, list_contains(atoms[1 : 4], 'edit') AS s FROM tr) SELECT CASE WHEN t AND s THEN 'both' WHEN t THEN 'test' WHEN s THEN 'source' ELSE 'none' END AS patch_type, count(*) AS n, round(avg(CAST(CAST(resolved AS INTEGER) AS DOUBLE)), 6) AS pass_rate FROM p GROUP BY 1")
     def patch_pass_rates(spark, sf):
         diff = F.transform(F.slice("atoms", 1, 4), lambda a: F.when(a == "run_test", F.lit("--- a/tests/test_x.py\n+++ b/tests/test_x.py\n@@ -1 +1 @@\n+1")).when(a == "edit", F.lit("--- /dev/null\n+++ b/src/new.py\n@@ -0,0 +1 @@\n+x")).otherwise(F.lit(" a line")))
