@@ -140,17 +140,21 @@ def first_firing_(spark, sf):
 
 
 # ---------------------------------------------------------------- vocabularies
-def _fit_sql(merges: int = 6) -> str:
-    """Merges by repeated counting in SQL: the characters of tokens are numbered as they are learned."""
-    parts = [TRACE_SQL, "a0 AS (SELECT a AS token, chr(57344 + CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER)) AS ch FROM (SELECT DISTINCT unnest(atoms) AS a FROM tr))"]
-    parts.append("e0 AS (SELECT string_agg(ch, '' ORDER BY i) AS enc FROM (SELECT trace_id, unnest(atoms) AS token, generate_subscripts(atoms, 1) AS i FROM tr) JOIN a0 USING (token) GROUP BY trace_id)")
+def _fit_parts(merges: int, where: str = "true") -> list[str]:
+    """Merges by repeated counting in SQL: the characters of tokens are numbered as they are learned. b has the merges, a the tokens, e the encoded trajectories."""
+    parts = [TRACE_SQL, f"a0 AS MATERIALIZED (SELECT a AS token, chr(57344 + CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER)) AS ch, row_number() OVER (ORDER BY a) - 1 AS token_id FROM (SELECT DISTINCT unnest(atoms) AS a FROM tr WHERE {where}))"]
+    parts.append(f"e0 AS MATERIALIZED (SELECT trace_id, agent, string_agg(ch, '' ORDER BY i) AS enc FROM (SELECT trace_id, agent, unnest(atoms) AS token, generate_subscripts(atoms, 1) AS i FROM tr WHERE {where}) JOIN a0 USING (token) GROUP BY trace_id, agent)")
     for k in range(merges):
         parts.append(f"p{k} AS (SELECT substring(enc, i, 1) AS l, substring(enc, i + 1, 1) AS r FROM (SELECT enc, unnest(range(1, length(enc))) AS i FROM e{k}))")
-        parts.append(f"b{k} AS (SELECT x.token AS lt, y.token AS rt, p.l, p.r, p.n FROM (SELECT l, r, count(*) AS n FROM p{k} GROUP BY l, r) p JOIN a{k} x ON x.ch = p.l JOIN a{k} y ON y.ch = p.r ORDER BY n DESC, lt, rt LIMIT 1)")
-        parts.append(f"a{k + 1} AS (SELECT * FROM a{k} UNION ALL SELECT lt || '▁' || rt, chr({57344 + 100 + k}) FROM b{k})")
-        parts.append(f"e{k + 1} AS (SELECT replace(enc, l || r, chr({57344 + 100 + k})) AS enc FROM e{k}, b{k})")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT x.token AS lt, y.token AS rt, p.l, p.r, p.n FROM (SELECT l, r, count(*) AS n FROM p{k} GROUP BY l, r) p JOIN a{k} x ON x.ch = p.l JOIN a{k} y ON y.ch = p.r ORDER BY n DESC, lt, rt LIMIT 1)")
+        parts.append(f"a{k + 1} AS MATERIALIZED (SELECT * FROM a{k} UNION ALL SELECT lt || '▁' || rt, chr({57344 + 100 + k}), {1000 + k} FROM b{k})")
+        parts.append(f"e{k + 1} AS MATERIALIZED (SELECT trace_id, agent, replace(enc, l || r, chr({57344 + 100 + k})) AS enc FROM e{k}, b{k})")
+    return parts
+
+
+def _fit_sql(merges: int = 6) -> str:
     rows = " UNION ALL ".join(f'SELECT {k} AS step, lt AS "left", rt AS "right" FROM b{k}' for k in range(merges))
-    return f"WITH {', '.join(parts)} {rows}"
+    return f"WITH {', '.join(_fit_parts(merges))} {rows}"
 
 
 @query("fit_bpe", _fit_sql())
@@ -301,11 +305,21 @@ def transitions_(spark, sf):
     return lineage.transitions(bridge.traces(spark, sf))
 
 
-@query("noise_floor_metadata")
+def _floor_sql() -> str:
+    """Each axis between every two of three scaffolds, by the axes' own SQL with the scaffolds in the agents' place."""
+    rows = []
+    for a, b in (("s0", "s1"), ("s0", "s2"), ("s1", "s2")):
+        for axis, name, value in (("vocabulary", "lineage_vocabulary", "jaccard"), ("entropy", "lineage_entropy", "entropy_drop"), ("conditional", "lineage_conditional", "conditional_jsd")):
+            own = SQL[name].replace("'agent_' || (user_id % 4)", "'s' || (user_id % 3)").replace(A, a).replace(B, b)
+            rows.append(f"SELECT '{axis}' AS axis, abs({value}) AS v FROM ({own})")
+    return f"SELECT axis, round(min(v), 4) AS least, round(avg(v), 4) AS mean, round(max(v), 4) AS most FROM ({' UNION ALL '.join(rows)}) GROUP BY axis"
+
+
+@query("noise_floor_metadata", _floor_sql())
 def lineage_floor_(spark, sf):
     t = bridge.traces(spark, sf).withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("scaffold"), F.concat(F.lit("s"), F.col("_ord") % 3))))
     rows = [(r["axis"], float(r["min"]), float(r["mean"]), float(r["max"])) for r in lineage.noise_floor(t, "scaffold")]
-    return spark.createDataFrame(rows, "axis string, least double, mean double, most double")
+    return spark.createDataFrame(rows, "axis string, least double, mean double, most double").select("axis", *[_r(c, 4) for c in ("least", "mean", "most")])
 
 
 # ---------------------------------------------------------------- scoring
@@ -523,14 +537,23 @@ def procedures_(spark, sf):
     return summary.top_procedures(_fps(spark, sf), FIXED, 5).select("token", "n", _r("share"))
 
 
-@query("variance_decomposition")
+def _variance_sql(factors: dict[str, str]) -> str:
+    """Over all pairs where there are at most 800 trajectories, the operator's sample; the factors are columns of tr."""
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS factor, (SELECT coalesce(sum(s / m), 0) FROM (SELECT x.{c} AS v, sum(d2) AS s FROM d JOIN k x ON x.trace_id = i JOIN k y ON y.trace_id = j WHERE x.{c} IS NOT DISTINCT FROM y.{c} GROUP BY 1) w JOIN (SELECT {c} AS v, count(*) AS m FROM k GROUP BY 1) z ON w.v IS NOT DISTINCT FROM z.v) AS within" for name, c in factors.items())
+    return f"""WITH {_long_sql()}, k AS (SELECT trace_id, {', '.join(factors.values())} FROM tr), d AS (SELECT a.trace_id AS i, b.trace_id AS j, pow(greatest(0, sum({_term('a.p', 'b.p')}) / ln(2)), 2) AS d2 FROM lg a JOIN lg b ON a.token_id = b.token_id AND a.trace_id < b.trace_id GROUP BY ALL), f AS ({rows})
+SELECT factor, round(1 - within / (SELECT sum(d2) / (SELECT count(*) FROM k) FROM d), 6) AS r2 FROM f"""
+
+
+@query("variance_decomposition", _variance_sql({"resolved": "resolved", "instance_id": "instance_id"}))
 def variance_(spark, sf):
-    return summary.variance_decomposition(_fps(spark, sf), ["resolved", "instance_id"])
+    return summary.variance_decomposition(_fps(spark, sf), ["resolved", "instance_id"]).select("factor", _r("r2"))
 
 
-@query("report_agents")
+@query("report_agents", f"""WITH {', '.join(_fit_parts(8))}, x AS (SELECT trace_id, agent, length(enc) AS m, unnest(string_split(enc, '')) AS ch FROM e8), y AS (SELECT trace_id, agent, count(*) / any_value(m) AS p FROM x WHERE ch <> '' GROUP BY trace_id, agent, ch), h AS (SELECT trace_id, -sum(p * ln(p)) AS h FROM y GROUP BY trace_id)
+SELECT agent, count(*) AS n_traces, quantile_cont(n, 0.5) AS median_length, round(avg(h), 6) AS mean_entropy, round(1 - count(DISTINCT spine) / count(*), 6) AS exact_dup_rate FROM sp JOIN h USING (trace_id) GROUP BY agent""")
 def report_(spark, sf):
-    return summary.build_report(bridge.traces(spark, sf), vocab_size=16)["agents"]
+    d = summary.build_report(bridge.traces(spark, sf), vocab_size=16)["agents"]
+    return d.select("agent", "n_traces", "median_length", _r("mean_entropy"), _r("exact_dup_rate"))
 
 
 @query("measure_floor")
@@ -653,9 +676,16 @@ def strata_(spark, sf):
     return studies.length_strata(bridge.traces(spark, sf))
 
 
-@query("explore_compare")
+@query("explore_compare", f"""WITH {', '.join(_fit_parts(8, f"agent IN ('{A}', '{B}')"))}, g AS (SELECT e.agent, a.token, a.token_id, avg((length(enc) - length(replace(enc, ch, ''))) / length(enc)) AS p FROM e8 e, a8 a GROUP BY ALL), m AS (SELECT token, token_id, max(p) FILTER (WHERE agent = '{A}') AS p_a, max(p) FILTER (WHERE agent = '{B}') AS p_b FROM g GROUP BY ALL)
+SELECT token, round(p_a, 6) AS p_a, round(p_b, 6) AS p_b, round(ln((p_a + 1e-6) / (p_b + 1e-6)), 6) AS log_odds, round({_term('p_a', 'p_b')}, 9) AS jsd_contribution FROM m ORDER BY abs(ln((p_a + 1e-6) / (p_b + 1e-6))) DESC, token_id LIMIT 10""")
 def explore_(spark, sf):
-    return studies.explore_compare(bridge.traces(spark, sf), A, B, vocab_size=16)["procedures"]
+    d = studies.explore_compare(bridge.traces(spark, sf), A, B, vocab_size=16)["procedures"]
+    return d.select("token", _r("p_a"), _r("p_b"), _r("log_odds"), _r("jsd_contribution", 9))
+
+
+@query("explore_medians", f"WITH {TRACE_SQL} SELECT agent AS side, quantile_cont(n, 0.5) AS median_length, quantile_cont(len(list_filter(atoms, lambda a: a = 'think')), 0.5) AS median_think FROM sp WHERE agent IN ('{A}', '{B}') GROUP BY agent")
+def explore_medians_(spark, sf):
+    return studies.explore_compare(bridge.traces(spark, sf), A, B, vocab_size=16)["medians"]
 
 
 adapter_cases.register(query)
