@@ -9,7 +9,6 @@ import re
 import shutil
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -674,5 +673,69 @@ def test_empty_tables(spark):
         assert f(e).count() == 0
 
 
-def test_texts_stay_in_the_test_files():
-    assert pq.read_table("/root/testdata/sf0.001/documents.parquet").num_rows == 200
+def _cut_words(text, items, k=10):
+    """The text without the stretches of words that windows of items cover, and the number of such words."""
+    words = [(m.start(), m.end()) for m in ALNUM.finditer(lower(text))]
+    w = [lower(text)[a:z] for a, z in words]
+    win = {tuple(own[p : p + k]) for own in (ALNUM.findall(lower(t or "")) for _, t in items) if own for p in range(max(1, len(own) - k + 1))}
+    hit = {j for n in {len(x) for x in win} for p in range(len(w) - n + 1) if tuple(w[p : p + n]) in win for j in range(p, p + n)}
+    out, at = [], 0
+    for j in sorted(hit):
+        if j - 1 not in hit:
+            out.append(text[at : words[j][0]])
+        at = words[j][1]
+    return "".join(out) + text[at:]
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_fm.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = {x.doc_id for x in quality_fm.classify(docs, model).where("predicted = 1").collect()}
+    rows = [r for r in docs.orderBy("doc_id").collect() if r.doc_id in kept]
+
+    sets = []
+    for r in rows:
+        w = SPACES.findall(lower(r.text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x & sets[j] and 100 * len(x & sets[j]) >= 70 * len(x | sets[j]):
+                a, z = group[i], group[j]
+                group = [min(a, z) if g in (a, z) else g for g in group]
+    rows = [r for i, r in enumerate(rows) if group[i] == i]
+
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = [(r.doc_id, None if r.text is None else _cut_words(r.text, items)) for r in rows]
+    names = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"]
+    clean = []
+    for (_, t), added in zip(texts, _added_by_brute_force(texts)):
+        spans = sorted([(s, k, e) for s, k, e in _base(t)] + [(s, 4, e) for s, e in added])
+        out, at = [], 0
+        for s, k, e in spans:
+            if e > at:
+                if s >= at:
+                    out += [t[at:s], [*names, "[SECRET]"][k]]
+                at = e
+        clean.append("".join(out) + t[at:] if t else t)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sps.DEFAULT_MODEL)
+    want = collections.Counter()
+    for r, t in zip(rows, clean):
+        ids = sp.encode(t or "")
+        want[(r.doc_id, r.lang, r.source, len(t or ""), len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), True)] += 1
+    assert by_rows(corpus_pipeline.run(spark, sf), "doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "round_trip") == want
+    assert 0 < len(rows) < len(kept) and any("[EMAIL]" in (t or "") for t in clean)
+
+
+def test_two_labels_of_one_document(spark):
+    docs = frame(spark, [(k, f"text {k} " * (k % 7 + 1)) for k in range(40)])
+    one = [(k, k % 2) for k in range(40)]
+    model = quality_fm.train(docs, spark.createDataFrame(one, "doc_id long, quality int"))
+    more = quality_fm.train(docs, spark.createDataFrame(one[::-1] + [(k, 1) for k in range(40)], "doc_id long, quality int"))
+    a, b = (sorted((x.doc_id, x.score) for x in quality_fm.classify(docs, m).collect()) for m in (model, more))
+    assert a == b
