@@ -12,8 +12,9 @@ What is shuffled are paths (two for every 29 words or so), the edges of branchin
 and the texts that lose words; other texts are digested where they are read.
 
 Defined cases: null and empty texts have no words; texts of fewer than WINDOW words keep
-all; rows with equal ids are separate texts; repeated rows repeat each other; matches
-never cross texts; extra columns are ignored.
+all, very long ones are windowed whole; rows with equal ids are separate texts; repeated
+rows repeat each other, so all of them lose what they share; matches never cross texts;
+an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

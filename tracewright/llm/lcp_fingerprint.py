@@ -13,8 +13,9 @@ whole text, whatever the text's length, and the likeness of two is the share of
 Defined cases: null is the empty text, whose fingerprint is all zeros; texts too short
 for a phrase have the name of the whole text; equal texts have equal fingerprints; rows
 with equal ids are ordered by a hash of their text, then the text; a null id comes first;
-a single row is its own next; an empty table gives an empty result; extra columns are
-ignored.
+a single row is its own next; repeated rows follow one another; very long texts are parsed
+whole; an empty table gives an empty result; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

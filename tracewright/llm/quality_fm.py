@@ -12,9 +12,12 @@ rows (by default 10,000, the lowest hashes of the id), whatever the corpus size.
 Neither labels nor id, language or source are inputs of a score.
 
 Defined cases: null and empty texts have only the structure bins of an empty text and
-get their score; a null id is never held out; labels that are null are left out;
-documents with equal ids are each scored; with no labelled rows of both classes the
-model scores the prior (0.5 without any label); extra columns are ignored.
+get their score, very long ones are featurised whole; a null id is never held out; labels
+that are null are left out, of several labels of one document the lower counts; documents
+with equal ids and repeated rows are each scored, and train under their id's label; ties
+of scores stay ties (the threshold itself is predicted 1); with no labelled rows of both
+classes the model scores the prior (0.5 without any label); an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,9 +14,11 @@ two 64-bit hashes, with partial aggregation.
 Texts are UTF-8 bytes; what is left of one may begin or end within a character, so
 results are digests and spans of bytes.
 
-Defined cases: null is the empty text; texts shorter than WINDOW keep all; rows with equal
-ids are separate texts; repeated rows repeat each other; matches never cross texts, and
-windows of one text that repeat within it count; extra columns are ignored.
+Defined cases: null is the empty text; texts shorter than WINDOW keep all; very long texts
+are windowed whole; rows with equal ids are separate texts; repeated rows repeat each
+other, so all of them lose what they share; matches never cross texts, and windows of one
+text that repeat within it count; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
