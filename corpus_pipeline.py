@@ -2,6 +2,12 @@
 
 Each stage takes what the one before kept. run() writes the stages' results to the shared
 folder in between, as a run by stages does.
+
+Defined cases, in every stage: null and empty texts pass as they are (null stays null up to
+the last stage); very long texts are handled whole; rows with equal or null ids are rows of
+their own, told apart by all their columns, and of wholly equal rows near_duplicates leaves
+one; of a group's rows with the same smallest id the one with the smallest hash stays; an
+empty table gives an empty result; columns other than those of documents are left out.
 """
 
 from __future__ import annotations
