@@ -93,14 +93,17 @@ class lean:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-ARROW_ROWS = 2000
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ARROW_ROWS rows: texts are long, and each task holds a batch several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Arrow batches of at most ARROW_ROWS rows and about ARROW_BYTES: texts are long, and each task holds a batch several times over. Smaller settings of the session stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    held = spark.conf.get(size, "-1")
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(size, f"{ARROW_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
