@@ -101,8 +101,7 @@ def small_batches(spark: SparkSession) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
         spark.conf.set(rows, str(ARROW_ROWS))
-    held = spark.conf.get(size, "-1")
-    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > ARROW_BYTES:
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > ARROW_BYTES:
         spark.conf.set(size, f"{ARROW_BYTES}b")
 
 
