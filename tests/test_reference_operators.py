@@ -3,6 +3,7 @@
 import collections
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -277,6 +278,30 @@ def test_cliffs_batch_equals_stream(spark, tmp_path):
     assert [(r.trace_id, r.step) for r in fired] == [(r.trace_id, r.step) for r in twin] == [("a", 25)]
 
 
+def test_streams_put_late_files_in_order(spark, tmp_path):
+    atoms = ["search_repo", "read_file"] * 12 + ["edit", "run_test"] * 12
+    t = traces(spark, [("a", "x", None, atoms, {})])
+    (tmp_path / "in").mkdir()
+    # the last actions come first, and some come twice
+    for k, (lo, hi) in enumerate(((30, 48), (0, 16), (10, 32))):
+        f = tmp_path / "in" / f"{k}.json"
+        f.write_text("".join(json.dumps({"trace_id": "a", "seq": i, "atom": atoms[i]}) + "\n" for i in range(lo, hi)))
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("trace_id string, seq long, atom string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert {(r.trace_id, r["index"]) for r in run(monitors.stream_cliffs(stream), "late_cliffs")} == {(r.trace_id, r["index"]) for r in cliffs.detect_cliffs(t).collect()}
+    assert [r.step for r in run(monitors.stream_first_firing(stream, "edit run_test "), "late_fire")] == [25]
+    acts = run(monitors.stream_guard(stream, scoring.Spec((), (scoring.Penalty("f", 1.0, forbid_sequence=("run_test", "edit")),)), "warn"), "late_guard")
+    assert [(r.seq, r.atom, r.verdict) for r in acts] == [(i, a, "warn" if a == "edit" and i > 24 else "allow") for i, a in enumerate(atoms)]
+    # numbers with gaps: every micro-batch as it comes
+    assert len(run(monitors.stream_guard(stream, scoring.Spec((), ()), first=None), "gaps_guard")) == 56
+
+
 def test_guard_modes():
     s = scoring.Spec((), (scoring.Penalty("s", 1.0, max_run=2),))
     g = monitors.Guard(s)
