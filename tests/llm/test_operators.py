@@ -7,6 +7,7 @@ import os
 import random
 import re
 import shutil
+import time
 
 import numpy as np
 import pytest
@@ -86,6 +87,25 @@ def test_near_duplicates(spark, corpus):
     assert got == want
 
 
+def test_disk_is_freed_on_the_way(spark, corpus):
+    from tracewright.llm.common import shared_dir, written
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    blocks = lambda: {disk.getAllBlocks().apply(k).name() for k in range(disk.getAllBlocks().size())}
+    tables = lambda: {x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("tracewright-")}
+    old = blocks()
+    written(spark.range(1000).repartition(4))
+    for _ in range(50):  # Spark deletes them in the background
+        left = {x for x in blocks() - old if x.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    old = tables()
+    minhash_dedup.linked(frame(spark, corpus))
+    assert not [x for x in tables() - old if minhash_dedup.SIG[0] in spark.read.parquet(f"{shared_dir(spark)}/{x}").columns]
+
+
 def test_large_bucket_is_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BUCKET", 3)
     r = random.Random(2)

@@ -31,13 +31,14 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, bloom, column, drop_written, lean, may_hold, mix, powers, prefix_sums, slices, text_buffer, word_bounds, word_hashes, written
+from .common import SPACE_WORDS, bloom, column, drop_written, lean, likely, may_hold, mix, powers, prefix_sums, slices, text_buffer, word_bounds, word_hashes, written
 from .components import connected_components
 
 SHINGLE, SLOTS, CHUNKS, WIDTH = 5, 64, 16, 4
@@ -45,6 +46,7 @@ NUMERATOR, DENOMINATOR = 70, 100
 MIN_AGREE = 20
 BUCKET = 64
 SPLIT = 2000
+PASSES = 3  # pairs are confirmed in so many turns, as sets are the bulk of what is shuffled
 BAND = 1.05  # sizes within a factor of this share a band
 SIG = tuple(f"s{k}" for k in range(SLOTS // 4))  # a signature as columns of 64 bits
 
@@ -238,12 +240,21 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are similar on full sets. Each pair ships b's set to a; a's with many pairs are spread over salts."""
-    salted, centres = _salted(pairs)
-    members = salted.join(sets.select(F.col("cls").alias("b"), "set"), "b").select("a", "salt", "b", "set")
-    heads = centres.join(sets.select(F.col("cls").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
-    rows = members.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(lean(_confirm), "a long, b long")
+    """Pairs (a, b) that are similar on full sets. Each pair ships b's set to a; a's with many pairs are spread over salts.
+
+    Both are written tables, and so is the result. Every b has its turn, and a turn shuffles
+    only the sets of its own pairs, so that disk holds a part of the shuffled sets at a time.
+    """
+    done = []
+    for k in range(PASSES):
+        turn = pairs.where(F.pmod(F.hash("b"), F.lit(PASSES)) == k)
+        some = sets.mapInArrow(lean(likely(bloom(_ends(turn).withColumnRenamed("cls", "id")), "cls")), sets.schema)
+        salted, centres = _salted(turn)
+        members = salted.join(some.select(F.col("cls").alias("b"), "set"), "b").select("a", "salt", "b", "set")
+        heads = centres.join(some.select(F.col("cls").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
+        rows = members.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        done.append(written(rows.mapInArrow(lean(_confirm), "a long, b long")))
+    return reduce(DataFrame.unionAll, done)
 
 
 # ------------------------------------------------------------ large buckets: prefix filter
@@ -320,14 +331,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): confirmed links between classes (cls, rep, look, n, h1, h2, the signature), enough of them that no component is missed; a written table."""
+    """(a, b): confirmed links between classes (cls, rep, look, n, h1, h2, the signature), enough of them that no component is missed; written tables. Those of classes are deleted."""
     centres = written(keys_of(classes).groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("a")).where("size > 1"))
     shared = written(keys_of(classes, bloom(centres.select(F.col("key").alias("id")))).join(centres, "key"))
     drop_written(centres)
     active = written(classes.join(shared.select("cls").distinct(), "cls", "left_semi"))
+    drop_written(classes)
     star = written(near(shared.where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), active))
     sets = _sets_of(documents, active, _ends(star))
-    found = written(confirm(star, sets))
+    found = confirm(star, sets)
     drop_written(sets)
     # buckets that still hold several components
     comps = connected_components(found)
@@ -349,8 +361,8 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
         met = prefix_pairs(sets.join(large, "cls", "left_semi"), named.join(large, "cls", "left_semi"))
         pairs = written(small.unionAll(near(met.join(star, ["a", "b"], "left_anti"), active)).distinct())
         drop_written(met)
-    out = written(found.unionAll(confirm(pairs, sets)))
-    drop_written(sets, active, star, named, small, large, pairs, found)
+    out = found.unionAll(confirm(pairs, sets))
+    drop_written(sets, active, star, named, small, large, pairs)
     return out
 
 
@@ -364,13 +376,16 @@ def linked(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     # equal in all rows of a class but for the ids, so the largest is any
     same = [F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in ("h1", "h2", *SIG)]]
     classes = written(sk.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("look").alias("look"), *same))
+    # signatures are most of both tables and are needed no longer than that
+    rows, reps = written(sk.select("doc_id", *keep, "n_shingles", "cls")), written(classes.select("cls", "rep"))
+    drop_written(sk)
     found = links(documents, classes)
     comps = connected_components(found)
-    named = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = written(named.join(least, "component").select("cls", "component", "component_id"))
-    drop_written(classes, found, comps)
-    return sk.select("doc_id", *keep, "n_shingles", "cls").join(ids, "cls").select("doc_id", *keep, "n_shingles", "component", "component_id")
+    drop_written(reps, found, comps)
+    return rows.join(ids, "cls").select("doc_id", *keep, "n_shingles", "component", "component_id")
 
 
 def groups(documents: DataFrame) -> DataFrame:
