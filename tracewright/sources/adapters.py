@@ -72,6 +72,11 @@ def items(v: Column, path: str) -> Column:
     return F.coalesce(F.filter(found, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))), F.array().cast("array<variant>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: inside lambdas an expression is computed again wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def per(list_: Column, one: Callable[[Column], Column]) -> Column:
     """Atoms of all elements, in order; one gives an array for each."""
     return F.flatten(F.transform(list_, one))
@@ -410,14 +415,22 @@ _NATIVE = {**SWE_AGENT, **_NATIVE_TABLE}
 
 def native_action(action: Column) -> Column:
     """The native label of an action string, with its chain or pipe mark."""
-    s = strip(action)
-    inner = F.when(s.startswith("cd ") & s.contains("&&"), strip(F.regexp_replace(s, r"(?s)^cd .*?&&", ""))).otherwise(s)
+    inner = lambda s: F.when(s.startswith("cd ") & s.contains("&&"), strip(F.regexp_replace(s, r"(?s)^cd .*?&&", ""))).otherwise(s)
+    label = let(strip(action), lambda s: let(inner(s), _native_label))
+    return F.when(filled(action), label).otherwise("empty_or_error")
+
+
+def _native_label(inner: Column) -> Column:
+    mark = F.when(inner.contains(" && "), "chain:").when(F.replace(inner, F.lit("||"), F.lit("")).contains("|"), "pipe:").otherwise("")
     cut = F.when(inner.contains(" && "), F.split_part(inner, F.lit(" && "), F.lit(1))).otherwise(F.split_part(inner, F.lit("|"), F.lit(1)))
-    h = strip(cut)
+    return F.concat(mark, let(strip(cut), _native_head))
+
+
+def _native_head(h: Column) -> Column:
     first = F.get(F.split(h, r"\s+"), F.lit(0))
     sub = F.get(F.split(h, r"\s+"), F.lit(1))
     py = strip(F.regexp_replace(h, r"^python3?\s*", ""))
-    simple = (
+    return (
         F.when(h.isin(*SWE_AGENT), h)
         .when(h.startswith("str_replace_editor "), F.concat(F.lit("str_replace_editor:"), F.when(sub == "undo_edit", "undo").otherwise(sub)))
         .when(h.rlike(r"^python3? ") | (h == "python"), F.when(py.rlike(r"^(?:-m )?(?:pytest|unittest)"), "python:pytest").otherwise("python:script"))
@@ -434,8 +447,6 @@ def native_action(action: Column) -> Column:
         .when(first.isin(*SWE_AGENT), first)
         .otherwise(F.concat(F.lit("other:"), F.lower(F.when(first == "", "empty").otherwise(first))))
     )
-    mark = F.when(inner.contains(" && "), "chain:").when(F.replace(inner, F.lit("||"), F.lit("")).contains("|"), "pipe:").otherwise("")
-    return F.when(filled(action), F.concat(mark, simple)).otherwise("empty_or_error")
 
 
 def canonical_of_native(native: Column) -> Column:
@@ -449,9 +460,7 @@ def _swe_smith(layer: str) -> Adapter:
             action = text(m, "$.action")
             name = text(m, "$.tool_calls[0].function.name")
             source = F.when(action.isNotNull(), action).when(F.coalesce(name, F.lit("")) != "", name)
-            native = native_action(source)
-            plain = F.regexp_replace(native, "^(?:chain|pipe):", "")
-            shown = native if layer == "native" else lookup(_NATIVE, plain)
+            shown = native_action(source) if layer == "native" else lookup(_NATIVE, F.regexp_replace(native_action(source), "^(?:chain|pipe):", ""))
             return F.when(_assistant(m), F.concat(some(filled(text(m, "$.thought")), "think"), some(source.isNotNull(), shown))).otherwise(none())
 
         return per(items(raw, "$.messages"), message)
