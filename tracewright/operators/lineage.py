@@ -6,6 +6,7 @@ import math
 import warnings
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,9 +152,11 @@ def noise_floor(traces: DataFrame, key: str, along: Sequence[str] = AXES, **opti
     if not 2 <= len(names) <= 32:
         raise ValueError("the key needs from 2 to 32 values")
     values: dict[str, list[float]] = {}
+    traces = traces.where(F.col("metadata")[key].isin(names)).select("atoms", "metadata").persist(StorageLevel.MEMORY_AND_DISK_2)  # every pair reads two parts of it
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             of = lambda v: traces.where(F.col("metadata")[key] == v)
             for r in summaries(lineage_diff(of(a), of(b), along, **options)):
                 values.setdefault(r["axis"], []).append(abs(r["summary_value"]))
+    traces.unpersist()
     return [{"axis": x, "min": min(v), "mean": sum(v) / len(v), "max": max(v), "pairs": len(v)} for x, v in values.items()]
